@@ -1 +1 @@
-"""PySpark-native causal event analytics."""
+"""Column builders: text, numbers, lexicons."""
