@@ -13,7 +13,9 @@ from eventloom.functions import text as tx
 from eventloom.operators.relate import cue_sentence
 from eventloom.sources import schemas as sc
 
-PATH = F.col("_metadata.file_path")
+
+def _path() -> Column:
+    return F.col("_metadata.file_path")
 
 
 def _folder(path: Column) -> Column:
@@ -22,7 +24,7 @@ def _folder(path: Column) -> Column:
 
 def _json(spark: SparkSession, folder: str, name: str, ddl: str) -> DataFrame:
     read = spark.read.schema(ddl).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
-    return read.select(_folder(PATH).alias("graph_id"), F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in read.columns])
+    return read.select(_folder(_path()).alias("graph_id"), F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in read.columns])
 
 
 def _placed(df: DataFrame, name: str) -> DataFrame:
@@ -43,8 +45,8 @@ def pack_files(spark: SparkSession, folder: str) -> DataFrame:
 def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(graph_id, doc_id, doc_ord, title, text): the whole text, its first non-blank line as title."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").text(folder, wholetext=True)
-    name = F.try_url_decode(F.element_at(F.split(PATH, "/"), -1))
-    rows = files.select(_folder(PATH).alias("graph_id"), name.alias("_f"), tx.strip(F.col("value")).alias("text")).where(F.col("_f").rlike("^" + lx.DOCUMENT_FILE))
+    name = F.try_url_decode(F.element_at(F.split(_path(), "/"), -1))
+    rows = files.select(_folder(_path()).alias("graph_id"), name.alias("_f"), tx.strip(F.col("value")).alias("text")).where(F.col("_f").rlike("^" + lx.DOCUMENT_FILE))
     lines = F.filter(F.transform(F.split("text", r"\R"), tx.strip), lambda x: x != "")
     return rows.select("graph_id", F.regexp_replace("_f", r"\.[^.]*$", "").alias("doc_id"), F.regexp_extract("_f", lx.DOCUMENT_FILE, 1).cast("long").alias("doc_ord"), F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")).alias("title"), "text")
 

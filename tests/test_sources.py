@@ -48,7 +48,7 @@ def test_labelled_rows_to_samples(spark, tmp_path):
 
 def test_tiers(spark, tmp_path):
     (tmp_path / "docs.json").write_text(json.dumps([{"doc_id": "a", "title": "", "text": "2024年7月3日开封市发生内涝。受此影响，内涝导致公交瘫痪。学校宣布停课。", "publish_time": "2024-07-03"}]))
-    (tmp_path / "q.json").write_text(json.dumps([{"query_id": "q1", "question": "是什么导致了公交瘫痪？", "question_type": "causal_tracing"}, {"query_id": "q2", "question": "假如发生内涝没有", "question_type": "counterfactual"}]))
+    (tmp_path / "q.json").write_text(json.dumps([{"query_id": "q1", "question": "为什么内涝？", "question_type": "causal_tracing"}, {"query_id": "q2", "question": "假如发生内涝没有", "question_type": "counterfactual"}]))
     config = Config({"mode": "challenge", "output_dir": "out", "input": {"documents": "docs.json", "queries": "q.json"}})
     got = {r.query_id: r for r in tiers.run(spark, config, str(tmp_path)).collect()}
     assert got["q1"].confidence > 0 and got["q1"].evidence_chain == ["R001"]
