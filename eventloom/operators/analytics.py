@@ -27,7 +27,8 @@ def _step(rank: DataFrame, weights: DataFrame, damping: float) -> DataFrame:
     held = F.sum("r").over(Window.partitionBy("graph_id"))
     joined = rank.join(got, ["graph_id", "event_id"], "left")
     new = damping * (F.coalesce("got", F.lit(0.0)) + (held - moved) / F.col("n")) + (1 - damping) / F.col("n")
-    return joined.select("graph_id", "event_id", "n", new.alias("r"), F.col("r").alias("before"))
+    kept_columns = [c for c in rank.columns if c not in ("r", "before")]
+    return joined.select(*kept_columns, new.alias("r"), F.col("r").alias("before"))
 
 
 def _even(nodes: DataFrame) -> DataFrame:
@@ -46,19 +47,17 @@ def pagerank_steps(nodes: DataFrame, edges: DataFrame, steps: int, damping: floa
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
     """(graph_id, event_id, rank): each graph stops once its ranks moved by less than nodes * tolerance in sum."""
     weights = kept(_weights(edges), "rank-weights")
-    rank = kept(_even(nodes), "rank")
-    done = None
-    for _ in range(most):
+    rank = kept(_even(nodes).withColumn("done", F.lit(False)), "rank")
+    for step in range(most):
         moved = _step(rank, weights, damping)
         off = F.sum(F.abs(F.col("r") - F.col("before"))).over(Window.partitionBy("graph_id"))
-        rank = kept(moved.withColumn("still", off >= F.col("n") * tolerance).drop("before"), "rank")
-        finished = rank.where("NOT still").drop("still")
-        done = finished if done is None else done.unionByName(finished)
-        rank = rank.where("still").drop("still")
-        if rank.isEmpty():
-            break
-    out = rank if done is None else done.unionByName(rank)
-    return out.select("graph_id", "event_id", F.col("r").alias("rank"))
+        near = moved.withColumn("near", off < F.col("n") * tolerance)
+        rank = near.select("graph_id", "event_id", "n", F.when(F.col("done"), F.col("before")).otherwise(F.col("r")).alias("r"), (F.col("done") | F.col("near")).alias("done"))
+        if step % 4 == 3 or step == most - 1:  # a few steps in one plan, then it is written
+            rank = kept(rank, "rank")
+            if rank.where("NOT done").isEmpty():
+                break
+    return rank.select("graph_id", "event_id", F.col("r").alias("rank"))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

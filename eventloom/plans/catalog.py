@@ -302,6 +302,18 @@ def causal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("graph_id", "query_id", "answer_text", F.array_join("evidence_chain", ",").alias("evidence_chain"), six("confidence"))
 
 
+def pack_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two questions about every order, answered and made ready for submission."""
+    from eventloom.operators import pack_answer
+
+    g = graphs.order_packs(spark, sf_dir)
+    records = pack_answer.records(g["nodes"], g["edges"], g["questions"])
+    submitted = pack_answer.submission(records).select("graph_id", "q_ord", F.col("confidence").alias("submitted"))
+    return records.join(submitted, ["graph_id", "q_ord"]).select(
+        "graph_id", "q_ord", six("confidence"), "confidence_level", F.size("evidence_chains").cast("long").alias("n_chains"), F.array_join(F.col("evidence_chains")[0], ",").alias("first_chain"), "submitted"
+    )
+
+
 # --- calibration and metrics ----------------------------------------------------------------------------
 
 
@@ -352,7 +364,7 @@ QUERIES = {
         sentence_split_offsets, simple_sentences, first_trigger, extract_dates, rule_extraction, map_types, map_roles, id_extract, distractor_filter, cue_evidence, ngram_overlap,
         narrative_pairs, node_merge, edge_dangling, edge_dedup, edge_conflict, clean_graph, graph_metadata, degrees_roots_leaves, graph_stats, view_nodes, pagerank_k, pagerank_converged,
         best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, root_chains, noisy_or, path_probability,
-        cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers,
+        cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
         level_calibration, confidence_calibration, micro_prf, token_f1, answer_report,
     )
 }
@@ -481,6 +493,11 @@ y AS (SELECT *, CASE WHEN contains(q, a) OR contains(q, b) THEN 3 WHEN greatest(
   CASE WHEN contains(q, 'k') THEN 1 ELSE 0 END) >= 0.5 THEN 2 ELSE 0 END AS s FROM x),
 z AS (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM y WHERE s > 0)
 SELECT r::VARCHAR AS graph_id, id AS query_id, 'N' || k AS event_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM z WHERE s = m) WHERE n <= 3""",
+    "pack_answers": """WITH o AS (SELECT l_orderkey::VARCHAR AS g, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1),
+s AS (SELECT g, n, CASE WHEN n = 3 THEN 0.55 WHEN n <= 8 THEN 0.75 ELSE pow(pow(0.75, 7 - (n - 8)) * pow(0.55, n - 8), 1.0 / 7) END::DOUBLE AS sc, CASE WHEN n <= 3 THEN 1 WHEN n = 4 THEN 4 WHEN n = 5 THEN 6 WHEN n <= 14 THEN 7 ELSE 2 END AS k FROM o)
+SELECT g AS graph_id, 1::BIGINT AS q_ord, round(sc, 4)::DOUBLE AS confidence, CASE WHEN sc >= 0.6 THEN 'probable' ELSE 'possible' END AS confidence_level, k::BIGINT AS n_chains, 'D001,' || printf('D%03d', n) AS first_chain,
+  CASE WHEN n <= 8 AND n <> 3 THEN 0.40 WHEN round(sc, 4) >= 0.65 THEN 0.17 ELSE 0.26 END::DOUBLE AS submitted FROM s
+UNION ALL SELECT g, 2, 0.7::DOUBLE, 'probable', 1, 'D001,D002', 0.21::DOUBLE FROM s""",
     "level_calibration": f"""WITH s AS (SELECT o_orderkey, {_KIND} AS t, floor(o_totalprice / 5000) / 100 AS s FROM orders),
 p AS (SELECT *, CASE WHEN s >= 0.85 THEN 'certain' WHEN s >= 0.6 THEN 'probable' WHEN s >= 0.35 THEN 'possible' WHEN s > 0.05 THEN 'low' END AS plain FROM s)
 SELECT o_orderkey, plain, CASE WHEN t = 'single_hop' THEN CASE WHEN s >= 0.6 THEN 'certain' WHEN s >= 0.4 THEN 'probable' WHEN s >= 0.25 THEN 'possible' END

@@ -76,3 +76,23 @@ def geo_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .unionByName(bought.select(c, (F.col("l_suppkey") * 10_000_000_000 + F.col("c_custkey")).alias("edge_ord"), name("S", "l_suppkey").alias("cause_event_id"), name("C", "c_custkey").alias("effect_event_id"), (F.col("d") * 10).alias("confidence")))
     )
     return nodes, edges.withColumn("relation_id", F.concat_ws(">", "cause_event_id", "effect_event_id"))
+
+
+def order_packs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A pack for each order of two lines or more: its lines as events D001, D002, …, and two questions."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).cast("long")
+    many = F.count("*").over(Window.partitionBy("l_orderkey"))
+    events = lines.withColumn("node_ord", place).withColumn("n", many).where("n > 1")
+    nodes = events.select(
+        F.col("l_orderkey").cast("string").alias("graph_id"), "node_ord", F.format_string("D%03d", F.col("node_ord")).alias("event_id"), F.lit("").alias("doc_id"), F.lit("供货").alias("event_type"), F.lit("供货").alias("trigger"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("mention"), F.array().cast(NONE).alias("arguments"), F.lit("").alias("time"), F.lit("").alias("location"), F.lit(0.9).alias("confidence"), "n",
+    )
+    last = F.format_string("D%03d", F.col("n"))
+    asked = F.array(
+        F.struct(F.lit(1).cast("long").alias("q_ord"), F.lit("temporal_causal").alias("reasoning_type"), F.concat(F.lit("D001先于"), last, F.lit("，能否认定因果？")).alias("question")),
+        F.struct(F.lit(2).cast("long").alias("q_ord"), F.lit("counterfactual").alias("reasoning_type"), F.lit("如果阻断D001，D002还会发生吗？").alias("question")),
+    )
+    questions = nodes.where("node_ord = 1").select("graph_id", F.explode(asked).alias("q")).select("graph_id", "q.*", F.lit("retrospective").alias("question_type"), F.lit("s").alias("sample_id"), F.lit("p").alias("pack_id"), F.lit("B").alias("task"))
+    nodes = nodes.drop("n")
+    return {"nodes": nodes, "edges": relate.by_order(nodes), "questions": questions}
