@@ -19,7 +19,7 @@ def reached(start: DataFrame, edges: DataFrame, keys: list[str], barred: str | N
     Level by level over all graphs at once, until no graph gains a node, or for ``levels`` levels.
     Nodes equal to the column ``barred`` are never entered.
     """
-    steps = edges.select("graph_id", F.col("cause_event_id").alias("event_id"), F.col("effect_event_id").alias("_to")).distinct()
+    steps = kept(edges.select("graph_id", F.col("cause_event_id").alias("event_id"), F.col("effect_event_id").alias("_to")).distinct(), "steps")
     seen = kept(start.select(*keys, "event_id").distinct(), "reached")
     front, level = seen, 0
     while levels is None or level < levels:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators import graph, relate
+from eventloom.sources.storage import kept
 
 NONE = "array<struct<role:string,value:string>>"
 
@@ -94,5 +95,5 @@ def order_packs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.struct(F.lit(2).cast("long").alias("q_ord"), F.lit("counterfactual").alias("reasoning_type"), F.lit("如果阻断D001，D002还会发生吗？").alias("question")),
     )
     questions = nodes.where("node_ord = 1").select("graph_id", F.explode(asked).alias("q")).select("graph_id", "q.*", F.lit("retrospective").alias("question_type"), F.lit("s").alias("sample_id"), F.lit("p").alias("pack_id"), F.lit("B").alias("task"))
-    nodes = nodes.drop("n")
-    return {"nodes": nodes, "edges": relate.by_order(nodes), "questions": questions}
+    nodes = kept(nodes.drop("n"), "order-nodes")
+    return {"nodes": nodes, "edges": kept(relate.by_order(nodes), "order-edges"), "questions": kept(questions, "order-questions")}
