@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm._shared import kept, small_or_shuffled
 from eventloom.llm.line_dedup import LOWER, UPPER
 
 LEAD = 3
 MOST = 50_000
+MOST_BROADCAST = 300_000
 #: what separates words once A-Z are lower-cased, and before
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,19 +76,19 @@ class _Windows:
         return F.expr(f"concat({', '.join(found)})" if found else "array()").cast("array<struct<at:int,size:int,window:string>>")
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Every row of ``docs``, its other columns and n_words, n_hit, _dc_items (sorted ids as
-    strings) and _dc_hit (hit word positions from 0)."""
+def hits(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", every: bool = True) -> DataFrame:
+    """Every row of ``docs`` (or but those with a hit), its other columns and n_words, n_hit, _dc_items
+    (sorted ids as strings) and _dc_hit (hit word positions from 0)."""
     windows = _Windows(items, n, item_key, item_text)
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.monotonically_increasing_id().alias("_dc_row"), F.struct(F.lit(0).alias("_dc_0"), *others).alias("_dc_rest"), word_array(F.col(text)).alias("_dc_words"))
-    spread = rows.select("_dc_row", "_dc_rest", F.size("_dc_words").cast("long").alias("n_words"), F.posexplode_outer(windows.places("_dc_words")).alias("_dc_no", "_dc_place"))
+    spread = rows.select("_dc_row", "_dc_rest", F.size("_dc_words").cast("long").alias("n_words"), (F.posexplode_outer if every else F.posexplode)(windows.places("_dc_words")).alias("_dc_no", "_dc_place"))
     places = spread.select(
         "_dc_row", "n_words", *[F.col(f"_dc_place.{c}").alias(f"_dc_{c}") for c in ("at", "size", "window")],
-        F.when(F.coalesce("_dc_no", F.lit(0)) == 0, F.col("_dc_rest")).alias("_dc_rest"),  # a row's own columns ride on its first place only
+        (F.when(F.coalesce("_dc_no", F.lit(0)) == 0, F.col("_dc_rest")) if every else F.col("_dc_rest")).alias("_dc_rest"),  # of all rows, a row's own columns ride on its first place only
     )
     by_window = windows.table.groupBy("_dc_size", "_dc_window").agg(F.collect_set("_dc_item").alias("_dc_ids"))
-    joined = places.join(F.broadcast(by_window) if windows.few else by_window, ["_dc_size", "_dc_window"], "left")
+    joined = places.join(F.broadcast(by_window) if windows.few else by_window, ["_dc_size", "_dc_window"], "left" if every else "inner")
     per_row = joined.groupBy("_dc_row").agg(
         F.max("n_words").alias("n_words"),
         F.first("_dc_rest", ignorenulls=True).alias("_dc_rest"),
@@ -107,17 +109,16 @@ def report(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id",
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns: a filter of the scan where the windows are few."""
-    windows = _Windows(items, n, "item_id", "text")
-    if not windows.few:
-        return hits(docs.withColumn("_dc_text", F.col(text)), items, n, text).where(F.col("n_hit") == 0).select(*[F.col("_dc_text").alias(c) if c == text else c for c in docs.columns])
-    known = [x for size in windows.sizes for x in windows.distinct("concat(_dc_size, ' ', _dc_window)", size)]
-    if not known:
-        return docs
-    listed = ", ".join(f"'{x}'" for x in known)  # words hold no ASCII but 0-9a-z
-    rows = docs.withColumn("_dc_words", word_array(F.col(text))).withColumn("_dc_places", windows.places("_dc_words"))
-    return rows.where(~F.expr(f"exists(_dc_places, p -> concat(p.size, ' ', p.window) IN ({listed}))")).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit, all columns.
+
+    A first scan finds the rows with hits, by key and text hash; they are counted and, if few,
+    broadcast, so that a second scan drops them without a shuffle of the texts.
+    """
+    hashed = F.xxhash64(text)
+    found = hits(docs.select(F.col(key).alias("_dc_key"), hashed.alias("_dc_hash"), text), items, n, text, every=False)
+    bad = kept(found.where(F.col("n_hit") > 0).select("_dc_key", "_dc_hash").distinct(), "contaminated")
+    return docs.join(small_or_shuffled(bad, bad.count(), MOST_BROADCAST), F.col(key).eqNullSafe(F.col("_dc_key")) & (hashed == F.col("_dc_hash")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
