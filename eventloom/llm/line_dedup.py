@@ -5,9 +5,9 @@ number of distinct documents and the largest document id. Lines of at least ``le
 points whose hash occurs in ``least_docs`` documents or more go, except in the largest id.
 
 Shuffles: (hash, doc) pairs, aggregated before they move, then per hash; the positions of the
-lines to drop, narrow rows; and the texts once, to meet their positions. A line that a third of
-all documents hold is a single aggregate row for each task; where its hash joins the lines again
-the join is one that Spark splits at run time. A document's positions are bounded by its lines.
+lines to drop, narrow rows; and the texts once, to meet their positions. The common hashes are
+written and counted; few are broadcast to the lines, many meet them in a join of two plain
+shuffles, which Spark splits at a hot hash. A document's positions are bounded by its lines.
 
 A null text is one empty line, as is an empty one. Rows that share a doc_id count as one document
 for the threshold and for "the largest doc_id"; each is rewritten by its own lines. A null doc_id
@@ -20,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm._shared import kept, small_or_shuffled
+
+MOST_BROADCAST = 300_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -49,27 +52,25 @@ def dropped_positions(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .where(F.col("_ld_docs") >= least_docs)
         .select("_ld_hash", "_ld_keep")
     )
+    common = kept(common, "common-lines")
     return (
-        lines.join(common, "_ld_hash")
+        lines.join(small_or_shuffled(common, common.count(), MOST_BROADCAST), "_ld_hash")
         .where(~F.col("_ld_key").eqNullSafe(F.col("_ld_keep")))
         .groupBy("_ld_key", "_ld_hash_of_text")
         .agg(F.collect_set("_ld_pos").alias("_ld_drop"))
     )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """Every row of ``docs`` with ``text`` rewritten and two more columns, n_lines and n_dropped."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3, counts: bool = True) -> DataFrame:
+    """Every row of ``docs`` with ``text`` rewritten; with ``counts`` also n_lines and n_dropped, which
+    replace columns of these names."""
     drops = dropped_positions(docs, key, text, least_chars, least_docs).withColumnRenamed("_ld_key", "_ld_k").withColumnRenamed("_ld_hash_of_text", "_ld_h")
     rows = docs.withColumn("_ld_hash_of_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     both = rows.join(drops.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_hash_of_text") == F.col("_ld_h")), "left")
     lines = _lines(F.col(text))
-    kept = F.when(F.col("_ld_drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
+    kept_text = F.when(F.col("_ld_drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
         F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_ld_drop"), i)), "\n")
     )
     n_lines = F.length(F.coalesce(F.col(text), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    return both.select(
-        *[c for c in docs.columns if c != text],
-        kept.alias(text),
-        n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    counted = {"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long")} if counts else {}
+    return both.select(*[kept_text.alias(c) if c == text else F.col(c) for c in docs.columns if c not in counted], *[v.alias(c) for c, v in counted.items()])
