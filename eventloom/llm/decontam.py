@@ -124,7 +124,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, key: str =
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
     """Every row of ``docs``; where it has hits, ``text`` keeps the words outside them, as they were
     written, joined by a space."""
-    found = hits(docs.withColumn("_dc_text", F.col(text)), items, n, text)
-    words = _full(F.split("_dc_text", CASED_BREAK))
-    kept = F.array_join(F.filter(words, lambda w, i: ~F.array_contains("_dc_hit", i)), " ")
-    return found.select(*[(F.when(F.col("n_hit") > 0, kept).otherwise(F.col("_dc_text")).alias(c) if c == text else c) for c in docs.columns])
+    whole = docs.select(F.struct(*docs.columns).alias("_dc_doc"), F.col(text).alias("_dc_text"))
+    found = hits(whole, items, n, "_dc_text")
+    own = F.col("_dc_doc")
+    words = _full(F.split(own[text], CASED_BREAK))
+    kept_words = F.array_join(F.filter(words, lambda w, i: ~F.array_contains("_dc_hit", i)), " ")
+    return found.select(*[(F.when(F.col("n_hit") > 0, kept_words).otherwise(own[c]).alias(c) if c == text else own[c].alias(c)) for c in docs.columns])

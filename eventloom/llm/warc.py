@@ -117,33 +117,47 @@ def read_records(chunks: DataFrame) -> DataFrame:
     """A row (schema ``RECORD``) for each record of a chunk table, checked while its chunks stream by.
 
     ``intact``: chunk numbers, running lengths and running digests agree with the data, the length
-    with the header, and a response's digest with its header.
+    with the header, and a response's digest with its header. A record without its header or its end
+    row is returned too, not intact.
     """
     order = ["record_id", "row_no", "chunk_no"]
     dealt = chunks.select(*order, "bytes_so_far", "sha1_so_far", "data").repartition("record_id", "row_no").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        at: tuple | None = None  # the record that streams by, until its end row
+        fields: dict[str, str] = {}
+
+        def close(good: bool) -> None:
+            refers = fields.get("WARC-Refers-To")
+            out.append((*at, fields.get("WARC-Target-URI"), fields.get("WARC-Type"), refers and refers[len("<urn:page:") : -1], int(fields.get("X-Payload-Length", -1)), fields.get("WARC-Payload-Digest", "")[5:], size, good))
+
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(5)]
-            for at, (record, number, no, so_far, sha) in enumerate(zip(*columns, strict=True)):
-                data = batch.column(5)[at].as_buffer()
-                if no == 0:
-                    fields = dict(x.split(": ", 1) for x in bytes(data).decode().split("\r\n")[1:] if ": " in x)
-                    running, size, good, expected = hashlib.sha1(), 0, True, 0
-                elif bytes(data[:4]) == END and so_far == int(fields["Content-Length"]) == size:
-                    digest, kind = fields["WARC-Payload-Digest"][5:], fields["WARC-Type"]
-                    good &= no == expected and (kind == "revisit" or base32_sha1(running.digest()) == digest)
-                    refers = fields.get("WARC-Refers-To")
-                    out.append((record, number, fields["WARC-Target-URI"], kind, refers and refers[len("<urn:page:") : -1], int(fields["X-Payload-Length"]), digest, size, good))
+            for row, (record, number, no, so_far, sha) in enumerate(zip(*columns, strict=True)):
+                data = batch.column(5)[row].as_buffer()
+                if (record, number) != at:
+                    if at is not None:
+                        close(False)  # its end row is missing
+                    head = bytes(data).decode() if no == 0 else ""
+                    fields = dict(x.split(": ", 1) for x in head.split("\r\n")[1:] if ": " in x)
+                    at, running, size, good, expected = (record, number), hashlib.sha1(), 0, no == 0, 1
+                    continue
+                good &= no == expected
+                expected += 1
+                if bytes(data[:4]) == END and size == so_far == int(fields.get("Content-Length", -1)):
+                    close(good and (fields["WARC-Type"] == "revisit" or base32_sha1(running.digest()) == fields["WARC-Payload-Digest"][5:]))
+                    at = None
                 else:
                     running.update(data)
                     size += len(data)
-                    good &= no == expected and size == so_far and running.hexdigest() == sha
-                expected = no + 1
+                    good &= size == so_far and running.hexdigest() == sha
             if out:
                 yield _records(out)
                 out = []
+        if at is not None:
+            close(False)
+            yield _records(out)
 
     return dealt.mapInArrow(run, RECORD)
 
