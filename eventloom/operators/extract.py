@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import lexicons as lx
 from eventloom.functions import text as tx
 from eventloom.functions.numbers import exact_round
+from eventloom.operators.numbering import numbered
 
 TOKENS = "array<struct<word:string,flag:string,start:int,end:int>>"
 MODEL_NAMES = ("pai", "pai-extractor", "ner", "seq2seq")
@@ -81,9 +82,8 @@ def arguments(sentence: Column, position: Column, time: Column, location: Column
 def events(docs: DataFrame, triggers: dict[str, list[str]] | None = None, order: list | None = None, within: list | None = None, model: str = "rule", extractor: Callable | None = None) -> DataFrame:
     """At most one event for each sentence of ``docs`` (doc_id, text, publish_time).
 
-    Ids are numbered by ``order`` (default doc_id) and sentence, over all rows or ``within`` the
-    given columns. Numbering over all rows orders them in one task as it is a running count over
-    the corpus; name the graphs' key columns in ``within`` to number each on its own.
+    Ids are numbered by ``order`` (default doc_id) and sentence, over all rows (by ranges, see
+    ``numbering``) or ``within`` the given columns.
     """
     if model in MODEL_NAMES:
         if extractor is None:
@@ -93,9 +93,13 @@ def events(docs: DataFrame, triggers: dict[str, list[str]] | None = None, order:
         raise ValueError(f"unknown extraction model: {model}")
     sentences = docs.withColumn("_s", F.explode(tx.sentences(F.col("text")))).withColumn("_t", tx.first_trigger(F.col("_s.sentence"), triggers)).where(F.col("_t").isNotNull())
     timed = sentences.withColumn("time", tx.time_in(F.col("_s.sentence"), F.col("publish_time"))).withColumn("location", tx.location_in(F.col("_s.sentence")))
-    by = Window.partitionBy(*(within or [])).orderBy(*(order or ["doc_id"]), "_s.start")
+    order = [*(order or ["doc_id"]), "_s.start"]
     hits = F.when(F.col("time") != "", 0.1).otherwise(0.0) + F.when(F.col("location") != "", 0.1).otherwise(0.0)
-    return timed.withColumn("node_ord", F.row_number().over(by).cast("long")).select(
+    if within:
+        placed = timed.withColumn("node_ord", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+    else:
+        placed = numbered(timed, order, "node_ord")
+    return placed.select(
         *(within or []), "node_ord", F.format_string("E%03d", F.col("node_ord")).alias("event_id"), "doc_id",
         F.col("_t.kind").alias("event_type"), F.col("_t.trigger").alias("trigger"), F.col("_s.sentence").alias("mention"),
         arguments(F.col("_s.sentence"), F.col("_t.position"), F.col("time"), F.col("location")).alias("arguments"),
@@ -125,9 +129,8 @@ def decoded(scores: DataFrame, type_threshold: float = 0.5, least_confidence: fl
     args = F.array_sort(F.collect_list(F.when(F.col("role") != "trigger", F.struct("start", "role", F.col("_x").alias("value")))))
     found = kept.groupBy(*by).agg(F.max(F.when(F.col("role") == "trigger", F.col("_x"))).alias("trigger"), F.max("type_prob").alias("_p"), args.alias("_a")).where(F.col("trigger").isNotNull())
     sure = found.withColumn("confidence", exact_round(F.col("_p"), 4)).where(F.col("confidence") >= least_confidence)
-    number = F.row_number().over(Window.orderBy("doc_ord", "sent_start", "event_type")).cast("long")
     pick = lambda role: F.coalesce(F.try_element_at(F.filter("_a", lambda a: a["role"] == role), F.lit(1))["value"], F.lit(""))
-    return sure.withColumn("node_ord", number).select(
+    return numbered(sure, ["doc_ord", "sent_start", "event_type"], "node_ord").select(
         "node_ord", F.format_string("E%03d", F.col("node_ord")).alias("event_id"), "doc_id", "event_type", "trigger", F.col("sentence").alias("mention"),
         F.transform("_a", lambda a: F.struct(a["role"].alias("role"), a["value"].alias("value"))).alias("arguments"), pick("time").alias("time"), pick("location").alias("location"),
         F.expr("array(sent_start, sent_start + length(sentence))").alias("char_offset"), "confidence",

@@ -87,3 +87,12 @@ def test_calibration(spark):
     rows = [("multi_hop_causal", 0.9), ("multi_hop_causal", 0.55), ("single_hop", 0.05), ("x", 0.7), ("counterfactual", 0.1), ("grounded_pred", None), ("temporal_causal", 0.45)]
     got = values(spark, rows, "k string, s double", calibrate.confidence(F.col("k"), F.col("s")), calibrate.level_for(F.col("k"), F.col("s")))
     assert got == [(0.42, "high"), (0.05, "possible"), (0.25, None), (0.6, "probable"), (0.2, "low"), (None, None), (0.26, "possible")]
+
+
+def test_numbers_over_a_whole_table(spark):
+    from eventloom.operators.numbering import numbered
+
+    df = spark.range(1000).repartition(7).withColumn("x", -F.col("id"))
+    got = numbered(df, ["x"], "n").collect()
+    assert {(r.id, r.n) for r in got} == {(i, 1000 - i) for i in range(1000)}
+    assert numbered(df.limit(0), ["x"], "n").count() == 0
