@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, chat, decontam, html_extract, line_dedup, near_dedup, quality_rules, substring_dedup, token_counts, warc
-from eventloom.llm._shared import shared_dir
+from eventloom.llm._shared import kept, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,15 +32,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four commits: all documents are inserted; the toxic ones are deleted; of the
     others those of quality 0 are revised to their texts without symbols; the second batch is
     committed again, which changes nothing."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    plain, bare = F.col("text"), F.regexp_replace("text", r"[#*$%&|<>]", "")
+    counts = [token_counts.counted(t, p).alias(f"{c}{name}") for c, t in (("all ", plain), ("bare ", bare)) for name, p in TOKENIZERS.items()]
+    docs = kept(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", *counts), "token-counts")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     known = docs.join(labels, "doc_id")
     toxic, poor = known.where("toxic = 1"), known.where("coalesce(toxic, 0) <> 1 AND quality = 0")
+    whole, stripped = ({name: F.col(f"{c}{name}") for name in TOKENIZERS} for c in ("all ", "bare "))
     ledger = token_counts.Ledger(spark, f"{shared_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
-    ledger.commit(1, token_counts.changes(docs, "insert", TOKENIZERS))
-    ledger.commit(2, token_counts.changes(toxic, "delete", TOKENIZERS))
-    ledger.commit(3, token_counts.changes(poor, "revise", TOKENIZERS, F.regexp_replace("text", r"[#*$%&|<>]", ""), F.col("text")))
-    ledger.commit(2, token_counts.changes(toxic, "delete", TOKENIZERS))
+    ledger.commit(1, token_counts.changes_of(docs, "insert", whole))
+    ledger.commit(2, token_counts.changes_of(toxic, "delete", whole))
+    ledger.commit(3, token_counts.changes_of(poor, "revise", stripped, whole))
+    ledger.commit(2, token_counts.changes_of(toxic, "delete", whole))
     return ledger.totals()
 
 

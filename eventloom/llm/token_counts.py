@@ -73,9 +73,18 @@ def counted(text: Column, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("long")
 
 
+def changes_of(rows: DataFrame, op: str, tokens: dict[str, Column], old: dict[str, Column] | None = None) -> DataFrame:
+    """Change rows of counted ``rows`` (source, lang, …), one for each tokenizer version.
+
+    Count next to the text, write the narrow rows, and join those: texts needn't be shuffled.
+    """
+    none = F.lit(None).cast("long")
+    each = [F.struct(F.lit(name).alias("tokenizer"), n.alias("tokens"), (old[name] if old else none).alias("old_tokens")) for name, n in tokens.items()]
+    return rows.select(F.lit(op).alias("op"), "source", "lang", F.explode(F.array(*each)).alias("c")).select("op", "source", "lang", "c.*")
+
+
 def changes(docs: DataFrame, op: str, tokenizers: dict[str, str], text: Column | None = None, old: Column | None = None) -> DataFrame:
-    """Change rows of ``docs``, one for each tokenizer version (its name and its token pattern)."""
+    """Change rows of ``docs`` by each tokenizer version's token pattern."""
     text = F.col("text") if text is None else text
-    none = F.lit(None).cast("long")
-    each = [F.struct(F.lit(name).alias("tokenizer"), counted(text, p).alias("tokens"), (none if old is None else counted(old, p)).alias("old_tokens")) for name, p in tokenizers.items()]
-    return docs.select(F.lit(op).alias("op"), "source", "lang", F.explode(F.array(*each)).alias("c")).select("op", "source", "lang", "c.*")
+    count = lambda t: {name: counted(t, p) for name, p in tokenizers.items()}
+    return changes_of(docs, op, count(text), None if old is None else count(old))
