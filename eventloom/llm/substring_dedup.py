@@ -252,7 +252,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
     runs = kept(_runs(rows.where(F.col("_t").isNotNull()), size, gram), "substring-runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("of"), F.min("content").alias("least"), F.max("content").alias("most")).where(F.col("of") > 1)
-    found = kept(runs.join(anchors.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "anchor"), "substring-found")
+    # written first: a join of two plain shuffles is one that Spark can split at a hot anchor
+    anchors = kept(anchors.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "substring-anchors")
+    found = kept(runs.join(anchors, "anchor"), "substring-found")
     mixed = found.where("mixed")
     distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("_k", "_h", "start", "n")).alias("at"))
     width = distinct.groupBy("anchor").agg((F.count("*") > MOST_RUNS).alias("hot"))
@@ -283,10 +285,11 @@ def removed_words(n_words: int, spans: list[dict] | None, size: int) -> np.ndarr
 
 
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``text`` replaced by the kept words joined by one space, and n_words, n_removed."""
+    """Every row of ``docs`` with ``text`` replaced by the kept words joined by one space, and n_words
+    and n_removed, which replace columns of these names."""
     spans = repeated_spans(docs, size, gram, key, text)
     others = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(F.lit(0).alias("_0"), *others).alias("_rest"), F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
+    rows = docs.select(F.struct(F.lit(0).alias("_sd_0"), *others).alias("_rest"), F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
     both = rows.join(spans.withColumnsRenamed({"_k": "_k2", "_h": "_h2"}), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +305,7 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str = "doc_i
 
     rest = rows.schema["_rest"].dataType.simpleString()
     made = both.select("_rest", "_t", "spans").mapInArrow(run, f"_rest {rest}, _new string, n_words long, n_removed long")
-    return made.select(*[(F.col("_new") if c == text else F.col("_rest")[c]).alias(c) for c in docs.columns], "n_words", "n_removed")
+    return made.select(*[(F.col("_new") if c == text else F.col("_rest")[c]).alias(c) for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
 
 
 def remove_reference(docs: DataFrame, reference: list[str], size: int = SIZE, text: str = "text") -> DataFrame:
