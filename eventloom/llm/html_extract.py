@@ -4,11 +4,13 @@ Every text node has a root-to-leaf tag path. Per page and path the text length a
 punctuation are summed and divided by the number of nodes on the path; the two ratios are fused
 into a score, the nodes' scores are smoothed along the page, and the paths whose score passes a
 threshold (a share of the page's standard deviation above nothing) select the content nodes. The
-element that holds these nodes is followed down from the body while one container below it still
-holds most of their text; all blocks of that element are the main text, so that short paragraphs
-and headings between long ones stay. Elements that are never main text by their tag (menus, page
-headers and footers, asides, forms, scripts, styles) or by a word in their class, id or role
-(advert, cookie notice, comments, sidebar and the like) are left out before and after.
+element that holds these nodes is followed down from the body to an article or main element or to
+the lowest container that still holds every one of them outside links: a container is entered only
+if its siblings hold none. All blocks of that element are the main text, so that leads, short
+paragraphs and headings beside or between long ones stay. Elements that are never main text by
+their tag (menus, page headers and footers, asides, forms, scripts, styles) or by a word in their
+class, id or role (advert, cookie notice, comments, sidebar and the like) are left out before and
+after.
 
 Tags are read by one regular expression, so broken mark-up costs no more than well-formed one:
 unclosed and stray tags, comments and raw script text are tolerated. One map over the rows, no
@@ -134,7 +136,7 @@ def path_scores(nodes: list[tuple[int, _Element, int, str]], smooth: float = 1.0
     return (by_path >= share * by_path.std())[of]
 
 
-def main_text(html: str | None, hold: float = 0.75) -> str:
+def main_text(html: str | None) -> str:
     """The main text of one page."""
     nodes, every = _nodes(html or "")
     if not nodes:
@@ -148,7 +150,7 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
         if e.tag in CONTAINER and not e.skipped and e.weight >= getattr(heaviest.get(id(e.parent)), "weight", 0):
             heaviest[id(e.parent)] = e
     root = every[0]
-    while root.weight and root.tag not in ("article", "main") and id(root) in heaviest and heaviest[id(root)].weight >= hold * root.weight:
+    while root.weight and root.tag not in ("article", "main") and id(root) in heaviest and heaviest[id(root)].weight == root.weight:
         root = heaviest[id(root)]
     for e in every:
         e.inside = e is root or bool(e.parent and e.parent.inside)

@@ -135,6 +135,19 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class=post><h1>Title</h1><p>{lead}</p><div class=body><p>{body}</p><p>{body}</p></div></div>",
+        "<div><a href=/>Home</a></div><div class=post><h1>Title</h1><div class=lead><p>{lead}</p></div><div class=text><div><p>{body}</p><p>{body}</p></div></div></div>",
+        "<div><h1>Title</h1><p>{lead}</p><table><tr><td>{body}<tr><td>{body}</table></div>",
+    ],
+)
+def test_html_without_article_keeps_siblings(page):
+    lead, body = "Lead words, here and there. " * 8, "Body words, on and on, again. " * 30
+    assert html_extract.main_text(page.format(lead=lead, body=body)).split("\n") == ["Title", lead.strip(), body.strip(), body.strip()]
+
+
 # --- 4 -------------------------------------------------------------------------------------------------
 
 
