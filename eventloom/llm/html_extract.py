@@ -13,8 +13,11 @@ class, id or role (advert, cookie notice, comments, sidebar and the like) are le
 after.
 
 Tags are read by one regular expression, so broken mark-up costs no more than well-formed one:
-unclosed and stray tags, comments and raw script text are tolerated. One map over the rows, no
-shuffle; memory is bounded by a page. Character references are decoded, white space inside a
+unclosed and stray tags and comments are tolerated. Raw text (script, style, noscript, textarea,
+iframe) is passed over up to its end tag or, as in browsers, to the end of the page. A head ends
+at its end tag, the first tag that it can't hold or the first text; svg, math and select end at a
+flow tag they can't hold, and svg, math, object and template that end nowhere are no more than
+their tag. One map over the rows, no shuffle; memory is bounded by a page. Character references are decoded, white space inside a
 block becomes one space, blocks are trimmed, empty blocks vanish, the rest is joined by a line
 feed. A null or empty page, or one without main text, gives an empty text. Rows are independent;
 an empty table gives an empty result; extra columns are ignored.
@@ -31,10 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|select|object|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+|[^>]*)>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+|[^>]*)>""",
     re.S | re.I,
 )
-SKIPPED = frozenset("nav header footer aside form menu dialog button".split())
+SKIPPED = frozenset("nav header footer aside form menu dialog button head svg math select object template".split())
+OPAQUE = frozenset("svg math select object template".split())  # skipped inside a line of text: they end no block
+UNENDED = OPAQUE - {"select"}  # without an end tag in the rest of the page, only the tag is skipped
+HEAD = frozenset("title base basefont bgsound link meta noframes template".split())  # what doesn't end the head
+NESTED = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext template".split())  # where svg, math and templates hold flow
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINER = frozenset("html body div article main section table tbody tr td center".split())
@@ -48,15 +55,30 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¡¿]")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "skipped", "path", "linked", "weight", "inside")
+    __slots__ = ("tag", "parent", "skipped", "path", "linked", "opaque", "weight", "inside")
 
     def __init__(self, tag: str, parent: "_Element | None", skipped: bool, path: int):
         self.tag, self.parent, self.skipped, self.path = tag, parent, skipped, path
         self.linked = tag == "a" or bool(parent and parent.linked)
+        self.opaque = tag in OPAQUE or bool(parent and parent.opaque)
         self.weight = 0.0
         self.inside = False
 
 
+def _in_head(top: _Element) -> bool:
+    return top.tag == "head" or top.tag == "title" and top.parent.tag == "head"
+
+
+def _end_skipped(stack: list[_Element], tag: str) -> None:
+    """Ends an open svg, math or select, which can't hold the flow tag ``tag``; an open object at a new main element."""
+    for i in range(len(stack) - 1, 0, -1):
+        if not stack[i].skipped or stack[i].tag in NESTED:
+            return
+        if stack[i].tag in ("svg", "math") or (stack[i].tag == "select" and tag != "hr") or (stack[i].tag == "object" and tag in ("body", "article", "main")):
+            del stack[i:]
+            return
+
+
 def _nodes(html: str) -> tuple[list[tuple[int, _Element, int, str]], list[_Element]]:
     """(block number, element, number of its tag path, raw text) of every text node outside skipped elements."""
     paths: dict[tuple[int, str], int] = {}
@@ -65,7 +87,16 @@ def _nodes(html: str) -> tuple[list[tuple[int, _Element, int, str]], list[_Eleme
     nodes: list[tuple[int, _Element, int, str]] = []
     block, at = 0, 0
 
+    ends: dict[str, int] = {}  # where the last end tag of each name starts
+
+    def ended(tag: str, at: int) -> bool:
+        if tag not in ends:
+            ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", html, re.I)), default=-1)
+        return ends[tag] >= at
+
     def text(raw: str) -> None:
+        if stack[-1].tag == "head" and not raw.isspace():
+            stack.pop()
         top = stack[-1]
         if raw and not top.skipped:
             if not raw.isspace():
@@ -84,17 +115,29 @@ def _nodes(html: str) -> tuple[list[tuple[int, _Element, int, str]], list[_Eleme
         if tag == "br":
             text(" ")
             continue
-        if tag not in INLINE:
-            block += 1
+        if not m[2]:
+            if _in_head(stack[-1]):
+                if tag in ("html", "head") or (tag in INLINE and stack[-1].tag == "title"):
+                    continue
+                if stack[-1].tag == "title":
+                    stack.pop()
+                if tag not in HEAD:
+                    stack.pop()
+            elif stack[-1].opaque and (tag in CLOSES_P or tag == "body"):
+                _end_skipped(stack, tag)
         if m[2]:
+            of = stack[-1]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    of = stack[i]
                     del stack[i:]
                     break
                 if stack[i].tag in CONTAINER and tag in INLINE:
                     break  # a stray inline end tag closes no container
+            block += tag not in INLINE and not of.opaque
             continue
-        if tag in VOID:
+        block += tag not in INLINE and tag not in OPAQUE and not stack[-1].opaque
+        if tag in VOID or (tag in UNENDED and not ended(tag, at)):
             continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
@@ -108,7 +151,7 @@ def _nodes(html: str) -> tuple[list[tuple[int, _Element, int, str]], list[_Eleme
                 if stack[i].tag in SIBLING[tag]:
                     del stack[i:]
                     break
-                if stack[i].tag in CONTAINER or stack[i].tag in ("ul", "ol", "dl"):
+                if stack[i].tag in CONTAINER or stack[i].tag in OPAQUE or stack[i].tag in ("ul", "ol", "dl"):
                     break
         top = stack[-1]
         skipped = top.skipped or tag in SKIPPED or bool(tag not in ("html", "body", "article", "main") and m[4] and NAMED.search(m[4]))

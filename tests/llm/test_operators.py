@@ -148,6 +148,24 @@ def test_html_without_article_keeps_siblings(page):
     assert html_extract.main_text(page.format(lead=lead, body=body)).split("\n") == ["Title", lead.strip(), body.strip(), body.strip()]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>Name</title><meta charset=utf-8><body><p>Kept text.</p>", "Kept text."),
+        ("<head><title>Name<p>Kept text.</p>", "Kept text."), ("<head><title>Using <b> tags</title></head><p>Kept.</p>", "Kept."), ("<head><title>Name</title>Plain text", "Plain text"),
+        ("<head><template><div>No</div></template><title>Name</title></head><p>Kept.</p>", "Kept."), ("<html><head><head><title>A<title>B<p>Kept.</p>", "Kept."),
+        ("<body><svg viewBox='0 0 1 1'/><article><p>One.</p><p>Two.</p></article><svg><text>No</text></svg>", "One.\nTwo."),
+        ("<article><p>One.</p><object data=x /><p>Two.</p></article>", "One.\nTwo."), ("<article><p>One.</p><svg><path d=x><p>Two.</p></article>", "One.\nTwo."),
+        ("<body><object data=x><article><p>One.</p></article><object data=y>No</object>", "One."), ("<p>One <svg><g><text>no</text></g></svg> line.</p>", "One line."),
+        ("<p>One <select><option>no</option><option>none</select> line.</p>", "One line."), ("<article><svg><foreignObject><div>No</div></foreignObject></svg><p>One.</p></article>", "One."),
+        ("<article><head-line>Big news.</head-line><p>One.</p><select-x>Two.</select-x></article>", "Big news.\nOne.\nTwo."), ("<p>a<script >no</script x>b</p>", "ab"),
+        ("<p>a<template><p>no</p></template>b</p>", "ab"), ("<article><template><p>One.</p></article>", "One."), ("<ul><li>a<template><li>no</template>b</ul>", "ab"),
+    ],
+)
+def test_html_head_and_embedded_elements(page, text):
+    assert html_extract.main_text(page) == text
+
+
 # --- 4 -------------------------------------------------------------------------------------------------
 
 
