@@ -334,6 +334,11 @@ def confidence_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("o_orderkey", calibrate.confidence(F.col("rtype"), F.col("score")).alias("confidence"))
 
 
+def confidence_calibration_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's confidence, rounding ties included; ``confidence_calibration`` and its SQL leave those out."""
+    return _scored(spark, sf_dir).select("o_orderkey", calibrate.confidence(F.col("rtype"), F.col("score")).alias("confidence"))
+
+
 def _keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     gold = labels.select("doc_id", F.col("quality").alias("kind"))
@@ -365,7 +370,7 @@ QUERIES = {
         narrative_pairs, node_merge, edge_dangling, edge_dedup, edge_conflict, clean_graph, graph_metadata, degrees_roots_leaves, graph_stats, view_nodes, pagerank_k, pagerank_converged,
         best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, root_chains, noisy_or, path_probability,
         cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
-        level_calibration, confidence_calibration, micro_prf, token_f1, answer_report,
+        level_calibration, confidence_calibration, confidence_calibration_all, micro_prf, token_f1, answer_report,
     )
 }
 FLAGSHIP = "cause_chains"
