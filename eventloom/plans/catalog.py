@@ -230,6 +230,14 @@ def path_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.path_probability(path, adj).select("graph_id", joined("path"), six("p"))
 
 
+def path_probability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every four consecutive events of each user as a path, numbered by its first event's place; fewer if the user has no four."""
+    nodes, adj = _user_adjacency(spark, sf_dir)
+    starts = nodes.select("graph_id", "node_ord", "event_id", F.explode(F.sequence(F.greatest(F.col("node_ord") - 3, F.lit(1)), F.col("node_ord"))).alias("path_id"))
+    path = starts.groupBy("graph_id", "path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", "event_id"))), lambda x: x["event_id"]).alias("path")).where("size(path) = 4 OR path_id = 1")
+    return paths.path_probability(path, adj).select("graph_id", "path_id", joined("path"), six("p"))
+
+
 # --- interventions and scenarios -------------------------------------------------------------------------
 
 
@@ -368,7 +376,7 @@ QUERIES = {
     for f in (
         sentence_split_offsets, simple_sentences, first_trigger, extract_dates, rule_extraction, map_types, map_roles, id_extract, distractor_filter, cue_evidence, ngram_overlap,
         narrative_pairs, node_merge, edge_dangling, edge_dedup, edge_conflict, clean_graph, graph_metadata, degrees_roots_leaves, graph_stats, view_nodes, pagerank_k, pagerank_converged,
-        best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, root_chains, noisy_or, path_probability,
+        best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, root_chains, noisy_or, path_probability, path_probability_all,
         cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
         level_calibration, confidence_calibration, confidence_calibration_all, micro_prf, token_f1, answer_report,
     )

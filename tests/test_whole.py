@@ -30,3 +30,14 @@ def test_confidence_of_every_order(spark):
     orders = read("orders")
     want = {o.o_orderkey: calibrated(catalog.SCORES[len(o.o_orderpriority) % 10], math.floor(o.o_totalprice / 5000) / 100) for o in orders.itertuples()}
     assert len(got) == len(orders) and got == want
+
+
+def test_paths_over_every_event(spark):
+    got = {(r.graph_id, r.path_id): (r.path, r.p) for r in entry.queries()["path_probability_all"](spark, FOLDER).collect()}
+    sizes, want = read("events").groupby("user_id").size(), {}
+    for user, n in sizes.items():
+        for i in range(1, max(1, n - 3) + 1):
+            steps = min(n, i + 3) - i
+            want[str(user), i] = (",".join(f"E{k}" for k in range(i, i + steps + 1)), round(0.75**steps, 6))
+    assert got == want
+    assert sum(len({e for (g, _), (path, _) in got.items() if g == str(user) for e in path.split(",")}) for user in sizes.index) == sizes.sum()
