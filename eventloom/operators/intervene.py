@@ -80,3 +80,63 @@ def measures(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int =
     pn = F.when(odd, 0.0).when(~lives, 1.0).otherwise(exact_round(F.lit(1.0) - F.coalesce("detour", F.lit(0.0)), 6))
     none = F.array().cast(joined.schema["alt"].dataType)
     return joined.select(*PAIR, "effect", pn.alias("pn"), F.coalesce("_ps", F.lit(0.0)).alias("ps"), F.when(odd | ~lives, none).otherwise(F.coalesce("alt", none)).alias("alt"), (~odd & ~lives).alias("effect_dead")).withColumn("pns", F.col("pn") * F.col("ps"))
+
+
+def fallen(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, cause, event_id) of ``dead`` for every node as a cause, without listing causes x nodes.
+
+    A node falls with those that all its chains from roots pass: itself and what all its causes fall
+    with. Causes that nothing has reached yet don't count until they are; a node that no root reaches
+    falls with every cause. Rows move by the node, so memory and shuffles grow with edges and results.
+    """
+    own = kept(nodes.select("graph_id", "event_id").distinct(), "fallen-nodes")
+    steps = kept(edges.select("graph_id", F.col("cause_event_id").alias("_from"), F.col("effect_event_id").alias("event_id")).where("_from <> event_id").distinct(), "fallen-steps")
+    start = gr.roots(nodes, edges).select("graph_id", F.col("event_id").alias("cause"), "event_id").distinct()
+    known = kept(start, "fallen")
+    while True:
+        sent = steps.join(known.withColumnRenamed("event_id", "_from"), ["graph_id", "_from"]).select("graph_id", "event_id", "cause", (F.col("cause") == F.col("_from")).cast("int").alias("_own"))
+        counts = sent.groupBy("graph_id", "event_id", "cause").agg(F.count("*").alias("n"), F.sum("_own").alias("_own"))
+        total = counts.groupBy("graph_id", "event_id").agg(F.sum("_own").alias("total"))  # every reached cause falls with itself
+        shared = counts.join(total, ["graph_id", "event_id"]).where("n = total AND cause <> event_id").select("graph_id", "cause", "event_id")
+        after = kept(start.unionByName(shared).unionByName(total.select("graph_id", F.col("event_id").alias("cause"), "event_id")), "fallen")
+        if after.count() == known.count() and after.join(known, ["graph_id", "cause", "event_id"], "left_anti").isEmpty():
+            break
+        known = after
+    lost = own.join(known, ["graph_id", "event_id"], "left_anti")
+    by_all = lost.join(own.select("graph_id", F.col("event_id").alias("cause")), "graph_id").select("graph_id", "cause", "event_id")
+    return known.join(own, ["graph_id", "event_id"], "left_semi").select("graph_id", "cause", "event_id").unionByName(by_all)
+
+
+def edge_measures(nodes: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
+    """``measures`` (graph_id, cause, effect, pn, ps, pns, alt_root, effect_dead) of every edge between two nodes.
+
+    Each node keeps its best chain from a root and, for each node on that, the best one that avoids it:
+    depth + 1 chains at most, which give every other node's from level to level. Among equal chains
+    the root of the lowest place counts.
+    """
+    adj = kept(gr.adjacency(edges).where("src <> dst").select("graph_id", "src", "dst", "p"), "measured-edges")
+    at = ["graph_id", "event_id"]
+    start = kept(gr.roots(nodes, edges).select(*at, F.lit(-1.0).alias("m"), "node_ord", F.array("event_id").alias("path")), "chains")  # m: -p
+    pick = F.min(F.struct("m", "node_ord", "path")).alias("b")
+    chains = start
+    for _ in range(depth):
+        step = chains.join(adj.withColumnRenamed("src", "event_id"), at).where(~F.array_contains("path", F.col("dst")))
+        step = kept(step.select("graph_id", F.col("dst").alias("event_id"), (F.col("m") * F.col("p")).alias("m"), "node_ord", F.array_append("path", F.col("dst")).alias("path")), "chains")
+        best = kept(step.groupBy(*at).agg(pick).select(*at, "b.*"), "chains")
+        barred = best.select(*at, F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("_no"))
+        others = step.join(barred, at).where(~F.array_contains("path", F.col("_no"))).groupBy(*at, "_no").agg(pick).select(*at, "b.*")
+        chains = kept(start.unionByName(best).unionByName(others).distinct(), "chains")
+    pairs = adj.select("graph_id", F.col("src").alias("cause"), F.col("dst").alias("effect")).distinct()
+    node = nodes.select("graph_id", "event_id").distinct()
+    for side in ("cause", "effect"):
+        pairs = pairs.join(node.withColumnRenamed("event_id", side), ["graph_id", side], "left_semi")
+    detour = (
+        pairs.join(chains.withColumnRenamed("event_id", "effect"), ["graph_id", "effect"]).where(~F.array_contains("path", F.col("cause")))
+        .groupBy(*PAIR, "effect").agg(pick).select(*PAIR, "effect", (-F.col("b.m")).alias("detour"), F.try_element_at("b.path", F.lit(1)).alias("alt_root"))
+    )
+    best = pt.best_paths(gr.adjacency(edges), depth).select("graph_id", F.col("src").alias("cause"), F.col("dst").alias("effect"), "p")
+    gone = fallen(nodes, edges).withColumnRenamed("event_id", "effect").withColumn("_dead", F.lit(True))
+    joined = pairs.join(detour, [*PAIR, "effect"], "left").join(best, [*PAIR, "effect"], "left").join(gone, [*PAIR, "effect"], "left")
+    died = F.col("_dead").isNotNull()
+    pn = F.when(died, 1.0).otherwise(exact_round(F.lit(1.0) - F.coalesce("detour", F.lit(0.0)), 6))
+    return joined.select(*PAIR, "effect", pn.alias("pn"), F.coalesce("p", F.lit(0.0)).alias("ps"), F.when(~died, F.col("alt_root")).alias("alt_root"), died.alias("effect_dead")).withColumn("pns", F.col("pn") * F.col("ps"))

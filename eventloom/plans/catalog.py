@@ -10,6 +10,7 @@ from eventloom.functions import text as tx
 from eventloom.operators import analytics, anchor, calibrate, extract, graph, intervene, mapping, metrics, paths, relate, scenario
 from eventloom.plans import graphs
 from eventloom.plans.graphs import table
+from eventloom.sources.storage import kept
 
 #: Trigger words of the invented languages' texts, by language.
 TRIGGERS = {"en": ["that", "with"], "fr": ["pour"], "es": ["por"], "de": ["auf"]}
@@ -259,6 +260,17 @@ def cascade_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.groupBy("graph_id", "cause").agg(F.count("*").alias("n_dead"), F.min("event_id").alias("first_dead"))
 
 
+def _kept_geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = graphs.geo_graph(spark, sf_dir)
+    return kept(nodes.select("graph_id", "event_id", "node_ord"), "geo-nodes"), kept(edges, "geo-edges")
+
+
+def cascade_geo_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cascade_geo`` with every region, nation, supplier and customer as a cause."""
+    lost = intervene.fallen(*_kept_geo(spark, sf_dir))
+    return lost.groupBy("graph_id", "cause").agg(F.count("*").alias("n_dead"), F.min("event_id").alias("first_dead"))
+
+
 def necessity_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PN, PS and PNS of each nation for its customers."""
     nodes, edges = graphs.geo_graph(spark, sf_dir)
@@ -267,6 +279,12 @@ def necessity_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("graph_id", "cause", "effect", six("pn"), six("ps"), six("pns"), "effect_dead", F.try_element_at("alt", F.lit(1)).alias("alt_root"))
 
 
+def necessity_sufficiency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PN, PS and PNS of every edge: of regions for nations, nations and suppliers for customers."""
+    found = intervene.edge_measures(*_kept_geo(spark, sf_dir), 3)
+    return found.select("graph_id", "cause", "effect", six("pn"), six("ps"), six("pns"), "effect_dead", "alt_root")
+
+
 def forward_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each event type leads to in the end, itself included."""
     nodes, edges = graphs.type_graph(spark, sf_dir)
@@ -377,7 +395,7 @@ QUERIES = {
         sentence_split_offsets, simple_sentences, first_trigger, extract_dates, rule_extraction, map_types, map_roles, id_extract, distractor_filter, cue_evidence, ngram_overlap,
         narrative_pairs, node_merge, edge_dangling, edge_dedup, edge_conflict, clean_graph, graph_metadata, degrees_roots_leaves, graph_stats, view_nodes, pagerank_k, pagerank_converged,
         best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, root_chains, noisy_or, path_probability, path_probability_all,
-        cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
+        cascade, cascade_geo, cascade_geo_all, necessity_sufficiency, necessity_sufficiency_all, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
         level_calibration, confidence_calibration, confidence_calibration_all, micro_prf, token_f1, answer_report,
     )
 }

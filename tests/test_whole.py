@@ -2,13 +2,16 @@
 
 import math
 import os
+import random
 
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from eventloom.functions import lexicons as lx
+from eventloom.operators import intervene
 from eventloom.plans import catalog
+from helpers import graph, random_graphs
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -41,3 +44,32 @@ def test_paths_over_every_event(spark):
             want[str(user), i] = (",".join(f"E{k}" for k in range(i, i + steps + 1)), round(0.75**steps, 6))
     assert got == want
     assert sum(len({e for (g, _), (path, _) in got.items() if g == str(user) for e in path.split(",")}) for user in sizes.index) == sizes.sum()
+
+
+def test_every_edge_and_cause_against_listed_pairs(spark):
+    nodes = edges = None
+    for i, (names, links) in enumerate(random_graphs(random.Random(7), 25)):
+        n, e = graph(spark, links, names, f"g{i}")
+        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    nodes, edges = nodes.localCheckpoint(), edges.localCheckpoint()
+    causes = nodes.select("graph_id", nodes.event_id.alias("cause"))
+    dead = {(r.graph_id, r.cause, r.event_id) for r in intervene.dead(nodes, causes, intervene.alive(nodes, edges, causes)).collect()}
+    fallen = [(r.graph_id, r.cause, r.event_id) for r in intervene.fallen(nodes, edges).collect()]
+    assert len(fallen) == len(set(fallen)) and set(fallen) == dead
+    pairs = edges.select("graph_id", edges.cause_event_id.alias("cause"), edges.effect_event_id.alias("effect"))
+    show = lambda r: (r.graph_id, r.cause, r.effect, round(r.pn, 6), round(r.ps, 6), round(r.pns, 6), r.effect_dead)
+    want = sorted(map(show, intervene.measures(nodes, edges, pairs, 3).collect()))
+    assert want and sorted(map(show, intervene.edge_measures(nodes, edges, 3).collect())) == want
+
+
+def test_geo_queries_cover_all_nodes_and_edges(spark):
+    q = entry.queries()
+    part, whole = (pd.DataFrame(q[n](spark, FOLDER).toPandas()).set_index(["graph_id", "cause", "effect"]).sort_index() for n in ("necessity_sufficiency", "necessity_sufficiency_all"))
+    pd.testing.assert_frame_equal(whole.loc[part.index][part.columns], part)
+    orders, customers = read("orders"), read("customer")
+    bought = read("lineitem").merge(orders, left_on="l_orderkey", right_on="o_orderkey")[["l_suppkey", "o_custkey"]].drop_duplicates()
+    assert len(whole) == 25 + len(customers) + len(bought) and whole.index.is_unique
+    part, whole = (q[n](spark, FOLDER).toPandas().set_index(["graph_id", "cause"]).sort_index() for n in ("cascade_geo", "cascade_geo_all"))
+    pd.testing.assert_frame_equal(whole.loc[part.index], part)
+    served = bought.merge(customers, left_on="o_custkey", right_on="c_custkey")[["l_suppkey", "c_nationkey"]].drop_duplicates()
+    assert len(whole) == 50 + len(customers) + len(served)
