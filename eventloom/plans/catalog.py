@@ -389,6 +389,14 @@ def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.answer_report(side(1), side(0)).select("total", "exact_match", six("em"), six("avg_f1"))
 
 
+def answer_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as gold for the assistant turn that follows it; a user turn without one counts as unmatched."""
+    after = F.lead(F.struct("role", "text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = table(spark, sf_dir, "conversations").withColumn("after", after).where("role = 'user'").withColumn("query_id", F.struct("conv_id", "turn"))
+    replies = turns.where("after.role = 'assistant'").select("query_id", F.col("after.text").alias("answer_text"))
+    return metrics.answer_report(replies, turns.select("query_id", F.col("text").alias("answer_text"))).select("total", "exact_match", six("em"), six("avg_f1"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -396,7 +404,7 @@ QUERIES = {
         narrative_pairs, node_merge, edge_dangling, edge_dedup, edge_conflict, clean_graph, graph_metadata, degrees_roots_leaves, graph_stats, view_nodes, pagerank_k, pagerank_converged,
         best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, root_chains, noisy_or, path_probability, path_probability_all,
         cascade, cascade_geo, cascade_geo_all, necessity_sufficiency, necessity_sufficiency_all, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
-        level_calibration, confidence_calibration, confidence_calibration_all, micro_prf, token_f1, answer_report,
+        level_calibration, confidence_calibration, confidence_calibration_all, micro_prf, token_f1, answer_report, answer_report_all,
     )
 }
 FLAGSHIP = "cause_chains"

@@ -73,3 +73,14 @@ def test_geo_queries_cover_all_nodes_and_edges(spark):
     pd.testing.assert_frame_equal(whole.loc[part.index], part)
     served = bought.merge(customers, left_on="o_custkey", right_on="c_custkey")[["l_suppkey", "c_nationkey"]].drop_duplicates()
     assert len(whole) == 50 + len(customers) + len(served)
+
+
+def test_report_of_every_user_turn(spark):
+    got = entry.queries()["answer_report_all"](spark, FOLDER).first()
+    turns = {(t.conv_id, t.turn): t for t in read("conversations").itertuples()}
+    gold = [t for t in turns.values() if t.role == "user"]
+    pairs = [(t.text, n.text) for t in gold if (n := turns.get((t.conv_id, t.turn + 1))) and n.role == "assistant"]
+    same = sum(a.strip() == b.strip() for a, b in pairs)
+    f1 = [2 * len(x & y) / (len(x) + len(y)) for a, b in pairs for x, y in [(set(a.split()), set(b.split()))]]
+    assert (got.total, got.exact_match) == (len(gold), same) and len(gold) > len({t.conv_id for t in gold})
+    assert got.em == pytest.approx(same / len(gold), abs=1e-6) and got.avg_f1 == pytest.approx(sum(f1) / len(gold), abs=1e-6)
