@@ -209,6 +209,24 @@ def geom_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.top_paths(paths.all_paths(adj, HOPS)).select("graph_id", "src", "dst", F.col("rank").cast("long").alias("rank"), joined("rids"), six("score"))
 
 
+def best_paths_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``best_paths_k`` of up to five edges, the depth of tracing."""
+    _, adj = _user_adjacency(spark, sf_dir)
+    return paths.best_paths(adj, 5).select("graph_id", "src", "dst", joined("rids"), six("p"), F.col("hops").cast("long").alias("hops"))
+
+
+def topk_paths_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``topk_paths`` of up to five edges."""
+    _, adj = _user_adjacency(spark, sf_dir)
+    return paths.top_k(paths.all_paths(adj, 5), 2).select("graph_id", "src", "dst", F.col("rank").cast("long").alias("rank"), joined("rids"), six("p"))
+
+
+def geom_paths_7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``geom_paths`` of up to seven edges, the operator's own bound."""
+    _, adj = _user_adjacency(spark, sf_dir)
+    return paths.top_paths(paths.all_paths(adj, 7)).select("graph_id", "src", "dst", F.col("rank").cast("long").alias("rank"), joined("rids"), six("score"))
+
+
 def root_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains from root events to customers of their nation."""
     nodes, edges = graphs.geo_graph(spark, sf_dir)
@@ -402,7 +420,7 @@ QUERIES = {
     for f in (
         sentence_split_offsets, simple_sentences, first_trigger, extract_dates, rule_extraction, map_types, map_roles, id_extract, distractor_filter, cue_evidence, ngram_overlap,
         narrative_pairs, node_merge, edge_dangling, edge_dedup, edge_conflict, clean_graph, graph_metadata, degrees_roots_leaves, graph_stats, view_nodes, pagerank_k, pagerank_converged,
-        best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, root_chains, noisy_or, path_probability, path_probability_all,
+        best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, best_paths_5, topk_paths_5, geom_paths_7, root_chains, noisy_or, path_probability, path_probability_all,
         cascade, cascade_geo, cascade_geo_all, necessity_sufficiency, necessity_sufficiency_all, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
         level_calibration, confidence_calibration, confidence_calibration_all, micro_prf, token_f1, answer_report, answer_report_all,
     )

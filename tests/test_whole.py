@@ -84,3 +84,20 @@ def test_report_of_every_user_turn(spark):
     f1 = [2 * len(x & y) / (len(x) + len(y)) for a, b in pairs for x, y in [(set(a.split()), set(b.split()))]]
     assert (got.total, got.exact_match) == (len(gold), same) and len(gold) > len({t.conv_id for t in gold})
     assert got.em == pytest.approx(same / len(gold), abs=1e-6) and got.avg_f1 == pytest.approx(sum(f1) / len(gold), abs=1e-6)
+
+
+@pytest.mark.parametrize(("name", "hops", "k"), [("best_paths_5", 5, 1), ("topk_paths_5", 5, 2), ("geom_paths_7", 7, 6)])
+def test_longer_paths(spark, name, hops, k):
+    """Steps go one or two places on: a path of b double steps over d places has d - b edges."""
+    best = {}
+    for d in range(1, 2 * hops + 1):
+        ways = [0.75 ** (d - 2 * b) * 0.55**b for b in range(d // 2 + 1) for _ in range(math.comb(d - b, b)) if d - b <= hops]
+        if name == "geom_paths_7":
+            ways = [(0.75 ** (d - 2 * b) * 0.55**b) ** (1 / (d - b)) for b in range(d // 2 + 1) for _ in range(math.comb(d - b, b)) if d - b <= hops]
+        best[d] = sorted(ways, reverse=True)[:k]
+    want = {(str(user), f"E{i}", f"E{i + d}"): best[d] for user, n in read("events").groupby("user_id").size().items() for i in range(1, n + 1) for d in best if i + d <= n}
+    got = {}
+    for r in entry.queries()[name](spark, FOLDER).collect():
+        got.setdefault((r.graph_id, r.src, r.dst), []).append(r.score if name == "geom_paths_7" else r.p)
+    assert got.keys() == want.keys()
+    assert all(sorted(got[x], reverse=True) == pytest.approx(want[x], abs=2e-6) for x in want)
