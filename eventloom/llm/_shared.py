@@ -1,11 +1,11 @@
-"""Where the operators of this subpackage put what several stages read again."""
+"""What the operators of this subpackage share: written tables, joins by counted size, packed rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def small_or_shuffled(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are at most ``most``; else as it is."""
     return F.broadcast(df) if rows <= most else df
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``_row``, so that no name of its columns clashes with inner ones."""
+    return df.select(F.struct(*df.columns).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The ``columns`` of ``_row``, some replaced; those of ``new`` that aren't among them come last."""
+    return df.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in columns], *[v.alias(c) for c, v in new.items() if c not in columns])

@@ -4,15 +4,18 @@ Lines are exploded with their position, normalised, and hashed (MD5, 128 bits);
 number of distinct documents and the largest document id. Lines of at least ``least_chars`` code
 points whose hash occurs in ``least_docs`` documents or more go, except in the largest id.
 
-Shuffles: (hash, doc) pairs, aggregated before they move, then per hash; the positions of the
-lines to drop, narrow rows; and the texts once, to meet their positions. The common hashes are
-written and counted; few are broadcast to the lines, many meet them in a join of two plain
-shuffles, which Spark splits at a hot hash. A document's positions are bounded by its lines.
+Texts are split and hashed once: the (document, position, hash) rows of the lines that are long
+enough are written, counted by hash (aggregated before they move) and met again by the common
+hashes. These are counted too; few are broadcast, many meet the lines in a join of two plain
+shuffles, which Spark splits at a hot hash. What moves besides are the positions to drop, narrow
+rows. Of the texts only those that lose a line are shuffled; the others pass by, told apart by the
+documents' keys, which are broadcast if few and joined by a shuffle if many. Rewriting is linear in
+a document's lines, and its memory is bounded by them.
 
 A null text is one empty line, as is an empty one. Rows that share a doc_id count as one document
 for the threshold and for "the largest doc_id"; each is rewritten by its own lines. A null doc_id
 counts as one document, smaller than every id. An empty table gives an empty result. Extra
-columns pass through; inner columns begin with ``_ld_``.
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._shared import kept, small_or_shuffled
+from eventloom.llm._shared import kept, packed, small_or_shuffled, unpacked
 
 MOST_BROADCAST = 300_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,27 +39,34 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def but(items: Column, positions: Column) -> Column:
+    """``items`` without those at ``positions`` (from 0), in time linear in both."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(items) - 1), positions)
+    return F.transform(left, lambda i: F.get(items, i))
+
+
 def dropped_positions(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """(_ld_key, _ld_hash_of_text, _ld_drop array<int>): the lines to drop, for rows that have any."""
-    rows = docs.select(F.col(key).alias("_ld_key"), F.coalesce(F.col(text), F.lit("")).alias("_ld_text"))
-    lines = (
-        rows.select("_ld_key", F.xxhash64("_ld_text").alias("_ld_hash_of_text"), F.posexplode(_lines(F.col("_ld_text"))).alias("_ld_pos", "_ld_line"))
+    """(_ld_k, _ld_h, _ld_drop array<int>): the lines to drop, for rows that have any; _ld_h is the text's hash."""
+    rows = docs.select(F.col(key).alias("_ld_k"), F.coalesce(F.col(text), F.lit("")).alias("_ld_text"))
+    lines = kept(
+        rows.select("_ld_k", F.xxhash64("_ld_text").alias("_ld_h"), F.posexplode(_lines(F.col("_ld_text"))).alias("_ld_pos", "_ld_line"))
         .where(F.length("_ld_line") >= least_chars)
         .withColumn("_ld_line", normalised(F.col("_ld_line")))
         .where(F.length("_ld_line") >= least_chars)
-        .select("_ld_key", "_ld_hash_of_text", "_ld_pos", F.unhex(F.md5("_ld_line")).alias("_ld_hash"))
+        .select("_ld_k", "_ld_h", "_ld_pos", F.unhex(F.md5("_ld_line")).alias("_ld_hash")),
+        "lines",
     )
     common = (
-        lines.groupBy("_ld_hash", "_ld_key").agg(F.lit(1).alias("_ld_one"))
-        .groupBy("_ld_hash").agg(F.sum("_ld_one").alias("_ld_docs"), F.max("_ld_key").alias("_ld_keep"))
+        lines.groupBy("_ld_hash", "_ld_k").agg(F.lit(1).alias("_ld_one"))
+        .groupBy("_ld_hash").agg(F.sum("_ld_one").alias("_ld_docs"), F.max("_ld_k").alias("_ld_keep"))
         .where(F.col("_ld_docs") >= least_docs)
         .select("_ld_hash", "_ld_keep")
     )
     common = kept(common, "common-lines")
     return (
         lines.join(small_or_shuffled(common, common.count(), MOST_BROADCAST), "_ld_hash")
-        .where(~F.col("_ld_key").eqNullSafe(F.col("_ld_keep")))
-        .groupBy("_ld_key", "_ld_hash_of_text")
+        .where(~F.col("_ld_k").eqNullSafe(F.col("_ld_keep")))
+        .groupBy("_ld_k", "_ld_h")
         .agg(F.collect_set("_ld_pos").alias("_ld_drop"))
     )
 
@@ -64,13 +74,20 @@ def dropped_positions(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3, counts: bool = True) -> DataFrame:
     """Every row of ``docs`` with ``text`` rewritten; with ``counts`` also n_lines and n_dropped, which
     replace columns of these names."""
-    drops = dropped_positions(docs, key, text, least_chars, least_docs).withColumnRenamed("_ld_key", "_ld_k").withColumnRenamed("_ld_hash_of_text", "_ld_h")
-    rows = docs.withColumn("_ld_hash_of_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    both = rows.join(drops.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_hash_of_text") == F.col("_ld_h")), "left")
-    lines = _lines(F.col(text))
-    kept_text = F.when(F.col("_ld_drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_ld_drop"), i)), "\n")
-    )
-    n_lines = F.length(F.coalesce(F.col(text), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    counted = {"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long")} if counts else {}
-    return both.select(*[kept_text.alias(c) if c == text else F.col(c) for c in docs.columns if c not in counted], *[v.alias(c) for c, v in counted.items()])
+    drops = kept(dropped_positions(docs, key, text, least_chars, least_docs), "dropped-lines")
+    rows = packed(docs)
+    own = F.col("_row")[text]
+    whole = F.coalesce(own, F.lit(""))
+    same = F.col("_row")[key].eqNullSafe(F.col("_ld_k")) & (F.xxhash64(whole) == F.col("_ld_h"))
+    keys = drops.select("_ld_k", "_ld_h")
+    keys = small_or_shuffled(keys, keys.count(), MOST_BROADCAST)
+    n_lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+
+    def made(rows: DataFrame, new: Column, n_dropped: Column) -> DataFrame:
+        counted = {"n_lines": n_lines.cast("long"), "n_dropped": n_dropped.cast("long")} if counts else {}
+        return unpacked(rows, columns, **{text: new}, **counted)
+
+    untouched = made(rows.join(keys, same, "left_anti"), whole, F.lit(0))
+    rewritten = made(rows.join(keys, same, "left_semi").join(drops, same), F.array_join(but(_lines(own), F.col("_ld_drop")), "\n"), F.size("_ld_drop"))
+    return untouched.unionByName(rewritten)
