@@ -1,34 +1,41 @@
 r"""Benchmark decontamination with DataFrame functions only (operator 4).
 
-The benchmark's windows of ``n`` normalised words are hashed into a set that every task holds;
-training texts are scanned by a rolling look at their first ``LEAD`` words, the hits are verified
-word by word against the windows, and the words inside verified windows are marked. A benchmark
-is small by nature, but its size is counted: up to ``MOST`` windows the set is broadcast (as a
-literal set and as a broadcast join side), beyond it the windows are joined by shuffling.
-
-The texts are read once and never shuffled: a task sends on only the places where a window may
-begin. What moves are those places and a row for each document, aggregated by document. Windows
-of other lengths (items of fewer than ``n`` words) are looked up in the same way.
-
-Null and empty texts have no words: no hits. Every row is judged on its own, repeated rows and
-repeated ids too, by a row number given while scanning. An item without words is in no text. An
-empty benchmark or table gives no hits or an empty result. Inner columns begin with ``_dc_``.
+The benchmark's windows of ``n`` normalised words are hashed by their first ``LEAD`` words. This set
+of hashes is broadcast, and the words of the training texts stream past it: every place whose
+``LEAD`` words are in the set is compared with the windows word by word, and the words inside
+windows that agree are marked. Windows of other lengths (items of fewer than ``n`` words) are looked
+up in the same way, by fewer words if they have fewer.
+
+The texts are read where they lie and never shuffled: scan, look-up and filter are one stage, and
+only places that may begin a window go on. A broadcast has at most ``MOST_LEADS`` hashes; a larger
+benchmark is cut into blocks by hash, each streamed past in its turn, so no size makes the corpus
+move. Windows and hits are broadcast if they are counted to be few, else joined by a shuffle of
+places and of narrow rows.
+
+Null and empty texts have no words: no hits. Hits are gathered by key and text, so repeated rows
+are judged alike and rows that share a key by their own texts. An item without words is in no text.
+An empty benchmark or table gives no hits or an empty result. A text is split into words at once:
+the longest text bounds a task's memory. Extra columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._shared import kept, small_or_shuffled
-from eventloom.llm.line_dedup import LOWER, UPPER
+from eventloom.llm._shared import kept, packed, small_or_shuffled, unpacked
+from eventloom.llm.line_dedup import LOWER, UPPER, but
 
 LEAD = 3
-MOST = 50_000
+MOST_LEADS = 4_000_000
 MOST_BROADCAST = 300_000
-#: what separates words once A-Z are lower-cased, and before
+#: what separates words once A-Z are lower-cased, and before; what words consist of, before
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def _full(words: Column) -> Column:
@@ -48,85 +55,72 @@ def benchmark_windows(items: DataFrame, n: int, key: str = "item_id", text: str
     return spread.select("_dc_item", "_dc_size", F.array_join(F.slice("_dc_words", F.col("_dc_at"), F.col("_dc_size")), " ").alias("_dc_window")).distinct()
 
 
-def _lead_hash(words: str, at: str, lead: int) -> str:
-    return "xxhash64(" + ", ".join(f"get({words}, {at} + {j})" for j in range(lead)) + ")"
-
-
-class _Windows:
-    """A benchmark's windows; ``few`` says that they are few enough to be sent to every task."""
-
-    def __init__(self, items: DataFrame, n: int, key: str, text: str):
-        self.table = benchmark_windows(items, n, key, text)
-        counted = self.table.groupBy("_dc_size").agg(F.count("*").alias("rows")).collect()  # a row for each of 1..n at most
-        self.sizes = sorted(r["_dc_size"] for r in counted)
-        self.few = sum(r["rows"] for r in counted) <= MOST
-
-    def distinct(self, value: str, size: int) -> list:
-        return [r[0] for r in self.table.where(F.col("_dc_size") == size).select(F.expr(value)).distinct().collect()]
-
-    def places(self, words: str) -> Column:
-        """array<struct<at, size, window>>: where a window may begin among the words of a row."""
-        found = []
-        for size in self.sizes:
-            at = f"sequence(0, size({words}) - {size})"
-            if self.few:
-                firsts = self.distinct(_lead_hash("split(_dc_window, ' ')", "0", min(LEAD, size)), size)
-                at = f"filter({at}, i -> {_lead_hash(words, 'i', min(LEAD, size))} IN ({', '.join(map(str, firsts))}))"
-            found.append(f"if(size({words}) < {size}, array(), transform({at}, i -> struct(i AS at, {size} AS size, array_join(slice({words}, i + 1, {size}), ' ') AS window)))")
-        return F.expr(f"concat({', '.join(found)})" if found else "array()").cast("array<struct<at:int,size:int,window:string>>")
-
-
-def hits(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", every: bool = True) -> DataFrame:
-    """Every row of ``docs`` (or but those with a hit), its other columns and n_words, n_hit, _dc_items
-    (sorted ids as strings) and _dc_hit (hit word positions from 0)."""
-    windows = _Windows(items, n, item_key, item_text)
-    others = [c for c in docs.columns if c != text]
-    rows = docs.select(F.monotonically_increasing_id().alias("_dc_row"), F.struct(F.lit(0).alias("_dc_0"), *others).alias("_dc_rest"), word_array(F.col(text)).alias("_dc_words"))
-    spread = rows.select("_dc_row", "_dc_rest", F.size("_dc_words").cast("long").alias("n_words"), (F.posexplode_outer if every else F.posexplode)(windows.places("_dc_words")).alias("_dc_no", "_dc_place"))
-    places = spread.select(
-        "_dc_row", "n_words", *[F.col(f"_dc_place.{c}").alias(f"_dc_{c}") for c in ("at", "size", "window")],
-        (F.when(F.coalesce("_dc_no", F.lit(0)) == 0, F.col("_dc_rest")) if every else F.col("_dc_rest")).alias("_dc_rest"),  # of all rows, a row's own columns ride on its first place only
+def _lead(words: str, at: str, n: int) -> Column:
+    return F.expr("xxhash64(" + ", ".join(f"get({words}, {at} + {j})" for j in range(n)) + ")")
+
+
+def places(docs: DataFrame, windows: DataFrame, key: str, text: str) -> DataFrame:
+    """(_dc_key, _dc_hash, _dc_at, _dc_size, _dc_window): where a window may begin in a text, with the words there."""
+    leads = kept(windows.select("_dc_size", F.least(F.lit(LEAD), F.col("_dc_size")).alias("_dc_n"), F.split("_dc_window", " ").alias("_dc_words"))
+                 .select("_dc_size", "_dc_n", *[_lead("_dc_words", "0", n).alias(f"_dc_lead{n}") for n in range(1, LEAD + 1)])
+                 .select("_dc_size", "_dc_n", F.expr("CASE _dc_n " + " ".join(f"WHEN {n} THEN _dc_lead{n}" for n in range(1, LEAD + 1)) + " END").alias("_dc_lead")).distinct(), "benchmark-leads")
+    found = []
+    for n, rows in leads.groupBy("_dc_n").agg(F.count("*")).orderBy("_dc_n").collect():  # a row for each of 1..LEAD at most
+        words = docs.select(F.col(key).alias("_dc_key"), F.xxhash64(text).alias("_dc_hash"), word_array(F.col(text)).alias("_dc_words"))
+        spread = words.select("_dc_key", "_dc_hash", "_dc_words", F.posexplode("_dc_words").alias("_dc_at", "_dc_w"))
+        looked = spread.select("_dc_key", "_dc_hash", "_dc_words", "_dc_at", _lead("_dc_words", "_dc_at", n).alias("_dc_lead"))
+        blocks = -(-rows // MOST_LEADS)
+        for block in range(blocks):
+            some = leads.where((F.col("_dc_n") == n) & (F.pmod("_dc_lead", F.lit(blocks)) == block)).select("_dc_size", "_dc_lead")
+            met = looked.join(F.broadcast(some), "_dc_lead").where(F.col("_dc_at") + F.col("_dc_size") <= F.size("_dc_words"))
+            found.append(met.select("_dc_key", "_dc_hash", "_dc_at", "_dc_size", F.array_join(F.slice("_dc_words", F.col("_dc_at") + 1, F.col("_dc_size")), " ").alias("_dc_window")))
+    if not found:
+        return docs.sparkSession.createDataFrame([], f"_dc_key {docs.schema[key].dataType.simpleString()}, _dc_hash long, _dc_at int, _dc_size int, _dc_window string")
+    return reduce(DataFrame.unionByName, found)
+
+
+def hits(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(_dc_key, _dc_hash, n_hit, _dc_items, _dc_hit) of the rows with a hit, by key and text hash: sorted item
+    ids as strings and hit word positions from 0. Written to the shared folder."""
+    windows = kept(benchmark_windows(items, n, item_key, item_text), "benchmark-windows")
+    by_window = windows.groupBy("_dc_size", "_dc_window").agg(F.collect_set("_dc_item").alias("_dc_ids"))
+    known = small_or_shuffled(by_window, windows.count(), MOST_BROADCAST)
+    per_text = places(docs, windows, key, text).join(known, ["_dc_size", "_dc_window"]).groupBy("_dc_key", "_dc_hash").agg(
+        F.collect_set(F.struct("_dc_at", "_dc_size")).alias("_dc_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_dc_ids")))).alias("_dc_items"),
     )
-    by_window = windows.table.groupBy("_dc_size", "_dc_window").agg(F.collect_set("_dc_item").alias("_dc_ids"))
-    joined = places.join(F.broadcast(by_window) if windows.few else by_window, ["_dc_size", "_dc_window"], "left" if every else "inner")
-    per_row = joined.groupBy("_dc_row").agg(
-        F.max("n_words").alias("n_words"),
-        F.first("_dc_rest", ignorenulls=True).alias("_dc_rest"),
-        F.collect_set(F.when(F.col("_dc_ids").isNotNull(), F.struct("_dc_at", "_dc_size"))).alias("_dc_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_dc_ids")))).alias("_dc_items"),
-    )
     marked = F.array_distinct(F.flatten(F.transform("_dc_spans", lambda s: F.sequence(s["_dc_at"], s["_dc_at"] + s["_dc_size"] - 1))))
-    return per_row.select(*[F.col("_dc_rest")[c].alias(c) for c in others], "n_words", F.size(marked).cast("long").alias("n_hit"), "_dc_items", marked.alias("_dc_hit"))
+    return kept(per_text.select("_dc_key", "_dc_hash", "_dc_items", marked.alias("_dc_hit")).withColumn("n_hit", F.size("_dc_hit").cast("long")), "benchmark-hits")
+
+
+def _few(found: DataFrame) -> DataFrame:
+    return small_or_shuffled(found, found.count(), MOST_BROADCAST)
 
 
 def report(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    return hits(docs.select(key, text), items, n, text).select(
-        key, "n_words", "n_hit",
-        F.size("_dc_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_dc_items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+    n_words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.col(key), F.xxhash64(text).alias("_dc_own"), n_words.alias("n_words"))
+    found = hits(docs, items, n, key, text).select("_dc_key", "_dc_hash", "n_hit", F.size("_dc_items").cast("long").alias("n_items"), F.array_join("_dc_items", ",").alias("_dc_ids"))
+    return rows.join(_few(found), F.col(key).eqNullSafe(F.col("_dc_key")) & (F.col("_dc_own") == F.col("_dc_hash")), "left").select(
+        key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce("_dc_ids", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns.
+def _same(key: str, text: str) -> Column:
+    return F.col("_row")[key].eqNullSafe(F.col("_dc_key")) & (F.xxhash64(F.col("_row")[text]) == F.col("_dc_hash"))
+
 
-    A first scan finds the rows with hits, by key and text hash; they are counted and, if few,
-    broadcast, so that a second scan drops them without a shuffle of the texts.
-    """
-    hashed = F.xxhash64(text)
-    found = hits(docs.select(F.col(key).alias("_dc_key"), hashed.alias("_dc_hash"), text), items, n, text, every=False)
-    bad = kept(found.where(F.col("n_hit") > 0).select("_dc_key", "_dc_hash").distinct(), "contaminated")
-    return docs.join(small_or_shuffled(bad, bad.count(), MOST_BROADCAST), F.col(key).eqNullSafe(F.col("_dc_key")) & (hashed == F.col("_dc_hash")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit, all columns."""
+    bad = hits(docs, items, n, key, text).select("_dc_key", "_dc_hash")
+    return unpacked(packed(docs).join(_few(bad), _same(key, text), "left_anti"), docs.columns)
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs``; where it has hits, ``text`` keeps the words outside them, as they were
     written, joined by a space."""
-    whole = docs.select(F.struct(*docs.columns).alias("_dc_doc"), F.col(text).alias("_dc_text"))
-    found = hits(whole, items, n, "_dc_text")
-    own = F.col("_dc_doc")
-    words = _full(F.split(own[text], CASED_BREAK))
-    kept_words = F.array_join(F.filter(words, lambda w, i: ~F.array_contains("_dc_hit", i)), " ")
-    return found.select(*[(F.when(F.col("n_hit") > 0, kept_words).otherwise(own[c]).alias(c) if c == text else own[c].alias(c)) for c in docs.columns])
+    found = hits(docs, items, n, key, text).select("_dc_key", "_dc_hash", "_dc_hit")
+    own = F.col("_row")[text]
+    new = F.when(F.col("_dc_hit").isNotNull(), F.array_join(but(_full(F.split(own, CASED_BREAK)), F.col("_dc_hit")), " ")).otherwise(own)
+    return unpacked(packed(docs).join(_few(found), _same(key, text), "left"), docs.columns, **{text: new})
