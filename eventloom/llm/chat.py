@@ -2,15 +2,18 @@ r"""Chat formatting from event logs (operator 8).
 
 A log row is an event of one conversation. Logs are dealt out by conversation, sorted by sequence
 within partitions, and folded as they stream by: ``message`` begins a message, ``delta`` appends
-to the last one, ``edit`` replaces the text of message ``target`` (counted from 0) and
-``regenerate`` drops message ``target`` and all after it. What is left is rendered with a template
+to the last one, ``edit`` replaces the text of message ``target`` and ``regenerate`` drops message
+``target`` and all after it; targets count from 0, negative ones from the last message back (-1).
+What is left is rendered with a template
 
     ### role: text</turn>\n
 
 in which ``\``, ``###`` and ``</turn>`` inside texts (and ``:`` and line feeds inside roles) are
 escaped by a backslash, so ``parse`` gives back every role and text. The loss mask holds the
-spans of the assistant's texts in the output, in code points. Only one conversation's messages
-are held at a time; the rest streams through the partition.
+spans of the assistant's texts in the output, in code points. A task holds the messages of one
+conversation, and finished ones up to ``FLUSH`` characters; the rest streams through the
+partition. One conversation is folded in one task, however long it is. ``parse`` looks at marks
+only, so its memory is a small multiple of the text.
 
 Null texts and roles are empty ones. Events with equal sequence are ordered by role, then text.
 An event that targets a missing message, or a delta before any message, is ignored. A null
@@ -24,14 +27,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BEGIN, END = "### ", "</turn>"
+#: Characters of finished conversations that a task holds before it passes them on.
+FLUSH = 4 << 20
 _TEXT = re.compile(r"\\|###|</turn>")
 _ROLE = re.compile(r"\\|###|</turn>|:|\n")
 _BACK = re.compile(r"\\(\\|###|</turn>|:|\n)")
-_TURN = re.compile(r"### ((?:\\(?:\\|###|</turn>|:|\n)|[^\\:])*): ((?:\\(?:\\|###|</turn>)|(?!</turn>)[^\\])*)</turn>\n", re.S)
+_ROLE_STOP = re.compile(r"\\(?:\\|###|</turn>|:|\n)|: ")
+_TEXT_STOP = re.compile(r"\\(?:\\|###|</turn>)|</turn>")
 
 
 def escape(text: str) -> str:
@@ -54,34 +60,68 @@ def render(messages: list[tuple[str, str]], learn: str = "assistant") -> tuple[s
     return "".join(out), spans
 
 
+def _stop(marks: re.Pattern, formatted: str, at: int) -> tuple[int, int]:
+    """Where the first mark from ``at`` that no backslash escapes begins and ends."""
+    for m in marks.finditer(formatted, at):
+        if m[0][0] != "\\":
+            return m.span()
+    raise ValueError(f"a turn without its end at {at}")
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The messages that ``render`` was given."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
+    """The messages that ``render`` was given; a text that ``render`` hasn't made is an error."""
+    turns, at = [], 0
+    while at < len(formatted):
+        if not formatted.startswith(BEGIN, at):
+            raise ValueError(f"no turn begins at {at}")
+        role_end, text_at = _stop(_ROLE_STOP, formatted, at + len(BEGIN))
+        text_end, after = _stop(_TEXT_STOP, formatted, text_at)
+        turns.append((unescape(formatted[at + len(BEGIN) : role_end]), unescape(formatted[text_at:text_end])))
+        at = after + 1
+    return turns
+
+
+def step(messages: list[list], event: str, target: int | None, role: str | None, text: str | None) -> None:
+    """Takes one event into ``messages``, a list of [role, parts of the text]."""
+    if event == "message":
+        messages.append([role or "", [text or ""]])
+    elif event == "delta" and messages:
+        messages[-1][1].append(text or "")
+    elif event in ("edit", "regenerate") and target is not None and -len(messages) <= target < len(messages):
+        if event == "edit":
+            messages[target][1] = [text or ""]
+        else:
+            del messages[target:]
 
 
 def fold(events: Iterator[tuple[str, int | None, str | None, str | None]]) -> list[tuple[str, str]]:
     """The final messages of one conversation's sorted (event, target, role, text) events."""
     messages: list[list] = []
-    for event, target, role, text in events:
-        if event == "message":
-            messages.append([role or "", [text or ""]])
-        elif event == "delta" and messages:
-            messages[-1][1].append(text or "")
-        elif event == "edit" and target is not None and 0 <= target < len(messages):
-            messages[target][1] = [text or ""]
-        elif event == "regenerate" and target is not None and 0 <= target < len(messages):
-            del messages[target:]
+    for event in events:
+        step(messages, *event)
     return [(role, "".join(parts)) for role, parts in messages]
 
 
-def events_of(turns: DataFrame, pieces: int = 2) -> DataFrame:
-    """The log of a table of finished turns (conv_id, turn, role, text): a ``message`` event for each
-    row and its text streamed in ``pieces`` deltas."""
+def events_of(turns: DataFrame, learn: str = "assistant") -> DataFrame:
+    """A log that ends in a table of finished turns (conv_id, turn, role, text).
+
+    A learnt turn is begun, streamed up to its half and regenerated, then streamed whole in two
+    deltas; any other is typed, and edited from its first half to the whole text.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.ceil(F.length(text) / pieces).cast("int")
-    parts = [F.struct(F.lit("message").alias("event"), F.lit("").alias("text"))] + [F.struct(F.lit("delta").alias("event"), F.substring(text, size * i + 1, size).alias("text")) for i in range(pieces)]
-    rows = turns.select("conv_id", F.struct("turn", F.col("role").alias("of"), F.xxhash64(text).alias("row"), F.monotonically_increasing_id().alias("no")).alias("key"), F.col("role"), F.posexplode(F.array(*parts)).alias("part", "e"))
-    return rows.select("conv_id", F.struct("key", "part").alias("seq"), "e.event", F.lit(None).cast("int").alias("target"), "role", "e.text")
+    half = F.ceil(F.length(text) / 2).cast("int")
+    head, tail = F.substring(text, F.lit(1), half), F.substring(text, half + 1, half)
+    back = F.lit(-1)
+
+    def rows(*events: tuple) -> Column:
+        return F.array(*[F.struct(F.lit(e).alias("event"), (back if t else F.lit(None)).cast("int").alias("target"), x.alias("text")) for e, t, x in events])
+
+    none = F.lit("")
+    streamed = rows(("message", 0, none), ("delta", 0, head), ("regenerate", 1, none), ("message", 0, none), ("delta", 0, head), ("delta", 0, tail))
+    typed = rows(("message", 0, head), ("edit", 1, text))
+    key = F.struct("turn", F.col("role").alias("of"), F.xxhash64(text).alias("row"), F.monotonically_increasing_id().alias("no")).alias("key")
+    made = turns.select("conv_id", key, F.col("role"), F.posexplode(F.when(F.col("role") == learn, streamed).otherwise(typed)).alias("part", "e"))
+    return made.select("conv_id", F.struct("key", "part").alias("seq"), "e.event", "e.target", "role", "e.text")
 
 
 def format_conversations(log: DataFrame, learn: str = "assistant") -> DataFrame:
@@ -91,23 +131,34 @@ def format_conversations(log: DataFrame, learn: str = "assistant") -> DataFrame:
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            made = [render(fold(iter(events)), learn) for _, events in rows]
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], kind_of), pa.array([m[0] for m in made], pa.string()), pa.array([[{"start": a, "end": b} for a, b in m[1]] for m in made], spans)], names=["conv_id", "formatted", "loss"])
+        made: list[tuple] = []
+        messages: list[list] = []
+        conv, begun, kind_of, held = None, False, pa.int64(), 0
+
+        def passed() -> pa.RecordBatch:
+            loss = pa.array([[{"start": a, "end": b} for a, b in m[2]] for m in made], spans)
+            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], kind_of), pa.array([m[1] for m in made], pa.string()), loss], names=["conv_id", "formatted", "loss"])
+
+        def finish() -> int:
+            text, learnt = render([(role, "".join(parts)) for role, parts in messages], learn)
+            made.append((conv, text, learnt))
+            return len(text)
 
-        held: list[tuple] = []
-        kind_of = pa.int64()
         for batch in batches:
             kind_of = batch.schema.field(0).type
-            for conv, *event in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if not held or held[-1][0] != conv:
-                    if len(held) >= 200:
-                        yield done(held)
-                        held = []
-                    held.append((conv, []))
-                held[-1][1].append(event)
-        if held:
-            yield done(held)
+            for row in range(batch.num_rows):
+                of, *event = (batch.column(c)[row].as_py() for c in range(5))
+                if not begun or of != conv:
+                    if begun:
+                        held += finish()
+                    if held >= FLUSH or len(made) >= 1000:
+                        yield passed()
+                        made, held = [], 0
+                    conv, messages, begun = of, [], True
+                step(messages, *event)
+        if begun:
+            finish()
+            yield passed()
 
     return dealt.mapInArrow(run, f"conv_id {kind}, formatted string, loss array<struct<start:long,end:long>>")
 
@@ -121,7 +172,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for at in range(batch.num_rows):
+                text, spans = batch.column(1)[at].as_py(), batch.column(2)[at].as_py()
                 turns = parse(text)
                 learnt = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
                 rows.append((len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)))
