@@ -3,18 +3,27 @@
 A batch of changes (insert, delete, revise) becomes signed token and document deltas, summed by
 source, language and tokenizer version before they move, and is written as one small table for
 the batch. The totals are the sums of all committed batches, so a batch costs what it changes
-and never what the corpus holds. A batch id is committed once: its table is written under its own
-name (a broken attempt is overwritten by the next), and a marker created last makes it count;
-committing the id again does nothing.
+and never what the corpus holds. A batch id is committed once: each attempt writes its table to a
+folder of its own, and then creates the batch's marker, which names that folder. A marker is
+created, never overwritten (an exclusive create of the store), so of two writers of one batch the
+later one finds it and changes nothing, and what counts is one whole attempt. A writer that dies
+between creating and filling the marker leaves an empty one: that batch counts as not committed,
+and committing it again is an error until ``recover`` takes the empty marker away.
 
 Null sources, languages and tokenizers are groups of their own; null counts count as nothing; an
 operation that is none of the three is an error. Repeated rows count as often as they occur. An
 empty batch commits and changes nothing, and a ledger without batches has empty totals. Extra
-columns are ignored.
+columns are ignored. Texts are counted whole next to where they are read, one at a time; those
+beyond ``bpe.PIECE`` characters are encoded in pieces, whose counts are added.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,21 +53,50 @@ class Ledger:
     def _marker(self, batch: int):
         return self._path(f"{self.path}/committed/{int(batch)}")
 
-    def committed(self) -> list[int]:
+    def _attempts(self) -> dict[int, str]:
+        """The folder of the attempt that counts, by batch; an empty one for a marker without a name."""
         folder = self._path(f"{self.path}/committed")
-        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+        named = {}
+        for f in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            stream = self._fs.open(f.getPath())
+            named[int(f.getPath().getName())] = bytes(stream.readAllBytes()).decode()
+            stream.close()
+        return named
+
+    def committed(self) -> list[int]:
+        return sorted(b for b, attempt in self._attempts().items() if attempt)
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Commits ``changes`` as ``batch``; False if that batch had been committed before."""
-        if self._fs.exists(self._marker(batch)):
+        if self._taken(batch):
+            return False
+        attempt = f"{int(batch)}-{uuid.uuid4().hex}"
+        signed(changes).write.parquet(f"{self.path}/deltas/{attempt}")
+        try:
+            marker = self._fs.create(self._marker(batch), False)
+        except Py4JJavaError:
+            if self._taken(batch):  # another writer was faster
+                return False
+            raise
+        marker.write(attempt.encode())
+        marker.close()
+        return True
+
+    def _taken(self, batch: int) -> bool:
+        if not self._fs.exists(self._marker(batch)):
             return False
-        signed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{int(batch)}")
-        self._fs.create(self._marker(batch), True).close()
+        if not self._attempts()[int(batch)]:
+            raise RuntimeError(f"batch {batch} is being committed, or its writer died: see recover()")
         return True
 
+    def recover(self, batch: int) -> None:
+        """Takes away the empty marker that a dead writer of ``batch`` left; only once no writer is at it."""
+        if self._fs.exists(self._marker(batch)) and not self._attempts()[int(batch)]:
+            self._fs.delete(self._marker(batch), False)
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; groups of nothing go."""
-        paths = [f"{self.path}/deltas/{b}" for b in self.committed()]
+        paths = [f"{self.path}/deltas/{attempt}" for attempt in self._attempts().values() if attempt]
         rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         sums = rows.groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
@@ -88,3 +126,21 @@ def changes(docs: DataFrame, op: str, tokenizers: dict[str, str], text: Column |
     text = F.col("text") if text is None else text
     count = lambda t: {name: counted(t, p) for name, p in tokenizers.items()}
     return changes_of(docs, op, count(text), None if old is None else count(old))
+
+
+def with_bpe_count(rows: DataFrame, name: str, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``rows`` with the number of BPE tokens of ``text`` as column ``name`` in its place; null counts as empty."""
+    from eventloom.llm import bpe
+
+    at = rows.columns.index(text)
+    kept_columns = [f for f in rows.schema.fields if f.name != text]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns), f"`{name}` long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe.encoding(path, pattern)
+        for batch in batches:
+            n = pa.array([sum(len(enc.encode_to_numpy(x, disallowed_special=())) for x in bpe.pieces(t.as_py() or "")) for t in batch.column(at)], pa.int64())
+            others = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in others), n], names=[*(batch.schema.names[i] for i in others), name])
+
+    return rows.mapInArrow(run, schema)
