@@ -2,12 +2,14 @@
 
 ``tiktoken`` encodes every whole text; texts beyond ``PIECE`` characters are cut first, and only
 where the splitting pattern always ends a match: before a space that follows an ASCII letter or
-digit. No match holds a non-space character followed by a space, and the look-ahead of the
-white-space branch looks forward only, so the pieces' ids joined are the ids of the whole text.
+digit, and between a character of the scripts that are written without spaces (Han, kana, Hangul,
+Thai) and the full stop, comma or other mark of ``_MARKS`` that follows it. No match holds a non-space character followed by a space, or a letter followed by a mark, and the look-ahead
+of the white-space branch looks forward only, so the pieces' ids joined are the ids of the whole text.
 Decoding joins the raw bytes of the ids. One map over the rows, no shuffle; a worker loads the
 rank file once, from a path that every executor must see.
 
 Null counts as the empty text: no ids. Texts in which no such place occurs are encoded whole.
+Memory is bounded by ``PIECE`` and by a text with its ids.
 Rows are independent, so ties, repeated rows and extra columns change nothing; an empty table
 gives an empty result.
 """
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 200_000
-_SAFE = re.compile(r"(?<=[0-9A-Za-z]) ")
+_MARKS = "。、，．！？；：．.,!?;:"
+_SAFE = re.compile(rf"(?<=[0-9A-Za-z]) |(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3\u0e01-\u0e2e])(?=[{_MARKS}])")
 
 
 @functools.lru_cache(maxsize=4)
@@ -58,21 +61,27 @@ def _column(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     return source, source.schema["_key"].dataType.simpleString()
 
 
-def encode_rows(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>, n_tokens) of every row."""
-    source, kind = _column(docs, key, text)
+def encode_rows(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", carried: tuple[str, ...] = (), proven: bool = False) -> DataFrame:
+    """(key, *carried, ids array<int>, n_tokens) of every row; ``proven`` decodes the ids again and adds the
+    digest of these bytes as decoded_sha256."""
+    source = docs.select(F.col(text).alias("_text"), key, *carried)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+    names = [key, *carried, "ids", "n_tokens", *(["decoded_sha256"] if proven else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [encode(enc, t.as_py()) for t in part.column(1)]
+                ids = [encode(enc, t.as_py()) for t in part.column(0)]
                 ends = np.cumsum([0, *map(len, ids)])
                 values = pa.array(np.concatenate(ids).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values), pa.array(np.diff(ends))], names=[key, "ids", "n_tokens"])
+                columns = [*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values), pa.array(np.diff(ends))]
+                if proven:
+                    columns.append(pa.array([hashlib.sha256(enc.decode_bytes(x.tolist())).hexdigest() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_tokens long")
+    return source.mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long" + (", decoded_sha256 string" if proven else ""))
 
 
 def decode_rows(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import _kernels as k
-from eventloom.llm._shared import kept
+from eventloom.llm._shared import kept, packed, unpacked
 
 SHINGLE, PERCENT = 5, 85
 CHUNKS, ROWS, ERRORS = 12, 7, 1
@@ -307,4 +307,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     _, labels = label(docs, key, text)
     gone = kept(labels.where(F.col("_c") != F.col("_k")).select(F.col("_k").alias("_gone")), "near-gone")
     few = gone.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("_gone"), "left_anti")
+    return unpacked(packed(docs).join(F.broadcast(gone) if few else gone, F.col("_row")[key] == F.col("_gone"), "left_anti"), docs.columns)
