@@ -1,26 +1,33 @@
 """Main text of web pages by tag-path ratios (operator 3).
 
-Every text node has a root-to-leaf tag path. Per page and path the text length and the
-punctuation are summed and divided by the number of nodes on the path; the two ratios are fused
-into a score, the nodes' scores are smoothed along the page, and the paths whose score passes a
-threshold (a share of the page's standard deviation above nothing) select the content nodes. The
-element that holds these nodes is followed down from the body to an article or main element or to
-the lowest container that still holds every one of them outside links: a container is entered only
-if its siblings hold none. All blocks of that element are the main text, so that leads, short
-paragraphs and headings beside or between long ones stay. Elements that are never main text by
-their tag (menus, page headers and footers, asides, forms, scripts, styles) or by a word in their
-class, id or role (advert, cookie notice, comments, sidebar and the like) are left out before and
-after.
-
-Tags are read by one regular expression, so broken mark-up costs no more than well-formed one:
-unclosed and stray tags and comments are tolerated. Raw text (script, style, noscript, textarea,
-iframe) is passed over up to its end tag or, as in browsers, to the end of the page. A head ends
-at its end tag, the first tag that it can't hold or the first text; svg, math and select end at a
-flow tag they can't hold, and svg, math, object and template that end nowhere are no more than
-their tag. One map over the rows, no shuffle; memory is bounded by a page. Character references are decoded, white space inside a
-block becomes one space, blocks are trimmed, empty blocks vanish, the rest is joined by a line
-feed. A null or empty page, or one without main text, gives an empty text. Rows are independent;
-an empty table gives an empty result; extra columns are ignored.
+Every text node has a root-to-leaf path of labels, an element's label being its tag with its class
+and id words. Per page and path the text length and the punctuation are summed and divided by the
+number of nodes on the path. Both ratios are smoothed along the page, averaged by path and fused
+into the path's score, which is cut by two features of the path: the share of its text that lies
+outside links, and whether a label names something that is no article (an advert, a notice, a
+sidebar, comments and the like; whole words only). Paths whose score reaches a share of the scores'
+standard deviation select the content nodes.
+
+The main text is what lies in the lowest element that holds all content nodes: its headings, short
+paragraphs, lists and tables too, as nothing of an article may be lost. That element grows to an
+article element around it, or to a container whose other parts read like the article as well: they
+hold more text outside links than inside; to the body only where it isn't divided. Inside it, what the path
+features mark as no article and what holds no content node but links in a list of its own is left out.
+A name does not count for an element that holds a level-1 heading or every article element: such an
+element wraps the article, however it is called.
+
+Elements that are never main text by their tag (menus, page headers and footers, asides, forms, scripts,
+styles) hold no nodes. Tags are found by scanning for ``<`` and ``>``, and open elements by tables of
+their places, so that a page costs time in proportion to its length, however broken it is: unclosed and
+stray tags, quotes and comments are tolerated. Raw text (script, style, noscript, textarea, iframe) is
+passed over up to its end tag or, as in browsers, to the end of the page. A head ends at its end tag,
+the first tag that it can't hold or the first text; svg, math and select end at a flow tag they can't
+hold, and svg, math, object and template that end nowhere are no more than their tag.
+
+One map over the rows, no shuffle; memory is bounded by a page. Character references are decoded, white
+space inside a block becomes one space, blocks are trimmed, empty blocks vanish, the rest is joined by
+a line feed. A null or empty page, or one without main text, gives an empty text. Rows are independent,
+so ties and repeated rows change nothing; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+|[^>]*)>""",
-    re.S | re.I,
-)
+OPENING = re.compile(r"""<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+)>""", re.I)
+SLOPPY = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+RAW = frozenset("script style noscript textarea iframe".split())
 SKIPPED = frozenset("nav header footer aside form menu dialog button head svg math select object template".split())
 OPAQUE = frozenset("svg math select object template".split())  # skipped inside a line of text: they end no block
 UNENDED = OPAQUE - {"select"}  # without an end tag in the rest of the page, only the tag is skipped
@@ -46,47 +53,142 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINER = frozenset("html body div article main section table tbody tr td center".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd tr td th".split())
-SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-NAMED = re.compile(
-    r"""(?:class|id|role|aria-label)\s*=\s*["']?[^"'>]*?(?<![a-z0-9])(?:ads?|adverts?|advertisements?|adslot|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|modal|popup|newsletter|subscribe|signup|login|sidebar|side-?bar|widget|related|recommended|share|sharing|social|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|header|masthead|footer|comments?|commentlist|replies|reply|respond|disqus|contentinfo|complementary|search)(?![a-z0-9])""",
-    re.I,
-)
+#: What an element ends among its open kind, and what of its open surroundings it doesn't look behind.
+SIBLING = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+#: Words that name no article, and words that may stand beside them in one class or id, as in "cookie-banner".
+NOISE = frozenset("ad ads advert adverts advertisement advertisements adslot adsense banner sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices alert modal popup newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead footer comment comments commentlist replies respond disqus contentinfo complementary".split())
+BESIDE = frozenset("list box bar area block wrapper wrap container item items form button buttons links link section slot unit text body site page global top bottom left right main thread count title header footer side article post posts story stories primary secondary inner outer content".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¡¿]")
+SMOOTH = np.array([0.05, 0.25, 0.4, 0.25, 0.05])  # a bell over five nodes
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "skipped", "path", "linked", "opaque", "weight", "inside")
+    __slots__ = ("tag", "parent", "skipped", "path", "linked", "opaque", "noise", "named", "kept", "plain", "links", "heads", "articles", "content")
 
-    def __init__(self, tag: str, parent: "_Element | None", skipped: bool, path: int):
-        self.tag, self.parent, self.skipped, self.path = tag, parent, skipped, path
+    def __init__(self, tag: str, parent: "_Element | None", skipped: bool, path: int, named: bool = False):
+        self.tag, self.parent, self.skipped, self.path, self.named = tag, parent, skipped, path, named
         self.linked = tag == "a" or bool(parent and parent.linked)
         self.opaque = tag in OPAQUE or bool(parent and parent.opaque)
-        self.weight = 0.0
-        self.inside = False
+        self.noise = self.kept = False
+        self.plain = self.links = self.heads = self.articles = self.content = 0  # of all below
+
+
+def no_article(words: str) -> bool:
+    """Whether a class, id or role holds a word that names no article, alone or with words that may stand beside it."""
+    for word in words.lower().split():
+        parts = [p for p in re.split(r"[-_]+", word) if p]
+        if any(p in NOISE for p in parts) and all(p in NOISE or p in BESIDE or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _labels(attributes: str) -> tuple[str, bool]:
+    """The words of class and id, and whether these or the role name no article."""
+    words, named = [], False
+    for m in ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name in ("class", "id", "role") and m[2]:
+            value = unescape(m[2].strip("\"'"))
+            named = named or no_article(value)
+            if name != "role":
+                words += value.lower().split()
+    return " ".join(words), named
+
+
+class _Open:
+    """The open elements; where each kind of them is open, for looking up without a search."""
 
+    def __init__(self, root: _Element):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+        self.flow: list[int] = []
 
-def _in_head(top: _Element) -> bool:
-    return top.tag == "head" or top.tag == "title" and top.parent.tag == "head"
+    @property
+    def top(self) -> _Element:
+        return self.stack[-1]
 
+    def push(self, element: _Element) -> None:
+        at = len(self.stack)
+        self.stack.append(element)
+        self.places.setdefault(element.tag, []).append(at)
+        if element.tag in CONTAINER:
+            self.containers.append(at)
+        if element.tag not in INLINE:
+            self.flow.append(at)
 
-def _end_skipped(stack: list[_Element], tag: str) -> None:
-    """Ends an open svg, math or select, which can't hold the flow tag ``tag``; an open object at a new main element."""
-    for i in range(len(stack) - 1, 0, -1):
-        if not stack[i].skipped or stack[i].tag in NESTED:
-            return
-        if stack[i].tag in ("svg", "math") or (stack[i].tag == "select" and tag != "hr") or (stack[i].tag == "object" and tag in ("body", "article", "main")):
-            del stack[i:]
-            return
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
+    def cut(self, at: int) -> None:
+        """Ends the elements from place ``at`` on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in CONTAINER:
+                self.containers.pop()
+            if tag not in INLINE:
+                self.flow.pop()
 
-def _nodes(html: str) -> tuple[list[tuple[int, _Element, int, str]], list[_Element]]:
-    """(block number, element, number of its tag path, raw text) of every text node outside skipped elements."""
+    def end(self, tag: str) -> _Element | None:
+        """Takes an end tag; the element that it ends."""
+        at = self.last(tag)
+        if not at or (tag in INLINE and self.containers and self.containers[-1] > at):
+            return None  # a stray one; an inline one closes no container
+        ended = self.stack[at]
+        self.cut(at)
+        return ended
+
+    def begin(self, tag: str) -> None:
+        """Ends what a start tag ends: an open paragraph, an item or cell before it."""
+        if tag in CLOSES_P and self.flow and self.stack[self.flow[-1]].tag == "p":
+            self.cut(self.flow[-1])
+        if tag in SIBLING:
+            own, around = SIBLING[tag]
+            at = self.last(*own)
+            if at and at > self.last(*around, *OPAQUE):
+                self.cut(at)
+
+    def end_skipped(self, tag: str) -> None:
+        """Ends an open svg, math or select, which can't hold the flow tag ``tag``; an open object at a new main element."""
+        kinds = ["svg", "math", *(["select"] if tag != "hr" else []), *(["object"] if tag in ("body", "article", "main") else [])]
+        at = self.last(*kinds)
+        if at and at > self.last(*NESTED) and all(e.skipped for e in self.stack[at : at + 1]):
+            self.cut(at)
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, name, "/" of an end tag, attributes) of every tag; comments and raw text have an empty name."""
+    at, size, last = 0, len(html), html.rfind(">")
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", ""
+        elif start < last:
+            if at < size and html[at] in "!?":
+                at = html.find(">", at) + 1
+                yield start, at, "", "", ""
+            elif m := OPENING.match(html, start) or SLOPPY.match(html, start):
+                at = m.end() if m.re is OPENING else html.find(">", m.end()) + 1
+                name, attributes = m[2].lower(), m[3] if m.re is OPENING else html[m.end() : at - 1]
+                if name in RAW and not m[1]:
+                    found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+                    at = html.find(">", found.end()) + 1 if found and found.start() < last else size
+                    yield start, at, "", "", ""
+                else:
+                    yield start, at, name, m[1], attributes
+
+
+def _nodes(html: str) -> tuple[list[tuple[int, _Element, str]], list[_Element]]:
+    """(block number, element, decoded text) of every text node outside skipped elements; all elements."""
     paths: dict[tuple[int, str], int] = {}
     root = _Element("", None, False, -1)
-    stack, every = [root], [root]
-    nodes: list[tuple[int, _Element, int, str]] = []
-    block, at = 0, 0
-
+    open_, every = _Open(root), [root]
+    nodes: list[tuple[int, _Element, str]] = []
+    block = 0
     ends: dict[str, int] = {}  # where the last end tag of each name starts
 
     def ended(tag: str, at: int) -> bool:
@@ -95,88 +197,127 @@ def _nodes(html: str) -> tuple[list[tuple[int, _Element, int, str]], list[_Eleme
         return ends[tag] >= at
 
     def text(raw: str) -> None:
-        if stack[-1].tag == "head" and not raw.isspace():
-            stack.pop()
-        top = stack[-1]
+        if open_.top.tag == "head" and not raw.isspace():
+            open_.cut(len(open_.stack) - 1)
+        top = open_.top
         if raw and not top.skipped:
             if not raw.isspace():
-                nodes.append((block, top, top.path, raw))
+                nodes.append((block, top, unescape(raw)))
             elif nodes and nodes[-1][0] == block:
-                nodes.append((block, nodes[-1][1], nodes[-1][2], " "))
-
-    for m in TAG.finditer(html):
-        if m.start() > at:
-            text(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+                nodes.append((block, nodes[-1][1], " "))
+
+    at = 0
+    for start, end, tag, closing, attributes in _tags(html):
+        if start > at:
+            text(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             text(" ")
             continue
-        if not m[2]:
-            if _in_head(stack[-1]):
-                if tag in ("html", "head") or (tag in INLINE and stack[-1].tag == "title"):
-                    continue
-                if stack[-1].tag == "title":
-                    stack.pop()
-                if tag not in HEAD:
-                    stack.pop()
-            elif stack[-1].opaque and (tag in CLOSES_P or tag == "body"):
-                _end_skipped(stack, tag)
-        if m[2]:
-            of = stack[-1]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    of = stack[i]
-                    del stack[i:]
-                    break
-                if stack[i].tag in CONTAINER and tag in INLINE:
-                    break  # a stray inline end tag closes no container
+        if closing:
+            of = open_.end(tag) or open_.top
             block += tag not in INLINE and not of.opaque
             continue
-        block += tag not in INLINE and tag not in OPAQUE and not stack[-1].opaque
+        top = open_.top
+        if top.tag == "head" or (top.tag == "title" and top.parent.tag == "head"):
+            if tag in ("html", "head") or (tag in INLINE and top.tag == "title"):
+                continue
+            if top.tag == "title":
+                open_.cut(len(open_.stack) - 1)
+            if tag not in HEAD:
+                open_.cut(len(open_.stack) - 1)
+        elif top.opaque and (tag in CLOSES_P or tag == "body"):
+            open_.end_skipped(tag)
+        block += tag not in INLINE and tag not in OPAQUE and not open_.top.opaque
         if tag in VOID or (tag in UNENDED and not ended(tag, at)):
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
-        if tag in SIBLING:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SIBLING[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in CONTAINER or stack[i].tag in OPAQUE or stack[i].tag in ("ul", "ol", "dl"):
-                    break
-        top = stack[-1]
-        skipped = top.skipped or tag in SKIPPED or bool(tag not in ("html", "body", "article", "main") and m[4] and NAMED.search(m[4]))
-        if not (m[4] or "").endswith("/") or tag in CONTAINER:
-            element = _Element(tag, top, skipped, paths.setdefault((top.path, tag), len(paths)))
-            stack.append(element)
+        open_.begin(tag)
+        top = open_.top
+        if not attributes.endswith("/") or tag in CONTAINER:
+            label, named = _labels(attributes) if attributes else ("", False)
+            named = named and tag not in ("html", "body", "main")
+            element = _Element(tag, top, top.skipped or tag in SKIPPED, paths.setdefault((top.path, f"{tag} {label}"), len(paths)), named)
+            open_.push(element)
             every.append(element)
     text(html[at:])
     return nodes, every
 
 
-def path_scores(nodes: list[tuple[int, _Element, int, str]], smooth: float = 1.0, share: float = 0.5) -> np.ndarray:
-    """Which nodes the fused, smoothed and thresholded tag-path ratios select."""
-    of = np.unique([path for _, _, path, _ in nodes], return_inverse=True)[1]
-    length = np.array([len(raw) for *_, raw in nodes], float)
-    marks = np.array([len(PUNCTUATION.findall(raw)) for *_, raw in nodes], float)
+def path_scores(of: np.ndarray, length: np.ndarray, marks: np.ndarray, linked: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The score of every path 0..n-1; ``of`` is each node's path, the others are its text length, punctuation
+    marks, whether it lies in a link and whether its path names no article."""
     count = np.bincount(of)
-    fused = (np.bincount(of, length) / count) * (1 + np.bincount(of, marks) / count)
-    score = fused[of]
-    reach = np.arange(-2, 3)
-    weight = np.exp(-(reach**2) / (2 * smooth**2))
-    padded = np.pad(score, 2, mode="edge")
-    smoothed = sum(w * padded[i : i + len(score)] for i, w in enumerate(weight)) / weight.sum()
-    by_path = np.bincount(of, smoothed) / count
-    return (by_path >= share * by_path.std())[of]
+
+    def smoothed(values: np.ndarray) -> np.ndarray:
+        """The ratio of each path, smoothed along the page's nodes, averaged by path again."""
+        ratio = (np.bincount(of, values) / count)[of]
+        padded = np.pad(ratio, len(SMOOTH) // 2, mode="edge")
+        return np.bincount(of, sum(w * padded[i : i + len(ratio)] for i, w in enumerate(SMOOTH))) / count
+
+    outside = np.bincount(of, length * ~linked) / np.maximum(np.bincount(of, length), 1)
+    return smoothed(length) * (1 + smoothed(marks)) * outside * (np.bincount(of, noise) == 0)
+
+
+def content_paths(scores: np.ndarray, share: float = 0.5) -> np.ndarray:
+    """Which paths select content: a score of ``share`` standard deviations or more, and above nothing."""
+    return (scores > 0) & (scores >= share * scores.std())
+
+
+def _measured(nodes: list[tuple[int, _Element, str]], every: list[_Element]) -> None:
+    """Fills what is below each element, and which elements name no article."""
+    for _, e, raw in nodes:
+        if e.linked:
+            e.links += len(raw)
+        else:
+            e.plain += len(raw)
+    articles = 0
+    for e in reversed(every[1:]):  # children come after their parents
+        if not e.skipped:
+            e.heads += e.tag == "h1"
+            own = e.tag in ("article", "main") and not e.named
+            e.articles += own
+            articles += own
+        up = e.parent
+        up.plain, up.links, up.heads, up.articles = up.plain + e.plain, up.links + e.links, up.heads + e.heads, up.articles + e.articles
+    for e in every[1:]:
+        wraps = e.heads > 0 or (articles and e.articles == articles)
+        e.noise = e.parent.noise or (e.named and not wraps)
+
+
+def _region(content: list[_Element]) -> _Element:
+    """The lowest element that holds all of ``content``."""
+    region = content[0]
+    above = {id(region): 0}
+    chain = [region]
+    while chain[-1].parent:
+        chain.append(chain[-1].parent)
+        above[id(chain[-1])] = len(chain) - 1
+    at = 0
+    for e in content[1:]:
+        while id(e) not in above:
+            above[id(e)] = -1  # looked at
+            e = e.parent
+        place = above[id(e)]
+        at = max(at, place)
+    return chain[at]
+
+
+def _grown(region: _Element, children: dict[int, list[_Element]]) -> _Element:
+    """``region``, or what around it reads like the article too."""
+    e = region
+    while e.parent:
+        if e.tag in ("article", "main") and not e.noise:
+            return e
+        e = e.parent
+    while up := region.parent:
+        others = [c for c in children.get(id(up), ()) if c is not region and not c.noise and not c.skipped and c.plain + c.links]
+        flat = up.tag in ("", "html", "body")  # holds more than the article, unless it has no parts
+        if any(c.links > c.plain or (flat and c.tag in CONTAINER) for c in others):
+            break
+        region = up
+    return region
 
 
 def main_text(html: str | None) -> str:
@@ -184,24 +325,30 @@ def main_text(html: str | None) -> str:
     nodes, every = _nodes(html or "")
     if not nodes:
         return ""
-    for (_, element, _, raw), good in zip(nodes, path_scores(nodes), strict=True):
-        if good and not element.linked:
-            element.weight += len(raw)
-    heaviest: dict[int, _Element] = {}  # below each element
-    for e in reversed(every[1:]):  # children come after their parents
-        e.parent.weight += e.weight
-        if e.tag in CONTAINER and not e.skipped and e.weight >= getattr(heaviest.get(id(e.parent)), "weight", 0):
-            heaviest[id(e.parent)] = e
-    root = every[0]
-    while root.weight and root.tag not in ("article", "main") and id(root) in heaviest and heaviest[id(root)].weight == root.weight:
-        root = heaviest[id(root)]
-    for e in every:
-        e.inside = e is root or bool(e.parent and e.parent.inside)
+    _measured(nodes, every)
+    of = np.unique([e.path for _, e, _ in nodes], return_inverse=True)[1]
+    flags = [np.array(x, bool) for x in ([e.linked for _, e, _ in nodes], [e.noise for _, e, _ in nodes])]
+    scores = path_scores(of, np.array([len(raw) for *_, raw in nodes], float), np.array([len(PUNCTUATION.findall(raw)) for *_, raw in nodes], float), *flags)
+    good = content_paths(scores)[of]
+    content = [e for (_, e, _), g in zip(nodes, good, strict=True) if g]
+    if not content:
+        return ""
+    for e in content:
+        e.content += 1
+    children: dict[int, list[_Element]] = {}
+    for e in reversed(every[1:]):
+        e.parent.content += e.content
+    for e in every[1:]:
+        children.setdefault(id(e.parent), []).append(e)
+    region = _grown(_region(content), children)
     parts: dict[int, list[str]] = {}
-    for block, element, _, raw in nodes:
-        if element.inside:
+    for e in every:
+        listed = e.tag in ("ul", "ol", "div", "section", "table") and e.links > 2 * e.plain
+        e.kept = e is region or bool(e.parent and e.parent.kept and (e.content or not (e.noise or listed)))
+    for block, e, raw in nodes:
+        if e.kept:
             parts.setdefault(block, []).append(raw)
-    return "\n".join(x for x in (" ".join(unescape("".join(b)).split()) for b in parts.values()) if x)
+    return "\n".join(x for x in (" ".join("".join(b).split()) for b in parts.values()) if x)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

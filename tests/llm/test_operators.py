@@ -7,6 +7,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -19,6 +20,7 @@ from eventloom.llm import _kernels as k
 from eventloom.llm import bpe, chat, decontam, html_extract, line_dedup, near_dedup, quality_rules, queries, substring_dedup, token_counts, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLDER = "/root/testdata/sf0.001"
 
 
 def docs(spark, texts, ids=None, extra=False):
@@ -143,9 +145,6 @@ def test_token_ledger_of_two_writers(spark, tmp_path, monkeypatch):
     assert slow.commit(2, add()) and slow.committed() == [1, 2]
 
 
-FOLDER = "/root/testdata/sf0.001"
-
-
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_token_counts_query(spark):
     tokens = pytest.importorskip("public_tokenizers")
@@ -220,6 +219,57 @@ def test_html_head_and_embedded_elements(page, text):
     assert html_extract.main_text(page) == text
 
 
+WRAPPED = "<div class='top'><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div>{0}<div class='cookie-banner'><p>We use cookies, as all do, to do this, that, and more of it.</p></div>"
+
+
+@pytest.mark.parametrize("around", ["<div class='content with-sidebar'>{}</div>", "<div class='layout sidebar-right'>{}</div>", "<div id='search-results'>{}</div>", "<div data-id='share'>{}</div>", "<div data-class=social title='class=menu'>{}</div>", "<div class=related><div>{}</div></div>"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_names_count_only_as_words_of_what_wraps_no_article(around, tag):
+    body = "Body words, on and on, again. " * 20
+    inner = f"<{tag}><h1>Title</h1><p>{body}</p><section class='related-work'><p>Others, before us, did less.</p></section><p class=notice-period>A month.</p><div class='share-buttons'><p>Share it, now, with all.</p></div><ul class='links'><li><a href=/a>One more</a><li><a href=/b>Another</a></ul><ul><li>Kept item<li>and <a href=/c>one</a></ul><div id=comments><article class=comment><p>{body}</p></article></div></{tag}>"
+    assert html_extract.main_text(WRAPPED.format(around.format(inner))).split("\n") == ["Title", body.strip(), "Others, before us, did less.", "A month.", "Kept item", "and one"]
+
+
+def test_html_path_scores_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randrange(1, 30)
+        paths = [rng.randrange(6) for _ in range(n)]
+        of = np.unique(paths, return_inverse=True)[1]
+        rows = [(int(p), rng.randrange(1, 300), rng.randrange(9), rng.random() < 0.2, p == 1 and rng.random() < 0.5) for p in of]
+        groups = {p: [r for r in rows if r[0] == p] for p in {r[0] for r in rows}}
+
+        def smooth(column, rows=rows, groups=groups, n=n):
+            ratio = [sum(r[column] for r in groups[p]) / len(groups[p]) for p, *_ in rows]
+            bell = [sum(w * ratio[min(n - 1, max(0, i + d))] for d, w in ((-2, 0.05), (-1, 0.25), (0, 0.4), (1, 0.25), (2, 0.05))) for i in range(n)]
+            return {p: sum(v for r, v in zip(rows, bell, strict=True) if r[0] == p) / len(groups[p]) for p in groups}
+
+        length, marks = smooth(1), smooth(2)
+        want = [0 if any(r[4] for r in g) else length[p] * (1 + marks[p]) * sum(r[1] for r in g if not r[3]) / sum(r[1] for r in g) for p, g in sorted(groups.items())]
+        columns = [np.array(c) for c in zip(*rows, strict=True)]
+        got = html_extract.path_scores(of, columns[1].astype(float), columns[2].astype(float), columns[3].astype(bool), columns[4].astype(bool))
+        assert got == pytest.approx(want)
+        deviation = (sum((x - sum(want) / len(want)) ** 2 for x in want) / len(want)) ** 0.5
+        assert list(html_extract.content_paths(np.array(want))) == [x > 0 and x >= 0.5 * deviation for x in want]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_html_scores_select_the_content(monkeypatch):
+    pages = pd.read_parquet(f"{FOLDER}/pages.parquet").html
+    texts = [html_extract.main_text(p) for p in pages]
+    whole = [html_extract.main_text(re.search("<article>.*</article>", p, re.S)[0]) for p in pages]
+    assert texts == whole
+    monkeypatch.setattr(html_extract, "content_paths", lambda scores: scores >= 0)
+    assert sum(a != html_extract.main_text(p) for a, p in zip(texts, pages, strict=True)) == len(pages)
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "</b>" * 250_000, "<div>" * 30_000 + "</foo>" * 30_000, "<b><div>" + "<i>" * 30_000 + "</b>" * 60_000, '<a "' * 250_000, "<script>" + "</script " * 100_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<p class='" * 100_000, "<table>" + "<tr><td>x" * 50_000])
+def test_html_of_broken_pages_in_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 4
+
+
 # --- 4 -------------------------------------------------------------------------------------------------
 
 
