@@ -1,7 +1,8 @@
 """Vectorised text kernels on Arrow string columns (UTF-8 bytes in numpy).
 
 Texts are worked on in blocks of about ``BLOCK`` bytes, so that the temporary arrays stay a
-small multiple of the block, or of the longest text where that is longer.
+small multiple of the block. Of a text beyond a block, the flags of its bytes and a few 8-byte
+values for each of its words or lines are held.
 """
 
 from __future__ import annotations
@@ -27,12 +28,18 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        got = np.full(max(n, BLOCK + 1), base, U)
-        got[0] = 1
-        _powers[base] = got = np.multiply.accumulate(got)
-    return got[:n]
+    """base ** 0, 1, … n - 1 modulo 2**64; up to a block's worth is remembered."""
+    if n > BLOCK + 1:
+        return _made(base, n)
+    if base not in _powers:
+        _powers[base] = _made(base, BLOCK + 1)
+    return _powers[base][:n]
+
+
+def _made(base: int, n: int) -> np.ndarray:
+    got = np.full(n, base, U)
+    got[0] = 1
+    return np.multiply.accumulate(got)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,11 +91,30 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, whatever its place."""
-    n = len(data)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(BYTE[data] * powers(BASE, n), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(U))
+    """64-bit hash of the bytes of each span, whatever its place; spans are in order and don't overlap.
+
+    Spans are taken a block of bytes at a time, and a span beyond a block in pieces, so the temporary
+    arrays don't grow with a text.
+    """
+    out = np.zeros(len(starts), U)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = int(np.searchsorted(ends, low + BLOCK, "right"))
+        if to <= at:  # one long span
+            to, value = at + 1, 0
+            for piece in range(low, int(ends[at]), BLOCK):
+                part = data[piece : min(piece + BLOCK, int(ends[at]))]
+                value += int((BYTE[part] * powers(BASE, len(part))).sum()) * pow(BASE, piece - low, 1 << 64)
+            out[at] = U(value % (1 << 64))
+        else:
+            part = data[low : int(ends[to - 1])]
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum(BYTE[part] * powers(BASE, len(part)), out=sums[1:])
+            first = starts[at:to] - low
+            out[at:to] = (sums[ends[at:to] - low] - sums[first]) * powers(INVERSE, len(part) + 1)[first]
+        at = to
+    return mixed(out + (ends - starts).astype(U))
 
 
 def words(column: pa.Array, lower: bool = False) -> Words:

@@ -16,18 +16,22 @@ A bucket (a key) may hold very many documents, so its pairs are never listed:
    the hub it meets in most buckets: one pair for each document, confirmed on full sets.
 3. Components are formed from these links. Buckets inside one component need no more work. For
    the others the pairs between components are tested inside tasks, in blocks of at most
-   ``BLOCK`` members a side, once for each pair of blocks: first by signature distance, each pair
-   in the first bucket that it shares, then on full sets, and skipping pairs that earlier links
-   of the block have joined. A task returns the links it needed, fewer than its members.
+   ``BLOCK`` members a side, once for each pair of blocks. Signatures (84 bytes) go through the
+   blocks first: of each block a task returns the members that have a partner within the distance
+   in the first bucket that both share, no pairs. Only these members' full sets are then sent to
+   their blocks, where pairs are confirmed, skipping those that earlier links of the block have
+   joined. A task returns the links it needed, fewer than its members.
 4. Components of all links give each document the smallest id that it reaches.
 
-Components come from alternating large-star and small-star steps on tables: no link, label or
+Tables that a hot key's rows meet are written before they are joined, so that a join has two plain
+shuffles below it, which Spark splits where a key is hot. Components come from alternating large-star and small-star steps on tables: no link, label or
 document goes through the driver. Full sets are made and moved for members of shared buckets only.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that
 share a doc_id are one component with that id and keep their own set sizes; ``kept`` is true for
 all rows of the smallest id. Rows with a null doc_id are linked with nothing and kept, component null.
-An empty table gives an empty result; extra columns pass through ``keep_one``.
+An empty table gives an empty result; extra columns pass through ``keep_one``. Ids are integers; other
+ids are an error of the cast. Memory: a block of texts or the longest text, and two blocks of sets.
 """
 
 from __future__ import annotations
@@ -193,26 +197,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def block_links(rows: list[dict]) -> list[tuple[int, int]]:
-    """Links between components within one pair of blocks of one bucket, enough to join what is linked."""
+def _near(rows: list[dict]) -> Iterator[tuple[int, np.ndarray, list[dict], list[dict]]]:
+    """(i, js, left, right) of one pair of blocks: left member i has the partners js within the distance, in
+    another component, and this is the first bucket that they share."""
     chunk, pick = divmod(rows[0]["key"] & 127, len(PICKS))
     same = rows[0]["side"] == 0
     left = [r for r in rows if r["side"] != 2]
     right = [r for r in rows if r["side"] != 1]
     if not left or not right:
-        return []
-    parent: dict[int, int] = {r["_c"]: r["_c"] for r in rows}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+        return
     sig = np.stack([np.frombuffer(r["_sig"], np.uint8) for r in right])
     comp = np.array([r["_c"] for r in right])
-    sets: dict[int, np.ndarray] = {}
-    found = []
     for i, r in enumerate(left):
         differ = sig != np.frombuffer(r["_sig"], np.uint8)
         errors = differ.reshape(-1, CHUNKS, ROWS).sum(axis=2)
@@ -222,7 +217,36 @@ def block_links(rows: list[dict]) -> list[tuple[int, int]]:
         near &= (errors[:, chunk] > 0) | (pick == 0)
         if same:
             near[: i + 1] = False
-        for j in np.flatnonzero(near):
+        if near.any():
+            yield i, np.flatnonzero(near), left, right
+
+
+def block_members(rows: list[dict]) -> list[dict]:
+    """The members of one pair of blocks that have a partner to be confirmed, once for each side."""
+    left_at, right_at, sides = set(), set(), ([], [])
+    for i, js, left, right in _near(rows):
+        left_at.add(i)
+        right_at.update(js.tolist())
+        sides = left, right
+    found = {id(sides[0][i]): sides[0][i] for i in left_at} | {id(sides[1][j]): sides[1][j] for j in right_at}
+    return list(found.values())
+
+
+def block_links(rows: list[dict]) -> list[tuple[int, int]]:
+    """Links between components within one pair of blocks of one bucket, enough to join what is linked."""
+    parent: dict[int, int] = {r["_c"]: r["_c"] for r in rows}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+    found = []
+    for i, js, left, right in _near(rows):
+        r = left[i]
+        for j in js:
             other = right[j]
             x, y = root(r["_c"]), root(other["_c"])
             if x == y:
@@ -234,27 +258,36 @@ def block_links(rows: list[dict]) -> list[tuple[int, int]]:
     return found
 
 
-def _block_links(blocks: DataFrame) -> DataFrame:
-    """Streams rows sorted by (key, u, v) and links each pair of blocks; holds two blocks at a time."""
-    dealt = blocks.select("key", "u", "v", "side", "_k", "_c", "_sig", "_set").repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+def _by_block(blocks: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """``work`` on the rows of each (key, u, v), as record batches; a task holds one pair of blocks."""
+    dealt = blocks.select("key", "u", "v", *columns).repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         at = None
         for batch in batches:
-            found: list[tuple[int, int]] = []
             for start in range(0, batch.num_rows, 500):
                 for row in batch.slice(start, 500).to_pylist():
                     if (to := (row["key"], row["u"], row["v"])) != at:
-                        found += block_links(held) if len(held) > 1 else []
+                        if len(held) > 1 and (found := work(held)):
+                            yield found
                         held, at = [], to
                     held.append(row)
-            if found:
-                yield _links(found)
-        if len(held) > 1 and (found := block_links(held)):
-            yield _links(found)
+        if len(held) > 1 and (found := work(held)):
+            yield found
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _member_batch(rows: list[dict]) -> pa.RecordBatch | None:
+    found = block_members(rows)
+    kinds = {"key": pa.int64(), "u": pa.int32(), "v": pa.int32(), "side": pa.int32(), "_k": pa.int64(), "_c": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in kinds.items()], names=list(kinds)) if found else None
+
 
-    return dealt.mapInArrow(run, "a long, b long")
+def _link_batch(rows: list[dict]) -> pa.RecordBatch | None:
+    found = block_links(rows)
+    return _links(found) if found else None
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -271,24 +304,25 @@ def label(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
 
     reps = reps.select(F.col("_rep").alias("_k"), "_c1", "_sig")
     keys = kept(_keys(reps), "near-keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    shared = kept(keys.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1), "near-shared")
     rows = kept(keys.join(shared, "key"), "near-rows")
-    fame = rows.groupBy("_k").agg(F.sum("size").alias("fame"))
+    fame = kept(rows.groupBy("_k").agg(F.sum("size").alias("fame")), "near-fame")
     hubs = rows.join(fame, "_k").groupBy("key").agg(F.max(F.struct("fame", (-F.col("_k")).alias("_m"))).alias("hub")).select("key", (-F.col("hub._m")).alias("hub"))
-    stars = rows.join(hubs, "key").where(F.col("_k") != F.col("hub")).groupBy("_k", "hub").agg(F.count("*").alias("times"))
+    stars = rows.join(kept(hubs, "near-hubs"), "key").where(F.col("_k") != F.col("hub")).groupBy("_k", "hub").agg(F.count("*").alias("times"))
     pairs = stars.groupBy("_k").agg(F.max(F.struct("times", (-F.col("hub")).alias("_m"))).alias("best")).select(F.col("_k").alias("a"), (-F.col("best._m")).alias("b"))
     members = kept(fame.select("_k"), "near-members")
-    chosen = reps.join(members, "_k")
-    bodies = kept(_full_sets(docs, members, key, text).join(chosen.select("_k", "_c1", "_sig"), ["_k", "_c1"]).dropDuplicates(["_k", "_c1"]).select("_k", "_sig", "_set"), "near-bodies")
+    chosen = reps.join(members, "_k").select("_k", "_c1", "_sig")
+    bodies = kept(_full_sets(docs, members, key, text).join(chosen, ["_k", "_c1"]).dropDuplicates(["_k", "_c1"]).select("_k", "_sig", "_set"), "near-bodies")
     first = kept(_confirmed(pairs, bodies), "near-star")
     within = kept(components(members, first), "near-within")
 
     placed = rows.join(within, "_k")
-    open_ = placed.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.max("size").alias("size")).where(F.col("lo") != F.col("hi")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = kept(placed.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.max("size").alias("size")).where(F.col("lo") != F.col("hi")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "near-open")
     own = placed.select("key", "_k", "_c").join(open_, "key").withColumn("own", F.pmod(F.xxhash64("_k"), F.col("blocks")).cast("int"))
     at = F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS u, greatest(own, j) AS v, CASE WHEN j = own THEN 0 WHEN own < j THEN 1 ELSE 2 END AS side))"))
-    spread = own.select("key", "_k", "_c", at.alias("x")).select("key", "_k", "_c", "x.*").join(bodies, "_k")
-    rest = kept(_block_links(spread), "near-rest")
+    signed = own.join(bodies.select("_k", "_sig"), "_k").select("key", "_k", "_c", "_sig", at.alias("x")).select("key", "_k", "_c", "_sig", "x.*")
+    asked = kept(_by_block(signed, ["side", "_k", "_c", "_sig"], _member_batch, "key long, u int, v int, side int, _k long, _c long"), "near-asked")
+    rest = kept(_by_block(asked.join(bodies, "_k"), ["side", "_k", "_c", "_sig", "_set"], _link_batch, "a long, b long"), "near-rest")
     links = first.unionByName(rest).unionByName(copies)
     return sets, components(full.select("_k").distinct(), links)
 

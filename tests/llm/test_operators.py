@@ -37,6 +37,18 @@ def prose(rng, n, vocabulary=400):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
+def test_span_hashes_do_not_depend_on_place_or_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8)
+    cuts = np.unique(rng.integers(0, 5000, 300))
+    starts, ends = cuts[:-1], cuts[1:]
+    whole = k.spans_hash(data, starts, ends)
+    assert all(k.spans_hash(data[a:b], np.array([0]), np.array([b - a]))[0] == h for a, b, h in zip(starts, ends, whole, strict=True)) and len(set(whole)) == len({data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)})
+    monkeypatch.setattr(k, "BLOCK", 7)
+    monkeypatch.setattr(k, "_powers", {})
+    assert list(k.spans_hash(data, starts, ends)) == list(whole) and not len(k.spans_hash(data, starts[:0], ends[:0]))
+
+
 # --- 1 -------------------------------------------------------------------------------------------
 
 
@@ -589,6 +601,41 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert {r.doc_id for r in near_dedup.keep_one(df).collect()} == {i for i, w in zip(ids, want, strict=True) if w[2]}
 
 
+def test_near_duplicates_send_sets_of_near_members_only(spark, monkeypatch):
+    """Of 300 texts that share a bucket but no near partner, no full set goes through the blocks."""
+    sent = []
+    plain = near_dedup._by_block
+
+    def counting(blocks, columns, work, schema):
+        if "_set" in columns:
+            sent.append(blocks.count())
+        return plain(blocks, columns, work, schema)
+
+    monkeypatch.setattr(near_dedup, "_by_block", counting)
+    monkeypatch.setattr(near_dedup, "PICKS", [[0]])  # one value is a key: buckets of texts that have nothing to do with each other
+    rng = random.Random(4)
+    texts = [" ".join(prose(rng, 60, 10**6)) for _ in range(300)]
+    base = prose(rng, 80, 10**6)
+    texts += [" ".join(base), " ".join([*base[:40], "x", *base[41:]])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {**{i: i for i in range(301)}, 301: 300} and sent and sent[0] <= 60
+
+
+def test_recall_of_the_index_by_similarity():
+    """Pairs of random sets of a given similarity that share a key and lie within the distance."""
+    rng = np.random.default_rng(0)
+    for percent, least in ((85, 0.999), (90, 0.999), (95, 1.0)):
+        found = 0
+        for _ in range(2000):
+            n = 200
+            both = round(2 * n * percent / (100 + percent))
+            pool = rng.integers(0, 1 << 64, 2 * n - both, dtype=np.uint64)
+            a, b = (near_dedup.signature(np.unique(x)) for x in (pool[:n], np.concatenate([pool[:both], pool[n:]])))
+            differ = a != b
+            found += bool((differ.reshape(near_dedup.CHUNKS, near_dedup.ROWS).sum(axis=1) <= near_dedup.ERRORS).any() and differ.sum() <= near_dedup.FARTHEST)
+        assert found >= least * 2000, (percent, found)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     t = " ".join(f"w{i}" for i in range(30))
     rows = near_dedup.near_duplicates(docs(spark, [t, t, t, "x y", None, t], ids=[3, 3, 2, 2, None, None])).collect()
