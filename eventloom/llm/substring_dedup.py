@@ -1,31 +1,36 @@
 r"""Substring deduplication by suffix automata of reference shards (operator 1).
 
 A window of ``size`` consecutive words that also starts anywhere else in the corpus is repeated,
-and every word that a repeated window covers goes. Matching every document against an automaton
-of the whole corpus would broadcast what grows with the corpus; here the corpus is its own
-reference, cut so that shards are small and only what can match meets:
+and every word that a repeated window covers goes. The corpus is its own reference, so automata of
+all of it would grow with it: broadcasting them to every task, and streaming every document past
+every one of them, costs the square of the corpus. The reference is therefore dealt out instead, so
+that shards stay small and each text streams through the one shard that can match it:
 
 1. Anchors. Each window is led by the smallest hash among its ``GRAM``-word grams (leftmost of
    equals). Consecutive windows with the same leading gram form a run, so equal windows lie in
-   runs with equal anchors; a run and its words are named by (anchor, content hash).
-2. Anchors that lead one run only hold no repeated window. Where all runs of an anchor have the
-   same words, all their windows are repeated. Both are settled by one aggregate for each anchor.
-3. For the other anchors each distinct run text is fetched once. These texts, with their numbers
-   of occurrences, are the reference shards: dealt out by anchor, in blocks of bounded size, a
-   shard becomes a suffix automaton of its word sequence, the run texts stream through it, and
-   the occurrence count of each ``size``-word match tells which windows are repeated. The
-   automaton compares words, not hashes.
-4. An anchor with more than ``MOST_RUNS`` distinct run texts (the edge of a passage that very many
-   documents share) would make one shard large; its windows are counted one by one instead, by
-   their 128-bit hashes, aggregated before they move.
+   runs with equal anchors. Runs whose anchor leads no other run hold no repeated window.
+2. The other runs' texts are fetched, and equal ones of an anchor are counted as one text with its
+   number of occurrences, before they move. Texts are compared by their words.
+3. The distinct texts of an anchor are a reference shard: it becomes a suffix automaton of words, its
+   texts stream through it, and the occurrences of each match of ``size`` words or more tell which
+   windows are repeated. A task makes one automaton of several anchors, up to ``SHARD`` words.
+4. An anchor with more than ``TEXTS`` distinct texts (the edge of a passage that very many documents
+   share) would make a shard large: its windows are dealt out again by their first and last grams
+   beside the anchor, equal ones are counted as one, and each such group is a shard like any other.
 5. The repeated spans are gathered by document and the texts rewritten.
 
+Whether words go is decided by automata on words alone. Hashes bring together what may be equal: two
+texts of one anchor whose 128-bit digests agree though their words differ are found out and judged
+as not repeated, so a collision removes nothing.
+
 ``remove_reference`` is the plain form for a bounded outside reference: its automata, in shards
 of at most ``SHARD`` words, are broadcast one after the other.
 
-Shuffles: a narrow row for each run (about a fifteenth of the words) twice, the distinct run
-texts, and the documents' texts by key to fetch run texts and to be rewritten. All joins are of
-a kind that Spark splits where a key is hot. Memory: a block of texts, one shard, one document.
+Shuffles: a narrow row for each run (about a fifteenth of the words) twice; the distinct texts of
+shared runs; and the texts of documents that have shared runs, to fetch them and to be rewritten. The
+other documents pass by unmoved, told apart by a list of keys that is broadcast if it is counted to be
+short. All joins are of two written tables, which Spark splits where a key is hot. Memory: a block of
+texts or the longest text, one shard, and a document with its spans.
 
 A null or empty text has no words. Rows that share a doc_id are documents of their own, told
 apart by their text; identical rows repeat each other, and all are returned. A null doc_id is
@@ -43,11 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import _kernels as k
-from eventloom.llm._shared import kept
+from eventloom.llm._shared import kept, small_or_shuffled
 
 SIZE, GRAM = 35, 8
-MOST_RUNS = 64
-SHARD = 50_000
+#: A shard's distinct texts of one anchor, and its words.
+TEXTS, SHARD = 64, 50_000
+#: Keys beyond this number are joined by a shuffle.
+MOST_BROADCAST = 500_000
 U = np.uint64
 
 
@@ -136,11 +143,11 @@ def _least_in(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs_of(w: k.Words, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(first word, number of windows, anchor, content hash) of every run."""
+    """(first word, number of windows, anchor) of every run."""
     n = len(w.hashes) - size + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, empty.astype(U), empty.astype(U)
+        return empty, empty, empty.astype(U)
     m = len(w.hashes) - gram + 1
     grams = w.hashes[:m].copy()
     for j in range(1, gram):
@@ -153,120 +160,156 @@ def runs_of(w: k.Words, size: int, gram: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new & valid)
     stop = np.append(np.flatnonzero(new | ~valid), n)
     count = stop[np.searchsorted(stop, first, "right")] - first
-    last = first + count + size - 1
-    sums = np.zeros(len(w.hashes) + 1, U)
-    np.cumsum(k.mixed(w.hashes) * k.powers(k.BASE, len(w.hashes)), out=sums[1:])
-    content = k.mixed((sums[last] - sums[first]) * k.powers(k.INVERSE, len(w.hashes) + 1)[first] + count.astype(U))
-    return first, count, value[first], content
+    return first, count, value[first]
+
+
+def text_digest(words: bytes) -> tuple[int, int]:
+    """128 bits that name a text among those of its anchor."""
+    digest = hashlib.blake2b(words, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _runs(rows: DataFrame, size: int, gram: int) -> DataFrame:
-    """(_k, _h, start, n, anchor, content) of the runs of rows (_k, _h, _t)."""
+    """(_k, _h, start, n, anchor) of the runs of rows (_k, _h, _t)."""
     kind = rows.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in k.blocks(batch.column(2)):
                 w = k.words(part)
-                first, count, anchor, content = runs_of(w, size, gram)
+                first, count, anchor = runs_of(w, size, gram)
                 row = pa.array(w.text[first] + at)
                 start = (first - w.first[w.text[first]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(start), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
-                    names=["_k", "_h", "start", "n", "anchor", "content"],
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(start), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64))],
+                    names=["_k", "_h", "start", "n", "anchor"],
                 )
 
-    return rows.mapInArrow(run, f"_k {kind}, _h long, start int, n int, anchor long, content long")
+    return rows.mapInArrow(run, f"_k {kind}, _h long, start int, n int, anchor long")
 
 
 def _run_texts(wanted: DataFrame, size: int) -> DataFrame:
-    """(anchor, content, times, hot, words array<string>) of rows (_t, wanted array<struct>)."""
+    """(_k, _h, start, n, anchor, d1, d2, words) of rows (_k, _h, _t, wanted array<struct<start, n, anchor>>)."""
+    kind = wanted.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, content, times, hot, texts = [], [], [], [], []
-            for text, spans in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = (text.as_py() or "").encode().split()
-                for s in spans:
-                    anchor.append(s["anchor"])
-                    content.append(s["content"])
-                    times.append(s["times"])
-                    hot.append(s["hot"])
-                    texts.append(b" ".join(words[s["start"] : s["start"] + s["n"] + size - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(times, pa.int64()), pa.array(hot, pa.bool_()), pa.array(texts, pa.binary())], names=["anchor", "content", "times", "hot", "words"])
-
-    return wanted.mapInArrow(run, "anchor long, content long, times long, hot boolean, words binary")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                row, spans, names, texts = [], [], [], []
+                for i, (text, own) in enumerate(zip(part.column(2), part.column(3).to_pylist(), strict=True)):
+                    words = (text.as_py() or "").encode().split()
+                    for s in own:
+                        row.append(i)
+                        spans.append((s["start"], s["n"], s["anchor"]))
+                        texts.append(b" ".join(words[s["start"] : s["start"] + s["n"] + size - 1]))
+                        names.append(text_digest(texts[-1]))
+                take = pa.array(row, pa.int64())
+                columns = [pa.array([x[c] for x in spans], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int64()))] + [pa.array([x[c] for x in names], pa.int64()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *columns, pa.array(texts, pa.binary())], names=["_k", "_h", "start", "n", "anchor", "d1", "d2", "words"])
+
+    return wanted.mapInArrow(run, f"_k {kind}, _h long, start int, n int, anchor long, d1 long, d2 long, words binary")
+
+
+def _windows(texts: DataFrame, size: int, gram: int) -> DataFrame:
+    """(shard, d1, d2, words, times, anchor, t1, t2, at) of every window of rows (anchor, d1, d2, words, times), whose
+    digest is (t1, t2) now; a shard is what agrees in anchor, first gram and last gram."""
 
-
-def _shard_masks(texts: DataFrame, size: int) -> DataFrame:
-    """(anchor, content, mask binary): which windows of each run text are repeated, by automata of shards."""
-    dealt = texts.select("anchor", "content", "times", "words").repartition("anchor").sortWithinPartitions("anchor")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                out: list[tuple] = []
+                for anchor, t1, t2, text, times in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns), strict=True):
+                    words = text.split(b" ")
+                    for at in range(len(words) - size + 1):
+                        window = words[at : at + size]
+                        ends = b" ".join(window[:gram] + window[-gram:])
+                        joined = b" ".join(window)
+                        out.append((text_digest(b"%d %b" % (anchor, ends))[0], *text_digest(joined), joined, times, anchor, t1, t2, at))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "d1", "d2", "words", "times", "anchor", "t1", "t2", "at"])
+
+    return texts.select("anchor", "d1", "d2", "words", "times").mapInArrow(run, "shard long, d1 long, d2 long, words binary, times long, anchor long, t1 long, t2 long, at int")
+
+
+def _judged(texts: DataFrame, size: int) -> DataFrame:
+    """(shard, d1, d2, mask binary): which windows of the distinct texts (shard, d1, d2, words, times) are repeated, by
+    automata of shards; texts without one have no row."""
+    dealt = texts.select("shard", "d1", "d2", "times", "words").repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total = 0
 
-        def shard() -> pa.RecordBatch:
+        def judged() -> pa.RecordBatch:
             automaton = SuffixAutomaton()
             for *_, times, words in held:
                 automaton.add(words, times)
             automaton.seal()
-            masks = [np.packbits(automaton.repeated(words, size)).tobytes() for *_, words in held]
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(masks, pa.binary())], names=["anchor", "content", "mask"])
+            found = [(*names, np.packbits(mask).tobytes()) for *names, _, words in held if (mask := automaton.repeated(words, size)).any()]
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "d1", "d2", "mask"])
 
         for batch in batches:
-            for anchor, content, times, words in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if total >= SHARD and anchor != held[-1][0]:
-                    yield shard()
-                    held, total = [], 0
-                held.append((anchor, content, times, words.split(b" ")))
-                total += len(held[-1][-1])
+            for start in range(0, batch.num_rows, 2000):
+                for shard, d1, d2, times, words in zip(*(c.to_pylist() for c in batch.slice(start, 2000).columns), strict=True):
+                    if total >= SHARD and shard != held[-1][0]:
+                        yield judged()
+                        held, total = [], 0
+                    held.append((shard, d1, d2, times, words.split(b" ")))
+                    total += len(held[-1][-1])
         if held:
-            yield shard()
+            yield judged()
 
-    return dealt.mapInArrow(run, "anchor long, content long, mask binary")
+    return dealt.mapInArrow(run, "shard long, d1 long, d2 long, mask binary")
 
 
-def _window_masks(texts: DataFrame, size: int) -> DataFrame:
-    """The same for hot anchors: each window counted by its 128-bit hash."""
+def _told_apart(texts: DataFrame, name: str) -> DataFrame:
+    """``texts`` (shard, d1, d2, words, …) without those of one shard and digest whose words differ."""
+    key = ["shard", "d1", "d2"]
+    clash = kept(texts.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*key), name)
+    return texts.join(small_or_shuffled(clash, clash.count(), MOST_BROADCAST), key, "left_anti")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchor, content, times, at, a, b = ([] for _ in range(6))
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                words = row[3].split(b" ")
-                for i in range(len(words) - size + 1):
-                    digest = hashlib.blake2b(b" ".join(words[i : i + size]), digest_size=16).digest()
-                    for column, v in zip((anchor, content, times, at, a, b), (*row[:3], i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(times, pa.int64()), pa.array(at, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["anchor", "content", "times", "at", "w1", "w2"])
 
-    windows = texts.select("anchor", "content", "times", "words").mapInArrow(run, "anchor long, content long, times long, at int, w1 long, w2 long")
-    counted = windows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("w1", "w2")
-    return windows.join(counted, ["w1", "w2"]).groupBy("anchor", "content").agg(F.collect_set("at").alias("ats"))
+def _keys(spans: DataFrame) -> tuple[DataFrame, int]:
+    """The keys of documents with spans (_k2, _h2), and their number."""
+    keys = spans.select(F.col("_k").alias("_k2"), F.col("_h").alias("_h2"))
+    return keys, keys.count()
+
+
+def _met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Documents (_k, _h, …) joined with what has their key as (_k2, _h2)."""
+    return left.join(right, left["_k"].eqNullSafe(right["_k2"]) & (left["_h"] == right["_h2"]), how)
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_k, _h, spans): for documents with repeated windows, their runs as array<struct<start, n, mask,
-    ats>>; without mask and ats all windows of the run are repeated. _h is the text's hash."""
+    ats>>; windows are marked in the mask or listed in ats. _h is the text's hash."""
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
     runs = kept(_runs(rows.where(F.col("_t").isNotNull()), size, gram), "substring-runs")
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("of"), F.min("content").alias("least"), F.max("content").alias("most")).where(F.col("of") > 1)
-    # written first: a join of two plain shuffles is one that Spark can split at a hot anchor
-    anchors = kept(anchors.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "substring-anchors")
-    found = kept(runs.join(anchors, "anchor"), "substring-found")
-    mixed = found.where("mixed")
-    distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("_k", "_h", "start", "n")).alias("at"))
-    width = distinct.groupBy("anchor").agg((F.count("*") > MOST_RUNS).alias("hot"))
-    wanted = distinct.join(width, "anchor").groupBy(F.col("at._k").alias("_k2"), F.col("at._h").alias("_h2")).agg(F.collect_list(F.struct("anchor", "content", "times", "hot", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("wanted"))
-    fetched = rows.join(wanted, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2"))).select("_t", "wanted")
-    texts = kept(_run_texts(fetched, size), "substring-texts")
-    masks = _shard_masks(texts.where(~F.col("hot")), size).withColumn("ats", F.lit(None).cast("array<int>"))
-    masks = masks.unionByName(_window_masks(texts.where("hot"), size).withColumn("mask", F.lit(None).cast("binary")))
-    settled = found.where(~F.col("mixed")).withColumns({"mask": F.lit(None).cast("binary"), "ats": F.lit(None).cast("array<int>")})
-    judged = mixed.join(masks, ["anchor", "content"])
-    spans = settled.unionByName(judged).select("_k", "_h", F.struct("start", "n", "mask", "ats").alias("span"))
-    return spans.groupBy("_k", "_h").agg(F.collect_set("span").alias("spans"))
+    anchors = kept(runs.groupBy("anchor").agg(F.count("*").alias("of")).where(F.col("of") > 1).select("anchor"), "substring-anchors")
+    # rows that share key and text have the same runs; the texts are fetched for each of them
+    found = runs.join(anchors, "anchor").groupBy("_k", "_h").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("wanted"))
+    wanted = kept(found, "substring-wanted")
+    own, many = _keys(wanted)
+    some = _met(rows, small_or_shuffled(own, many, MOST_BROADCAST), "left_semi")
+    fetched = _met(some, wanted.withColumnsRenamed({"_k": "_k2", "_h": "_h2"}), "inner")
+    texts = kept(_run_texts(fetched.select("_k", "_h", "_t", "wanted"), size), "substring-texts")
+
+    distinct = kept(texts.groupBy("anchor", "d1", "d2", "words").agg(F.count("*").alias("times")).withColumnRenamed("anchor", "shard"), "substring-distinct")
+    wide = kept(distinct.groupBy("shard").agg(F.count("*").alias("of")).where(F.col("of") > TEXTS).select("shard"), "substring-wide")
+    apart, few = _told_apart(distinct, "substring-clashes"), small_or_shuffled(wide, wide.count(), MOST_BROADCAST)
+    plain = _judged(apart.join(few, "shard", "left_anti"), size).withColumnRenamed("shard", "anchor")
+    windows = _windows(apart.join(few, "shard", "left_semi").withColumnRenamed("shard", "anchor"), size, gram)
+    pieces = kept(windows.groupBy("shard", "d1", "d2", "words").agg(F.sum("times").alias("times")), "substring-pieces")
+    again = kept(_judged(_told_apart(pieces, "substring-piece-clashes"), size).select("shard", "d1", "d2"), "substring-again")
+    ats = windows.select("shard", "d1", "d2", "anchor", "t1", "t2", "at").join(again, ["shard", "d1", "d2"]).groupBy("anchor", F.col("t1").alias("d1"), F.col("t2").alias("d2")).agg(F.collect_set("at").alias("ats"))
+    none = {"mask": F.lit(None).cast("binary"), "ats": F.lit(None).cast("array<int>")}
+    masks = kept(plain.withColumn("ats", none["ats"]).unionByName(ats.withColumn("mask", none["mask"])), "substring-masks")
+
+    judged = texts.select("_k", "_h", "start", "n", "anchor", "d1", "d2").join(masks, ["anchor", "d1", "d2"])
+    return judged.groupBy("_k", "_h").agg(F.collect_set(F.struct("start", "n", "mask", "ats")).alias("spans"))
 
 
 def removed_words(n_words: int, spans: list[dict] | None, size: int) -> np.ndarray:
@@ -275,10 +318,8 @@ def removed_words(n_words: int, spans: list[dict] | None, size: int) -> np.ndarr
     for s in spans or []:
         if s["ats"] is not None:
             at = np.asarray(s["ats"]) + s["start"]
-        elif s["mask"] is not None:
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(s["mask"], np.uint8), count=s["n"])) + s["start"]
         else:
-            at = np.arange(s["start"], s["start"] + s["n"])
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(s["mask"], np.uint8), count=s["n"])) + s["start"]
         np.add.at(steps, at, 1)
         np.add.at(steps, at + size, -1)
     return np.cumsum(steps[:-1]) > 0
@@ -287,10 +328,14 @@ def removed_words(n_words: int, spans: list[dict] | None, size: int) -> np.ndarr
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``text`` replaced by the kept words joined by one space, and n_words
     and n_removed, which replace columns of these names."""
-    spans = repeated_spans(docs, size, gram, key, text)
+    spans = kept(repeated_spans(docs, size, gram, key, text), "substring-spans")
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(F.lit(0).alias("_sd_0"), *others).alias("_rest"), F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
-    both = rows.join(spans.withColumnsRenamed({"_k": "_k2", "_h": "_h2"}), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), "left")
+    own, many = _keys(spans)
+    own = small_or_shuffled(own, many, MOST_BROADCAST)
+    without = _met(rows, own, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    with_spans = _met(_met(rows, own, "left_semi"), spans.withColumnsRenamed({"_k": "_k2", "_h": "_h2"}), "inner")
+    both = without.select("_rest", "_t", "spans").unionByName(with_spans.select("_rest", "_t", "spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,9 +62,10 @@ def removed_by_brute_force(texts, size):
     return out
 
 
-@pytest.mark.parametrize(("most", "shard"), [(64, 50_000), (1, 50_000), (64, 60)])
+@pytest.mark.parametrize(("most", "shard"), [(64, 50_000), (0, 50_000), (1, 50_000), (64, 60)])
 def test_substring_dedup(spark, monkeypatch, most, shard):
-    monkeypatch.setattr(substring_dedup, "MOST_RUNS", most)
+    monkeypatch.setattr(substring_dedup, "TEXTS", most)
+    monkeypatch.setattr(substring_dedup, "MOST_BROADCAST", most * 10_000)
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
     rng = random.Random(11)
     shared = prose(rng, 60)
@@ -87,6 +88,21 @@ def test_substring_dedup_of_repeated_rows_and_nothing(spark):
     assert substring_dedup.dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [64, 0])
+def test_colliding_digests_remove_nothing(spark, monkeypatch, most):
+    """Texts of one anchor whose digests agree though their words differ aren't repeated."""
+    monkeypatch.setattr(substring_dedup, "TEXTS", most)
+    rng = random.Random(2)
+    anchor = [f"w{i}" for i in range(8)]
+    texts = [" ".join(prose(rng, 27) + anchor + prose(rng, 27)) for _ in range(6)]
+    twice = " ".join(prose(rng, 50))
+    assert all(r.n_removed == 0 for r in substring_dedup.dedup(docs(spark, texts)).collect())
+    monkeypatch.setattr(substring_dedup, "text_digest", lambda words: (0, 0))
+    assert all(r.n_removed == 0 for r in substring_dedup.dedup(docs(spark, [*texts, twice, twice + " x"])).collect() if r.doc_id < 6)
+    monkeypatch.setattr(k, "mixed", lambda x: x & np.uint64(3))  # every gram collides: nearly one anchor
+    assert [r.n_removed for r in substring_dedup.dedup(docs(spark, texts)).collect()] == [0] * 6
+
+
 def test_automaton_counts_and_matches():
     rng = random.Random(3)
     for _ in range(60):
