@@ -30,17 +30,35 @@ def any_of(text: Column, words: list[str]) -> Column:
     return F.coalesce(text.rlike("|".join(map(re.escape, words))), F.lit(False))
 
 
+#: Pieces of a text whose offsets are summed up together.
+RUN = 64
+
+
 def sentences(text: Column, end: str = lx.SENTENCE_END) -> Column:
-    """array<struct<sentence, start, end>> of the non-empty pieces between single end characters."""
-    pieces = F.split(F.coalesce(text, F.lit("")), end, -1)
-    start = F.struct(F.array().cast("array<struct<sentence:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
+    """array<struct<sentence, start, end>> of the non-empty pieces between single end characters.
+
+    Offsets are summed up within runs of ``RUN`` pieces, then over the runs, so that arrays that grow
+    piece by piece stay short and a long text costs time in proportion to its pieces.
+    """
+    rows = "array<struct<sentence:string,start:int,end:int>>"
+    begin = F.struct(F.array().cast(rows).alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, piece: Column) -> Column:
         to = acc["at"] + F.length(piece)
         row = F.array(F.struct(piece.alias("sentence"), acc["at"].alias("start"), to.alias("end")))
         return F.struct(F.when(F.length(piece) > 0, F.concat(acc["out"], row)).otherwise(acc["out"]).alias("out"), (to + 1).alias("at"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def runs(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / RUN).cast("int")), lambda r: F.aggregate(F.slice(pieces, r * RUN + 1, F.lit(RUN)), begin, step))
+
+    def joined(runs_: Column) -> Column:
+        first = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+        starts = F.aggregate(runs_, first, lambda acc, r: F.struct(F.array_append(acc["out"], acc["at"]).alias("out"), (acc["at"] + r["at"]).alias("at")), lambda acc: acc["out"])
+        moved = lambda pair: F.transform(pair["r"]["out"], lambda s: F.struct(s["sentence"].alias("sentence"), (s["start"] + pair["s"]).alias("start"), (s["end"] + pair["s"]).alias("end")))
+        return F.flatten(F.transform(F.arrays_zip(runs_.alias("r"), starts.alias("s")), moved))
+
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    return let(F.split(F.coalesce(text, F.lit("")), end, -1), lambda pieces: let(runs(pieces), joined))
 
 
 def simple_sentences(text: Column, least: int = 1) -> Column:

@@ -12,52 +12,70 @@ from eventloom.sources.storage import kept
 DAMPING = 0.85
 
 
-def _weights(edges: DataFrame) -> DataFrame:
-    """(graph_id, src, dst, w): each source's confidences as shares of their sum."""
-    conf = edges.select("graph_id", F.col("cause_event_id").alias("src"), F.col("effect_event_id").alias("dst"), edge_confidence(F.col("confidence")).alias("c"))
-    total = F.sum("c").over(Window.partitionBy("graph_id", "src"))
-    return conf.select("graph_id", "src", "dst", (F.col("c") / total).alias("w"), total.alias("t")).where("t > 0").drop("t")
+def _weights(edges: DataFrame, even: bool = False) -> DataFrame:
+    """(graph_id, src, dst, w): each source's confidences (or ones, if ``even``) as shares of their sum."""
+    value = F.lit(1.0) if even else edge_confidence(F.col("confidence"))
+    conf = edges.select("graph_id", F.col("cause_event_id").alias("src"), F.col("effect_event_id").alias("dst"), value.alias("c"))
+    total = conf.groupBy("graph_id", "src").agg(F.sum("c").alias("t")).where("t > 0")
+    return conf.join(total, ["graph_id", "src"]).select("graph_id", "src", "dst", (F.col("c") / F.col("t")).alias("w"))
+
+
+def _even(nodes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(graph_id, event_id, n, r, ends): equal ranks, the graph's number of nodes, and whether a node passes nothing on."""
+    sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    gives = weights.select("graph_id", F.col("src").alias("event_id"), F.lit(False).alias("ends")).distinct()
+    return nodes.select("graph_id", "event_id").join(sizes, "graph_id").join(gives, ["graph_id", "event_id"], "left").select("graph_id", "event_id", "n", (F.lit(1.0) / F.col("n")).alias("r"), F.coalesce("ends", F.lit(True)).alias("ends"))
 
 
 def _step(rank: DataFrame, weights: DataFrame, damping: float) -> DataFrame:
-    """One power step: (graph_id, event_id, n, r, before). Mass of nodes without out-weight spreads evenly."""
+    """One power step: (…, r, before). The mass of nodes that pass nothing on spreads evenly over their graph.
+
+    A graph's sums are aggregates of a row each, joined back: no graph is gathered in a task.
+    """
     flows = rank.select("graph_id", F.col("event_id").alias("src"), "r").join(weights, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("event_id"), (F.col("r") * F.col("w")).alias("in"))
     got = flows.groupBy("graph_id", "event_id").agg(F.sum("in").alias("got"))
-    moved = F.sum(F.coalesce("got", F.lit(0.0))).over(Window.partitionBy("graph_id"))
-    held = F.sum("r").over(Window.partitionBy("graph_id"))
-    joined = rank.join(got, ["graph_id", "event_id"], "left")
-    new = damping * (F.coalesce("got", F.lit(0.0)) + (held - moved) / F.col("n")) + (1 - damping) / F.col("n")
+    held = rank.groupBy("graph_id").agg(F.sum(F.when(F.col("ends"), F.col("r")).otherwise(0.0)).alias("held"))
+    joined = rank.join(got, ["graph_id", "event_id"], "left").join(held, "graph_id")
+    new = damping * (F.coalesce("got", F.lit(0.0)) + F.col("held") / F.col("n")) + (1 - damping) / F.col("n")
     kept_columns = [c for c in rank.columns if c not in ("r", "before")]
     return joined.select(*kept_columns, new.alias("r"), F.col("r").alias("before"))
 
 
-def _even(nodes: DataFrame) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy("graph_id"))
-    return nodes.select("graph_id", "event_id", n.alias("n")).withColumn("r", F.lit(1.0) / F.col("n"))
-
-
 def pagerank_steps(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = DAMPING) -> DataFrame:
     """(graph_id, event_id, rank) after a fixed number of power steps, in one lazy plan."""
-    weights, rank = _weights(edges), _even(nodes)
+    weights = kept(_weights(edges), "rank-weights")
+    rank = kept(_even(nodes, weights), "rank")
     for _ in range(steps):
         rank = _step(rank, weights, damping).drop("before")
     return rank.select("graph_id", "event_id", F.col("r").alias("rank"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
-    """(graph_id, event_id, rank): each graph stops once its ranks moved by less than nodes * tolerance in sum."""
-    weights = kept(_weights(edges), "rank-weights")
-    rank = kept(_even(nodes).withColumn("done", F.lit(False)), "rank")
+def _converged(nodes: DataFrame, weights: DataFrame, damping: float, tolerance: float, most: int) -> DataFrame:
+    """(graph_id, event_id, r, done): each graph stops once its ranks moved by less than nodes * tolerance in sum."""
+    rank = kept(_even(nodes, weights).withColumn("done", F.lit(False)), "rank")
     for step in range(most):
         moved = _step(rank, weights, damping)
-        off = F.sum(F.abs(F.col("r") - F.col("before"))).over(Window.partitionBy("graph_id"))
-        near = moved.withColumn("near", off < F.col("n") * tolerance)
-        rank = near.select("graph_id", "event_id", "n", F.when(F.col("done"), F.col("before")).otherwise(F.col("r")).alias("r"), (F.col("done") | F.col("near")).alias("done"))
-        if step % 4 == 3 or step == most - 1:  # a few steps in one plan, then it is written
+        off = moved.groupBy("graph_id").agg((F.sum(F.abs(F.col("r") - F.col("before"))) < F.first("n") * tolerance).alias("near"))
+        rank = moved.join(off, "graph_id").select("graph_id", "event_id", "n", "ends", F.when(F.col("done"), F.col("before")).otherwise(F.col("r")).alias("r"), (F.col("done") | F.col("near")).alias("done"))
+        if step % 2 == 1 or step == most - 1:  # two steps in one plan, then it is written
             rank = kept(rank, "rank")
             if rank.where("NOT done").isEmpty():
                 break
-    return rank.select("graph_id", "event_id", F.col("r").alias("rank"))
+    return rank
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
+    """(graph_id, event_id, rank). A graph that hasn't converged after ``most`` steps gets the rank of its edges
+    without weights, and zeros if that doesn't converge either."""
+    own = nodes.select("graph_id", "event_id")
+    rank = _converged(own, kept(_weights(edges), "rank-weights"), damping, tolerance, most)
+    late = kept(rank.where("NOT done").select("graph_id").distinct(), "rank-late")
+    done = rank.where("done").select("graph_id", "event_id", F.col("r").alias("rank"))
+    if late.isEmpty():
+        return done
+    rest, links = (df.join(late, "graph_id", "left_semi") for df in (own, edges))
+    again = _converged(rest, kept(_weights(links, even=True), "rank-weights"), damping, tolerance, most)
+    return done.unionByName(again.select("graph_id", "event_id", F.when(F.col("done"), F.col("r")).otherwise(0.0).alias("rank")))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

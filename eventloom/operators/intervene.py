@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.numbers import exact_round
 from eventloom.operators import graph as gr
 from eventloom.operators import paths as pt
-from eventloom.sources.storage import kept
+from eventloom.sources.storage import kept, written
 
 PAIR = ["graph_id", "cause"]
 
@@ -20,16 +20,21 @@ def reached(start: DataFrame, edges: DataFrame, keys: list[str], barred: str | N
     Nodes equal to the column ``barred`` are never entered.
     """
     steps = kept(edges.select("graph_id", F.col("cause_event_id").alias("event_id"), F.col("effect_event_id").alias("_to")).distinct(), "steps")
-    seen = kept(start.select(*keys, "event_id").distinct(), "reached")
-    front, level = seen, 0
+    spark, start = steps.sparkSession, start.select(*keys, "event_id").distinct()
+    fronts = [written(start, "front")]  # a level's new rows each; earlier ones are never written again
+    read = lambda *paths: spark.read.schema(start.schema).parquet(*paths)
+    level = 0
     while levels is None or level < levels:
-        out = front.join(steps, ["graph_id", "event_id"]).where(F.col("_to") != F.col(barred)) if barred else front.join(steps, ["graph_id", "event_id"])
-        front = kept(out.select(*keys, F.col("_to").alias("event_id")).distinct().join(seen, [*keys, "event_id"], "left_anti"), "front")
-        if front.isEmpty():
+        out = read(fronts[-1]).join(steps, ["graph_id", "event_id"])
+        if barred:
+            out = out.where(F.col("_to") != F.col(barred))
+        found = out.select(*keys, F.col("_to").alias("event_id")).distinct().join(read(*fronts), [*keys, "event_id"], "left_anti")
+        front = written(found, "front")
+        if read(front).isEmpty():
             break
-        seen = kept(seen.unionByName(front), "reached")
+        fronts.append(front)
         level += 1
-    return seen
+    return read(*fronts)
 
 
 def alive(nodes: DataFrame, edges: DataFrame, causes: DataFrame, levels: int | None = None) -> DataFrame:
@@ -45,41 +50,66 @@ def dead(nodes: DataFrame, causes: DataFrame, alive_: DataFrame) -> DataFrame:
     return every.join(alive_, [*PAIR, "event_id"], "left_anti")
 
 
+def avoiding_chains(nodes: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
+    """(graph_id, event_id, m, node_ord, ords, path): for every node its best chain from a root within ``depth`` edges
+    and, for each node on that, the best one that avoids it; m is the negative probability.
+
+    These, depth + 1 at most for a node, give the best chain around any one event, so no graph is copied for a
+    cause. Among equal chains the root of the lowest place counts, then the first depth-first.
+    """
+    adj = kept(gr.adjacency(edges).where("src <> dst").select("graph_id", "src", "dst", "p", "ord"), "measured-edges")
+    at = ["graph_id", "event_id"]
+    start = kept(gr.roots(nodes, edges).select(*at, F.lit(-1.0).alias("m"), "node_ord", F.array().cast("array<int>").alias("ords"), F.array("event_id").alias("path")), "chains")
+    pick = F.min(F.struct("m", "node_ord", "ords", "path")).alias("b")
+    chains = start
+    for _ in range(depth):
+        step = chains.join(adj.withColumnRenamed("src", "event_id"), at).where(~F.array_contains("path", F.col("dst")))
+        step = kept(step.select("graph_id", F.col("dst").alias("event_id"), (F.col("m") * F.col("p")).alias("m"), "node_ord", F.array_append("ords", F.col("ord")).alias("ords"), F.array_append("path", F.col("dst")).alias("path")), "chains")
+        best = kept(step.groupBy(*at).agg(pick).select(*at, "b.*"), "chains")
+        barred = best.select(*at, F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("_no"))
+        others = step.join(barred, at).where(~F.array_contains("path", F.col("_no"))).groupBy(*at, "_no").agg(pick).select(*at, "b.*")
+        chains = kept(start.unionByName(best).unionByName(others).distinct(), "chains")
+    return chains
+
+
 def measures(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int = 5, best: DataFrame | None = None, alive_: DataFrame | None = None) -> DataFrame:
     """(graph_id, cause, effect, pn, ps, pns, alt, effect_dead) of each pair.
 
-    PN is 1 if the effect dies with the cause, else 1 less the best chain from an alive root through
-    alive nodes, within ``depth`` edges; 0 for one event with itself or a missing one. PS is the best
-    chain from cause to effect. A node is no path to itself.
+    PN is 1 if the effect dies with the cause, else 1 less the best chain from another root that avoids
+    the cause, within ``depth`` edges; 0 for one event with itself or a missing one. PS is the best chain
+    from cause to effect. A node is no path to itself. Graphs without pairs are dropped first; what dies
+    comes from ``fallen``, or from ``alive_`` where the caller has it.
     """
-    pairs = pairs.select("graph_id", "cause", "effect").distinct()
-    adj = gr.adjacency(edges)
-    best = pt.best_paths(adj, depth, pairs.select("graph_id", F.col("cause").alias("event_id"))) if best is None else best
-    alive_ = alive(nodes, edges, pairs) if alive_ is None else alive_
-    within = F.struct(*PAIR)
-    live = alive_.select("graph_id", "cause", F.col("event_id").alias("src"))
-    kept_edges = adj.join(live, ["graph_id", "src"]).join(live.withColumnRenamed("src", "dst"), [*PAIR, "dst"])
-    roots = gr.roots(nodes, edges).join(alive_, ["graph_id", "event_id"])
-    detours = pt.best_paths(kept_edges.withColumn("graph_id", within), depth, roots.select(within.alias("graph_id"), "event_id"))
-    first = F.min(F.struct((-F.col("p")).alias("m"), "node_ord", "path")).alias("b")
+    pairs = kept(pairs.select("graph_id", "cause", "effect").distinct(), "pairs")
+    ours = pairs.select("graph_id").distinct()
+    nodes, edges = (df.join(ours, "graph_id", "left_semi") for df in (nodes, edges))
+    if best is None:
+        best = pt.best_probability(gr.adjacency(edges), depth, pairs.select("graph_id", F.col("cause").alias("event_id")))
+    pick = F.min(F.struct("m", "node_ord", "ords", "path")).alias("b")
+    chains = avoiding_chains(nodes, edges, depth).withColumnRenamed("event_id", "effect")
     detour = (
-        detours.select("graph_id.*", "src", F.col("dst").alias("effect"), "p", "path").join(roots.select(*PAIR, F.col("event_id").alias("src"), "node_ord"), [*PAIR, "src"])
-        .groupBy(*PAIR, "effect").agg(first).select(*PAIR, "effect", (-F.col("b.m")).alias("detour"), F.col("b.path").alias("alt"))
+        pairs.join(chains, ["graph_id", "effect"]).where(~F.array_contains("path", F.col("cause")))
+        .groupBy(*PAIR, "effect").agg(pick).select(*PAIR, "effect", (-F.col("b.m")).alias("detour"), F.col("b.path").alias("alt"))
     )
-    node = nodes.select("graph_id", "event_id")
+    if alive_ is None:
+        gone = fallen(nodes, edges).withColumnRenamed("event_id", "effect").withColumn("_dead", F.lit(True))
+        lives = F.col("_dead").isNull()
+    else:
+        gone = alive_.select(*PAIR, F.col("event_id").alias("effect"), F.lit(True).alias("_alive"))
+        lives = F.col("_alive").isNotNull()
+    node = nodes.select("graph_id", "event_id").distinct()
     known = pairs
     for side in ("cause", "effect"):
         known = known.join(node.select("graph_id", F.col("event_id").alias(side), F.lit(True).alias(f"_{side}")), ["graph_id", side], "left")
     joined = (
-        known.join(alive_.select(*PAIR, F.col("event_id").alias("effect"), F.lit(True).alias("_alive")), [*PAIR, "effect"], "left")
-        .join(detour, [*PAIR, "effect"], "left")
+        known.join(gone, [*PAIR, "effect"], "left").join(detour, [*PAIR, "effect"], "left")
         .join(best.select("graph_id", F.col("src").alias("cause"), F.col("dst").alias("effect"), F.col("p").alias("_ps")), [*PAIR, "effect"], "left")
-    )
+    )
     odd = F.col("cause").eqNullSafe(F.col("effect")) | F.col("_cause").isNull() | F.col("_effect").isNull()
-    lives = F.col("_alive").isNotNull()
-    pn = F.when(odd, 0.0).when(~lives, 1.0).otherwise(exact_round(F.lit(1.0) - F.coalesce("detour", F.lit(0.0)), 6))
+    through = F.size("alt") > 1  # a root is no chain to itself
+    pn = F.when(odd, 0.0).when(~lives, 1.0).otherwise(exact_round(F.lit(1.0) - F.when(through, F.col("detour")).otherwise(0.0), 6))
     none = F.array().cast(joined.schema["alt"].dataType)
-    return joined.select(*PAIR, "effect", pn.alias("pn"), F.coalesce("_ps", F.lit(0.0)).alias("ps"), F.when(odd | ~lives, none).otherwise(F.coalesce("alt", none)).alias("alt"), (~odd & ~lives).alias("effect_dead")).withColumn("pns", F.col("pn") * F.col("ps"))
+    return joined.select(*PAIR, "effect", pn.alias("pn"), F.coalesce("_ps", F.lit(0.0)).alias("ps"), F.when(odd | ~lives | ~F.coalesce(through, F.lit(False)), none).otherwise(F.col("alt")).alias("alt"), (~odd & ~lives).alias("effect_dead")).withColumn("pns", F.col("pn") * F.col("ps"))
 
 
 def fallen(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,35 +138,9 @@ def fallen(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def edge_measures(nodes: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
-    """``measures`` (graph_id, cause, effect, pn, ps, pns, alt_root, effect_dead) of every edge between two nodes.
-
-    Each node keeps its best chain from a root and, for each node on that, the best one that avoids it:
-    depth + 1 chains at most, which give every other node's from level to level. Among equal chains
-    the root of the lowest place counts.
-    """
-    adj = kept(gr.adjacency(edges).where("src <> dst").select("graph_id", "src", "dst", "p"), "measured-edges")
-    at = ["graph_id", "event_id"]
-    start = kept(gr.roots(nodes, edges).select(*at, F.lit(-1.0).alias("m"), "node_ord", F.array("event_id").alias("path")), "chains")  # m: -p
-    pick = F.min(F.struct("m", "node_ord", "path")).alias("b")
-    chains = start
-    for _ in range(depth):
-        step = chains.join(adj.withColumnRenamed("src", "event_id"), at).where(~F.array_contains("path", F.col("dst")))
-        step = kept(step.select("graph_id", F.col("dst").alias("event_id"), (F.col("m") * F.col("p")).alias("m"), "node_ord", F.array_append("path", F.col("dst")).alias("path")), "chains")
-        best = kept(step.groupBy(*at).agg(pick).select(*at, "b.*"), "chains")
-        barred = best.select(*at, F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("_no"))
-        others = step.join(barred, at).where(~F.array_contains("path", F.col("_no"))).groupBy(*at, "_no").agg(pick).select(*at, "b.*")
-        chains = kept(start.unionByName(best).unionByName(others).distinct(), "chains")
-    pairs = adj.select("graph_id", F.col("src").alias("cause"), F.col("dst").alias("effect")).distinct()
+    """``measures`` (graph_id, cause, effect, pn, ps, pns, alt_root, effect_dead) of every edge between two nodes."""
+    pairs = edges.where("cause_event_id <> effect_event_id").select("graph_id", F.col("cause_event_id").alias("cause"), F.col("effect_event_id").alias("effect")).distinct()
     node = nodes.select("graph_id", "event_id").distinct()
     for side in ("cause", "effect"):
         pairs = pairs.join(node.withColumnRenamed("event_id", side), ["graph_id", side], "left_semi")
-    detour = (
-        pairs.join(chains.withColumnRenamed("event_id", "effect"), ["graph_id", "effect"]).where(~F.array_contains("path", F.col("cause")))
-        .groupBy(*PAIR, "effect").agg(pick).select(*PAIR, "effect", (-F.col("b.m")).alias("detour"), F.try_element_at("b.path", F.lit(1)).alias("alt_root"))
-    )
-    best = pt.best_paths(gr.adjacency(edges), depth).select("graph_id", F.col("src").alias("cause"), F.col("dst").alias("effect"), "p")
-    gone = fallen(nodes, edges).withColumnRenamed("event_id", "effect").withColumn("_dead", F.lit(True))
-    joined = pairs.join(detour, [*PAIR, "effect"], "left").join(best, [*PAIR, "effect"], "left").join(gone, [*PAIR, "effect"], "left")
-    died = F.col("_dead").isNotNull()
-    pn = F.when(died, 1.0).otherwise(exact_round(F.lit(1.0) - F.coalesce("detour", F.lit(0.0)), 6))
-    return joined.select(*PAIR, "effect", pn.alias("pn"), F.coalesce("p", F.lit(0.0)).alias("ps"), F.when(~died, F.col("alt_root")).alias("alt_root"), died.alias("effect_dead")).withColumn("pns", F.col("pn") * F.col("ps"))
+    return measures(nodes, edges, pairs, depth).withColumn("alt_root", F.try_element_at("alt", F.lit(1))).drop("alt")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.sources.storage import kept
+
 KEYS = ["graph_id", "src", "dst"]
 
 
@@ -37,13 +39,26 @@ def _best(level: DataFrame) -> DataFrame:
     return level.groupBy(*KEYS).agg(pick).select(*KEYS, F.col("b.path").alias("path"), F.col("b.rids").alias("rids"), F.col("b.ords").alias("ords"), (-F.col("b.m")).alias("p"), F.col("b.hops").alias("hops"))
 
 
-def all_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None) -> DataFrame:
-    """(graph_id, src, dst, path, rids, ords, p, hops): every simple path of up to ``hops`` edges."""
+def all_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(graph_id, src, dst, path, rids, ords, p, hops): every simple path of up to ``hops`` edges; with
+    ``targets`` (graph_id, event_id) those that end there, and none goes on that can't reach one in time."""
     level = _start(adj, sources)
-    out = level
+    if targets is None:
+        out = level
+        for _ in range(hops - 1):
+            level = _next(level, adj)
+            out = out.unionByName(level)
+        return out
+    ends = targets.select("graph_id", F.col("event_id").alias("dst")).distinct()
+    back = adj.select("graph_id", F.col("src").alias("_from"), "dst").distinct()
+    near = [ends]  # within so many edges of a target
     for _ in range(hops - 1):
-        level = _next(level, adj)
-        out = out.unionByName(level)
+        near.append(kept(near[-1].unionByName(near[-1].join(back, ["graph_id", "dst"]).select("graph_id", F.col("_from").alias("dst"))).distinct(), "near-targets"))
+    level = level.join(near[hops - 1], ["graph_id", "dst"], "left_semi")
+    out = level.join(ends, ["graph_id", "dst"], "left_semi")
+    for used in range(2, hops + 1):
+        level = _next(level, adj).join(near[hops - used], ["graph_id", "dst"], "left_semi")
+        out = out.unionByName(level.join(ends, ["graph_id", "dst"], "left_semi"))
     return out
 
 
@@ -57,6 +72,24 @@ def best_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None) -> D
     return _best(out)
 
 
+def best_probability(adj: DataFrame, hops: int, sources: DataFrame | None = None) -> DataFrame:
+    """(graph_id, src, dst, p): ``best_paths`` without the paths, for what needs probabilities only.
+
+    Rows are keys and a number, so every level is a hash aggregate. A walk that comes back to a node is no
+    likelier than the path without the loop, so walks needn't be kept apart; none comes back to its source.
+    """
+    first = adj.where(F.col("src") != F.col("dst"))
+    if sources is not None:
+        first = first.join(sources.select("graph_id", F.col("event_id").alias("src")).distinct(), ["graph_id", "src"], "left_semi")
+    step = adj.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("p").alias("_p"))
+    level = first.groupBy(*KEYS).agg(F.max("p").alias("p"))
+    out = level
+    for _ in range(hops - 1):
+        level = level.join(step, ["graph_id", "dst"]).where(F.col("_to") != F.col("src")).groupBy("graph_id", "src", F.col("_to").alias("dst")).agg(F.max(F.col("p") * F.col("_p")).alias("p"))
+        out = out.unionByName(level)
+    return out.groupBy(*KEYS).agg(F.max("p").alias("p"))
+
+
 def top_k(paths: DataFrame, k: int, by: list | None = None, cap: int | None = None) -> DataFrame:
     """The k best paths of each (source, target), numbered by ``rank``; among the first ``cap`` depth-first if given."""
     key = Window.partitionBy(*KEYS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators import graph, pack_answer, pack_extract, relate
-from eventloom.sources import packs
+from eventloom.sources import io, packs
 from eventloom.sources.storage import kept
 
 
@@ -34,7 +34,8 @@ def pack_graphs(spark: SparkSession, folder: str, task: str | None = None) -> di
 
 
 def run_packs(spark: SparkSession, folder: str, out: str | None = None, task: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, submission, summary) of all packs, written below ``out`` if given."""
+    """(records, submission, summary) of all packs; below ``out``, if given, an array for each pack, and one each of
+    submissions and summaries."""
     g = pack_graphs(spark, folder, task)
     records = kept(pack_answer.records(g["nodes"], g["edges"], g["questions"], g["docs"]), "pack-records")
     submission = pack_answer.submission(records)
@@ -43,7 +44,24 @@ def run_packs(spark: SparkSession, folder: str, out: str | None = None, task: st
     counts = records.groupBy("graph_id").agg(F.count("*").alias("questions"), F.count_if(F.col("confidence_level").isNull()).alias("refused"), F.first("task").alias("task"))
     summary = g["files"].select("graph_id").join(counts, "graph_id", "left").join(sizes, "graph_id", "left").join(types, "graph_id", "left")
     if out:
-        records.write.mode("overwrite").partitionBy("graph_id").option("ignoreNullFields", False).json(f"{out}/packs")
-        submission.orderBy("graph_id", "q_ord").drop("graph_id", "q_ord").write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/submit_answers.json")
-        summary.write.mode("overwrite").json(f"{out}/run_summary.json")
+        io.save_arrays(records, f"{out}/packs", "graph_id", ["q_ord"])
+        names = [c for c in submission.columns if c not in ("graph_id", "q_ord")]
+        io.save_array(submission.select(F.col("graph_id").alias("_g"), F.col("q_ord").alias("_q"), *names), f"{out}/submit_answers.json", ["_g", "_q"])
+        io.save_array(summary.withColumn("_g", F.col("graph_id")), f"{out}/run_summary.json", ["_g"])
     return records, submission, summary
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """``python -m eventloom.plans.packs FOLDER OUT [--task A|B|C]``."""
+    import argparse
+
+    parser = argparse.ArgumentParser(description=run_packs.__doc__)
+    parser.add_argument("folder")
+    parser.add_argument("out")
+    parser.add_argument("--task", choices=["A", "B", "C"])
+    given = parser.parse_args(arguments)
+    run_packs(SparkSession.builder.getOrCreate(), given.folder, given.out, given.task)
+
+
+if __name__ == "__main__":
+    main()

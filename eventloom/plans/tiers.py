@@ -26,7 +26,7 @@ def run(spark: SparkSession, config: Config, base: str = ".") -> DataFrame:
     """One tier by ``config``: mode challenge (documents), reasoning (events) or basic (a graph).
 
     Events, relations, nodes and edges are written under ``output_dir`` and read again between the
-    stages; the answers are written there and returned.
+    stages; the answers are written there, as an array in answers.json too, and returned.
     """
     mode = config.get("mode", "basic")
     path = lambda key: resolve_path(base, config.get(key))
@@ -55,5 +55,26 @@ def run(spark: SparkSession, config: Config, base: str = ".") -> DataFrame:
     names = nodes.select("graph_id").distinct()
     queries = queries.drop("graph_id").join(F.broadcast(names.limit(1))) if mode == "basic" else queries  # one graph a file
     found = step(answers(nodes, edges, queries, config), "answers")
-    io.save_answers(found, f"{out}/answers.json")
+    io.save_array(found, f"{out}/answers.json", ["graph_id", "query_id"])
     return found
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """``python -m eventloom.plans.tiers CONFIG [--mode MODE] [--output-dir DIR]``."""
+    import argparse
+    import os
+
+    from eventloom.sources.config import load_config
+
+    parser = argparse.ArgumentParser(description=run.__doc__)
+    parser.add_argument("config")
+    parser.add_argument("--mode", choices=["basic", "reasoning", "challenge"])
+    parser.add_argument("--output-dir")
+    given = parser.parse_args(arguments)
+    raw = dict(load_config(given.config).raw)
+    raw |= {k: v for k, v in (("mode", given.mode), ("output_dir", given.output_dir)) if v}
+    run(SparkSession.builder.getOrCreate(), Config(raw), os.path.dirname(os.path.abspath(given.config)))
+
+
+if __name__ == "__main__":
+    main()

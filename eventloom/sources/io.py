@@ -5,9 +5,12 @@ Everything goes through Spark's readers, so paths may be in any store that Spark
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators import numbering
 from eventloom.sources import schemas as sc
 
 
@@ -38,8 +41,9 @@ def check_keys(spark: SparkSession, path: str, ddl: str, multi_line: bool = Fals
 
 
 def ordered(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with its reading order as ``column`` (increasing, with gaps): file order, then line order."""
-    return df.withColumn(column, F.monotonically_increasing_id())
+    """``df``, just read from files, with its reading order 1, 2, 3 … as ``column``: by path, then by place in the file."""
+    placed = df.withColumns({"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+    return numbering.numbered(placed, ["_path", "_block", "_line"], column).drop("_path", "_block", "_line")
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +102,51 @@ def save_answers(answers: DataFrame, path: str) -> None:
     answers.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def save_array(rows: DataFrame, path: str, order: list[str]) -> None:
+    """One file ``path`` that is a JSON array of the rows in that order, written line by line by one task.
+
+    For results that people read: rows stream through the task, no more is held than its sort.
+    """
+    spark = rows.sparkSession
+    body = F.to_json(F.struct(*[c for c in rows.columns if not c.startswith("_")]), {"ignoreNullFields": "false"})
+    lines = rows.select(*order, body.alias("_json"))
+    place = numbering.numbered(lines, order, "_n")
+    last = place.agg(F.max("_n")).first()[0]
+    text = F.concat(F.when(F.col("_n") == 1, "[\n").otherwise(""), F.col("_json"), F.when(F.col("_n") == last, "\n]").otherwise(","))
+    shaped = place.select("_n", text.alias("value")).orderBy("_n").select("value") if last else spark.createDataFrame([("[]",)], "value string")
+    folder = f"{path}.parts"
+    shaped.coalesce(1).write.mode("overwrite").text(folder)
+    _moved(spark, folder, path)
+
+
+def save_arrays(rows: DataFrame, folder: str, key: str, order: list[str]) -> None:
+    """A file ``folder/<key>.json`` for each value of ``key``, a JSON array of its rows in that order; a group is
+    small by nature (the questions of a pack)."""
+    one = F.struct(*[c for c in rows.columns if c not in (key, *order)]).alias("_row")
+    groups = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, one))), lambda x: x["_row"]).alias("_rows"))
+    parts = f"{folder}.parts"
+    groups.select(key, F.to_json("_rows", {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy(key).text(parts)
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(parts)
+    for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at):
+        name = f.getPath().getName()
+        if name.startswith(f"{key}="):
+            _moved(spark, f.getPath().toString(), f"{folder}/{unquote(name[len(key) + 1 :])}.json")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _moved(spark: SparkSession, folder: str, path: str) -> None:
+    """Moves the only part file of a written folder to ``path`` and deletes the folder."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = file(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in store.listStatus(file(folder)) if f.getPath().getName().startswith("part-"))
+    store.mkdirs(file(path).getParent())
+    store.delete(file(path), True)
+    store.rename(part, file(path))
+    store.delete(file(folder), True)
+
+
 def load_labelled(spark: SparkSession, path: str, ddl: str = sc.DUEE_DDL) -> DataFrame:
     """Labelled rows: a JSON array if the file begins with ``[``, else a row a line."""
     first = spark.read.text(path, wholetext=False).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()

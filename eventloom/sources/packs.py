@@ -1,6 +1,7 @@
 """Question packs: folders with document texts, and event, relation and question files.
 
-All packs below a folder are read together; a pack's graph_id is the name of its folder.
+All packs below a folder are read together; a pack's graph_id is the path of its folder below that one
+(its own name, if the folder is the pack).
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ def _path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def _folder(path: Column) -> Column:
-    return F.try_url_decode(F.element_at(F.split(path, "/"), -2))
+def _folder(path: Column, spark: SparkSession, root: str) -> Column:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    at = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/")
+    whole = F.try_url_decode(path)
+    parent = F.regexp_replace(F.substring(whole, F.locate(at, whole) + len(at), F.length(whole)), "/[^/]*$", "")
+    return F.when(parent == "", at.rsplit("/", 1)[-1]).otherwise(F.regexp_replace(parent, "^/", ""))
 
 
 def _json(spark: SparkSession, folder: str, name: str, ddl: str) -> DataFrame:
     read = spark.read.schema(ddl).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
-    return read.select(_folder(_path()).alias("graph_id"), F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in read.columns])
+    return read.select(_folder(_path(), spark, folder).alias("graph_id"), F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in read.columns])
 
 
 def _placed(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +42,7 @@ def pack_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder).select("path")
     name = F.try_url_decode(F.element_at(F.split("path", "/"), -1))
     has = lambda n: F.bool_or(name == n)
-    by = files.groupBy(_folder(F.col("path")).alias("graph_id")).agg(has(lx.QUESTIONS_FILE).alias("asked"), has(lx.EVENTS_FILE).alias("events"), has(lx.RELATIONS_FILE).alias("relations"))
+    by = files.groupBy(_folder(F.col("path"), spark, folder).alias("graph_id")).agg(has(lx.QUESTIONS_FILE).alias("asked"), has(lx.EVENTS_FILE).alias("events"), has(lx.RELATIONS_FILE).alias("relations"))
     task = F.when(F.col("events") & F.col("relations"), "A").when(F.col("events"), "B").otherwise("C")
     return by.where("asked").select("graph_id", F.col("events").alias("given_events"), (F.col("events") & F.col("relations")).alias("given_relations"), task.alias("task")).orderBy("graph_id")
 
@@ -46,7 +51,7 @@ def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(graph_id, doc_id, doc_ord, title, text): the whole text, its first non-blank line as title."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").text(folder, wholetext=True)
     name = F.try_url_decode(F.element_at(F.split(_path(), "/"), -1))
-    rows = files.select(_folder(_path()).alias("graph_id"), name.alias("_f"), tx.strip(F.col("value")).alias("text")).where(F.col("_f").rlike("^" + lx.DOCUMENT_FILE))
+    rows = files.select(_folder(_path(), spark, folder).alias("graph_id"), name.alias("_f"), tx.strip(F.col("value")).alias("text")).where(F.col("_f").rlike("^" + lx.DOCUMENT_FILE))
     lines = F.filter(F.transform(F.split("text", r"\R"), tx.strip), lambda x: x != "")
     return rows.select("graph_id", F.regexp_replace("_f", r"\.[^.]*$", "").alias("doc_id"), F.regexp_extract("_f", lx.DOCUMENT_FILE, 1).cast("long").alias("doc_ord"), F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")).alias("title"), "text")
 

@@ -9,17 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where the session names none, a temporary folder is set on a local master only; on a cluster
+    executors would not see it, and that is an error.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> str:
+    """The new folder that ``df`` is written to as Parquet."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: lineage is cut and nothing is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet to the shared folder and read again.
+
+    Cuts the lineage: what follows survives the loss of any executor, and nothing is computed
+    twice. Every call writes to a folder of its own.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import analytics, intervene, paths, scenario
 from eventloom.operators import graph as gr
+from eventloom.sources.storage import kept
 
 
 def rows(df, *columns):
@@ -39,7 +40,7 @@ def test_paths_and_interventions_against_brute_force(spark):
     for i, (names, links) in enumerate(made):
         n, e = graph(spark, links, names, f"g{i}")
         nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
-    nodes, edges = nodes.localCheckpoint(), edges.localCheckpoint()
+    nodes, edges = kept(nodes, "nodes"), kept(edges, "edges")
     adj = gr.adjacency(edges)
     got = {(r.graph_id, r.src, r.dst): (r.p, r.path) for r in paths.best_paths(adj, 3).collect()}
     every = {}

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from eventloom.functions import lexicons as lx
 from eventloom.operators import intervene
 from eventloom.plans import catalog
+from eventloom.sources.storage import kept
 from helpers import graph, random_graphs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,7 +52,7 @@ def test_every_edge_and_cause_against_listed_pairs(spark):
     for i, (names, links) in enumerate(random_graphs(random.Random(7), 25)):
         n, e = graph(spark, links, names, f"g{i}")
         nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
-    nodes, edges = nodes.localCheckpoint(), edges.localCheckpoint()
+    nodes, edges = kept(nodes, "nodes"), kept(edges, "edges")
     causes = nodes.select("graph_id", nodes.event_id.alias("cause"))
     dead = {(r.graph_id, r.cause, r.event_id) for r in intervene.dead(nodes, causes, intervene.alive(nodes, edges, causes)).collect()}
     fallen = [(r.graph_id, r.cause, r.event_id) for r in intervene.fallen(nodes, edges).collect()]
