@@ -8,9 +8,9 @@ Texts are split and hashed once: the (document, position, hash) rows of the line
 enough are written, counted by hash (aggregated before they move) and met again by the common
 hashes. These are counted too; few are broadcast, many meet the lines in a join of two plain
 shuffles, which Spark splits at a hot hash. What moves besides are the positions to drop, narrow
-rows. Of the texts only those that lose a line are shuffled; the others pass by, told apart by the
-documents' keys, which are broadcast if few and joined by a shuffle if many. Rewriting is linear in
-a document's lines, and its memory is bounded by them.
+rows. Of the texts those that lose a line are shuffled; the others pass by, told apart by a broadcast
+bitmap of the documents' keys that has one size for any corpus (``_shared.parted``). Rewriting is
+linear in a document's lines, and its memory is bounded by them.
 
 A null text is one empty line, as is an empty one. Rows that share a doc_id count as one document
 for the threshold and for "the largest doc_id"; each is rewritten by its own lines. A null doc_id
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._shared import kept, packed, small_or_shuffled, unpacked
+from eventloom.llm._shared import kept, packed, parted, small_or_shuffled, unpacked
 
 MOST_BROADCAST = 300_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,9 +78,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     rows = packed(docs)
     own = F.col("_row")[text]
     whole = F.coalesce(own, F.lit(""))
-    same = F.col("_row")[key].eqNullSafe(F.col("_ld_k")) & (F.xxhash64(whole) == F.col("_ld_h"))
-    keys = drops.select("_ld_k", "_ld_h")
-    keys = small_or_shuffled(keys, keys.count(), MOST_BROADCAST)
+    hashed = F.xxhash64(F.col("_row")[key], F.xxhash64(whole))
+    maybe, untouched = parted(rows, hashed, drops, F.xxhash64("_ld_k", "_ld_h"))
+    # a sort-merge join at every size: texts are too large a side to build tables of
+    met = maybe.join(drops.hint("merge"), F.col("_row")[key].eqNullSafe(F.col("_ld_k")) & (F.xxhash64(whole) == F.col("_ld_h")), "left")
     n_lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
 
@@ -88,6 +89,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
         counted = {"n_lines": n_lines.cast("long"), "n_dropped": n_dropped.cast("long")} if counts else {}
         return unpacked(rows, columns, **{text: new}, **counted)
 
-    untouched = made(rows.join(keys, same, "left_anti"), whole, F.lit(0))
-    rewritten = made(rows.join(keys, same, "left_semi").join(drops, same), F.array_join(but(_lines(own), F.col("_ld_drop")), "\n"), F.size("_ld_drop"))
-    return untouched.unionByName(rewritten)
+    left = F.when(F.col("_ld_drop").isNull(), whole).otherwise(F.array_join(but(_lines(own), F.col("_ld_drop")), "\n"))
+    return made(untouched, whole, F.lit(0)).unionByName(made(met, left, F.coalesce(F.size("_ld_drop"), F.lit(0))))
