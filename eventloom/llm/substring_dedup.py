@@ -28,8 +28,8 @@ of at most ``SHARD`` words, are broadcast one after the other.
 
 Shuffles: a narrow row for each run (about a fifteenth of the words) twice; the distinct texts of
 shared runs; and the texts of documents that have shared runs, to fetch them and to be rewritten. The
-other documents pass by unmoved, told apart by a list of keys that is broadcast if it is counted to be
-short. All joins are of two written tables, which Spark splits where a key is hot. Memory: a block of
+other documents pass by unmoved, told apart by a broadcast bitmap of keys that has one size for any
+corpus (``_shared.parted``). All joins are of two written tables, which Spark splits where a key is hot. Memory: a block of
 texts or the longest text, one shard, and a document with its spans.
 
 A null or empty text has no words. Rows that share a doc_id are documents of their own, told
@@ -48,12 +48,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import _kernels as k
-from eventloom.llm._shared import kept, small_or_shuffled
+from eventloom.llm._shared import kept, parted, small_or_shuffled
 
 SIZE, GRAM = 35, 8
 #: A shard's distinct texts of one anchor, and its words.
 TEXTS, SHARD = 64, 50_000
-#: Keys beyond this number are joined by a shuffle.
+#: Anchors or digests beyond this number are joined by a shuffle.
 MOST_BROADCAST = 500_000
 U = np.uint64
 
@@ -272,15 +272,15 @@ def _told_apart(texts: DataFrame, name: str) -> DataFrame:
     return texts.join(small_or_shuffled(clash, clash.count(), MOST_BROADCAST), key, "left_anti")
 
 
-def _keys(spans: DataFrame) -> tuple[DataFrame, int]:
-    """The keys of documents with spans (_k2, _h2), and their number."""
-    keys = spans.select(F.col("_k").alias("_k2"), F.col("_h").alias("_h2"))
-    return keys, keys.count()
+def _parted(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (_k, _h, …) that may have a row in ``spans``, and those that have none."""
+    return parted(rows, F.xxhash64("_k", "_h"), spans, F.xxhash64("_k", "_h"))
 
 
-def _met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Documents (_k, _h, …) joined with what has their key as (_k2, _h2)."""
-    return left.join(right, left["_k"].eqNullSafe(right["_k2"]) & (left["_h"] == right["_h2"]), how)
+def _met(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """Documents (_k, _h, …) joined with spans of these keys, by a sort-merge join at every size."""
+    right = spans.withColumnsRenamed({"_k": "_k2", "_h": "_h2"}).hint("merge")
+    return rows.join(right, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), how)
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,9 +292,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str
     # rows that share key and text have the same runs; the texts are fetched for each of them
     found = runs.join(anchors, "anchor").groupBy("_k", "_h").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("wanted"))
     wanted = kept(found, "substring-wanted")
-    own, many = _keys(wanted)
-    some = _met(rows, small_or_shuffled(own, many, MOST_BROADCAST), "left_semi")
-    fetched = _met(some, wanted.withColumnsRenamed({"_k": "_k2", "_h": "_h2"}), "inner")
+    fetched = _met(_parted(rows, wanted)[0], wanted, "inner")
     texts = kept(_run_texts(fetched.select("_k", "_h", "_t", "wanted"), size), "substring-texts")
 
     distinct = kept(texts.groupBy("anchor", "d1", "d2", "words").agg(F.count("*").alias("times")).withColumnRenamed("anchor", "shard"), "substring-distinct")
@@ -331,11 +329,9 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str = "doc_i
     spans = kept(repeated_spans(docs, size, gram, key, text), "substring-spans")
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(F.lit(0).alias("_sd_0"), *others).alias("_rest"), F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
-    own, many = _keys(spans)
-    own = small_or_shuffled(own, many, MOST_BROADCAST)
-    without = _met(rows, own, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    with_spans = _met(_met(rows, own, "left_semi"), spans.withColumnsRenamed({"_k": "_k2", "_h": "_h2"}), "inner")
-    both = without.select("_rest", "_t", "spans").unionByName(with_spans.select("_rest", "_t", "spans"))
+    maybe, without = _parted(rows, spans)
+    without = without.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    both = without.select("_rest", "_t", "spans").unionByName(_met(maybe, spans, "left").select("_rest", "_t", "spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
