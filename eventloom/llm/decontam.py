@@ -10,7 +10,8 @@ The texts are read where they lie and never shuffled: scan, look-up and filter a
 only places that may begin a window go on. A broadcast has at most ``MOST_LEADS`` hashes; a larger
 benchmark is cut into blocks by hash, each streamed past in its turn, so no size makes the corpus
 move. Windows and hits are broadcast if they are counted to be few, else joined by a shuffle of
-places and of narrow rows.
+places and of narrow rows. Texts meet their hits only if a broadcast bitmap of the hits' keys, which
+has one size for any number, lets them through.
 
 Null and empty texts have no words: no hits. Hits are gathered by key and text, so repeated rows
 are judged alike and rows that share a key by their own texts. An item without words is in no text.
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._shared import kept, packed, small_or_shuffled, unpacked
+from eventloom.llm._shared import kept, packed, parted, small_or_shuffled, unpacked
 from eventloom.llm.line_dedup import LOWER, UPPER, but
 
 LEAD = 3
@@ -107,20 +108,25 @@ def report(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id",
     )
 
 
-def _same(key: str, text: str) -> Column:
-    return F.col("_row")[key].eqNullSafe(F.col("_dc_key")) & (F.xxhash64(F.col("_row")[text]) == F.col("_dc_hash"))
+def _parted(docs: DataFrame, found: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Packed rows that may have a hit, those that have none, and what joins the first with ``found``."""
+    own = F.col("_row")
+    maybe, clean = parted(packed(docs), F.xxhash64(own[key], F.xxhash64(own[text])), found, F.xxhash64("_dc_key", "_dc_hash"))
+    return maybe, clean, own[key].eqNullSafe(F.col("_dc_key")) & (F.xxhash64(own[text]) == F.col("_dc_hash"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit, all columns."""
-    bad = hits(docs, items, n, key, text).select("_dc_key", "_dc_hash")
-    return unpacked(packed(docs).join(_few(bad), _same(key, text), "left_anti"), docs.columns)
+    found = hits(docs, items, n, key, text).select("_dc_key", "_dc_hash")
+    maybe, clean, same = _parted(docs, found, key, text)
+    return unpacked(clean.unionByName(maybe.join(found, same, "left_anti")), docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs``; where it has hits, ``text`` keeps the words outside them, as they were
     written, joined by a space."""
     found = hits(docs, items, n, key, text).select("_dc_key", "_dc_hash", "_dc_hit")
+    maybe, clean, same = _parted(docs, found, key, text)
     own = F.col("_row")[text]
     new = F.when(F.col("_dc_hit").isNotNull(), F.array_join(but(_full(F.split(own, CASED_BREAK)), F.col("_dc_hit")), " ")).otherwise(own)
-    return unpacked(packed(docs).join(_few(found), _same(key, text), "left"), docs.columns, **{text: new})
+    return unpacked(clean, docs.columns).unionByName(unpacked(maybe.join(found, same, "left"), docs.columns, **{text: new}))

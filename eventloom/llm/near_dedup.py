@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import _kernels as k
-from eventloom.llm._shared import kept, packed, unpacked
+from eventloom.llm._shared import kept, packed, parted, unpacked
 
 SHINGLE, PERCENT = 5, 85
 CHUNKS, ROWS, ERRORS = 12, 7, 1
@@ -340,5 +340,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The rows of ``docs``, all columns, without those whose component has a smaller id."""
     _, labels = label(docs, key, text)
     gone = kept(labels.where(F.col("_c") != F.col("_k")).select(F.col("_k").alias("_gone")), "near-gone")
-    few = gone.count() <= MOST_BROADCAST
-    return unpacked(packed(docs).join(F.broadcast(gone) if few else gone, F.col("_row")[key] == F.col("_gone"), "left_anti"), docs.columns)
+    maybe, others = parted(packed(docs), F.xxhash64(F.col("_row")[key].cast("long")), gone, F.xxhash64("_gone"))
+    return unpacked(others.unionByName(maybe.join(gone.hint("merge"), F.col("_row")[key] == F.col("_gone"), "left_anti")), docs.columns)

@@ -49,6 +49,20 @@ def test_span_hashes_do_not_depend_on_place_or_blocks(monkeypatch):
     assert list(k.spans_hash(data, starts, ends)) == list(whole) and not len(k.spans_hash(data, starts[:0], ends[:0]))
 
 
+def test_parted_by_a_filter(spark, monkeypatch):
+    from eventloom.llm import _shared
+
+    df = spark.range(2000).withColumn("_at", F.lit("clash"))
+    keys = spark.range(0, 4000, 7).withColumnRenamed("id", "k")
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(_shared, "FILTER_BITS", bits)
+        maybe, others = (({r.id for r in x.collect()}, x.columns) for x in _shared.parted(df, F.xxhash64("id"), keys, F.xxhash64("k")))
+        assert maybe[0] | others[0] == set(range(2000)) and not maybe[0] & others[0] and maybe[1] == others[1] == ["id", "_at"]
+        assert set(range(0, 2000, 7)) <= maybe[0] and len(maybe[0]) < 400
+    maybe, others = _shared.parted(df, F.xxhash64("id"), keys.limit(0), F.xxhash64("k"))
+    assert maybe.count() == 0 and others.count() == 2000
+
+
 # --- 1 -------------------------------------------------------------------------------------------
 
 
@@ -564,7 +578,7 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_of_long_texts_and_many_keys(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)  # common lines are joined by a shuffle
     lines = "\n".join(f"line number {i} of a very long document" for i in range(40_000))
     rows = line_dedup.dedup_lines(docs(spark, [lines, lines, lines, "own line, which is long enough to count"])).orderBy("doc_id").collect()  # quadratic work would take minutes
     assert [(r.n_lines, r.n_dropped, len(r.text)) for r in rows] == [(40_000, 40_000, 0), (40_000, 40_000, 0), (40_000, 0, len(lines)), (1, 0, 39)]
