@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.numbers import edge_confidence, exact_round
@@ -27,41 +27,48 @@ def _even(nodes: DataFrame, weights: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "event_id").join(sizes, "graph_id").join(gives, ["graph_id", "event_id"], "left").select("graph_id", "event_id", "n", (F.lit(1.0) / F.col("n")).alias("r"), F.coalesce("ends", F.lit(True)).alias("ends"))
 
 
-def _step(rank: DataFrame, weights: DataFrame, damping: float) -> DataFrame:
-    """One power step: (…, r, before). The mass of nodes that pass nothing on spreads evenly over their graph.
+def _step(rank: DataFrame, weights: DataFrame, damping: float, tolerance: float = 0.0) -> DataFrame:
+    """One power step of rows (graph_id, event_id, n, ends, r, before, done). The mass of nodes that pass nothing on
+    spreads evenly over their graph; a graph whose ranks moved by less than nodes * tolerance before is done and stays.
 
     A graph's sums are aggregates of a row each, joined back: no graph is gathered in a task.
     """
-    flows = rank.select("graph_id", F.col("event_id").alias("src"), "r").join(weights, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("event_id"), (F.col("r") * F.col("w")).alias("in"))
+    flows = rank.where("NOT done").select("graph_id", F.col("event_id").alias("src"), "r").join(weights, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("event_id"), (F.col("r") * F.col("w")).alias("in"))
     got = flows.groupBy("graph_id", "event_id").agg(F.sum("in").alias("got"))
-    held = rank.groupBy("graph_id").agg(F.sum(F.when(F.col("ends"), F.col("r")).otherwise(0.0)).alias("held"))
-    joined = rank.join(got, ["graph_id", "event_id"], "left").join(held, "graph_id")
+    sums = rank.groupBy("graph_id").agg(F.sum(F.when(F.col("ends"), F.col("r")).otherwise(0.0)).alias("held"), _near(tolerance).alias("near"))
+    joined = rank.join(got, ["graph_id", "event_id"], "left").join(sums, "graph_id")
     new = damping * (F.coalesce("got", F.lit(0.0)) + F.col("held") / F.col("n")) + (1 - damping) / F.col("n")
-    kept_columns = [c for c in rank.columns if c not in ("r", "before")]
-    return joined.select(*kept_columns, new.alias("r"), F.col("r").alias("before"))
+    done = F.col("done") | F.col("near")
+    return joined.select("graph_id", "event_id", "n", "ends", F.when(done, F.col("r")).otherwise(new).alias("r"), F.col("r").alias("before"), done.alias("done"))
+
+
+def _near(tolerance: float) -> Column:
+    """Aggregate: whether a graph's ranks moved by less than nodes * tolerance in the last step."""
+    return F.coalesce(F.sum(F.abs(F.col("r") - F.col("before"))) < F.max("n") * tolerance, F.lit(False))
+
+
+def _first(nodes: DataFrame, weights: DataFrame) -> DataFrame:
+    return kept(_even(nodes, weights).withColumns({"before": F.lit(None).cast("double"), "done": F.lit(False)}), "rank")
 
 
 def pagerank_steps(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = DAMPING) -> DataFrame:
-    """(graph_id, event_id, rank) after a fixed number of power steps, in one lazy plan."""
+    """(graph_id, event_id, rank) after a fixed number of power steps."""
     weights = kept(_weights(edges), "rank-weights")
-    rank = kept(_even(nodes, weights), "rank")
+    rank = _first(nodes, weights)
     for _ in range(steps):
-        rank = _step(rank, weights, damping).drop("before")
+        rank = kept(_step(rank, weights, damping), "rank")
     return rank.select("graph_id", "event_id", F.col("r").alias("rank"))
 
 
 def _converged(nodes: DataFrame, weights: DataFrame, damping: float, tolerance: float, most: int) -> DataFrame:
     """(graph_id, event_id, r, done): each graph stops once its ranks moved by less than nodes * tolerance in sum."""
-    rank = kept(_even(nodes, weights).withColumn("done", F.lit(False)), "rank")
-    for step in range(most):
-        moved = _step(rank, weights, damping)
-        off = moved.groupBy("graph_id").agg((F.sum(F.abs(F.col("r") - F.col("before"))) < F.first("n") * tolerance).alias("near"))
-        rank = moved.join(off, "graph_id").select("graph_id", "event_id", "n", "ends", F.when(F.col("done"), F.col("before")).otherwise(F.col("r")).alias("r"), (F.col("done") | F.col("near")).alias("done"))
-        if step % 2 == 1 or step == most - 1:  # two steps in one plan, then it is written
-            rank = kept(rank, "rank")
-            if rank.where("NOT done").isEmpty():
-                break
-    return rank
+    rank = _first(nodes, weights)
+    for _ in range(most):
+        rank = kept(_step(rank, weights, damping, tolerance), "rank")
+        if rank.where("NOT done").isEmpty():
+            break
+    last = rank.groupBy("graph_id").agg(_near(tolerance).alias("near"))
+    return kept(rank.join(last, "graph_id").withColumn("done", F.col("done") | F.col("near")), "rank")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-6, most: int = 100) -> DataFrame:

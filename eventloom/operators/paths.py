@@ -10,6 +10,8 @@ depth-first order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +53,17 @@ def all_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None, targe
         return out
     ends = targets.select("graph_id", F.col("event_id").alias("dst")).distinct()
     back = adj.select("graph_id", F.col("src").alias("_from"), "dst").distinct()
-    near = [ends]  # within so many edges of a target
-    for _ in range(hops - 1):
-        near.append(kept(near[-1].unionByName(near[-1].join(back, ["graph_id", "dst"]).select("graph_id", F.col("_from").alias("dst"))).distinct(), "near-targets"))
-    level = level.join(near[hops - 1], ["graph_id", "dst"], "left_semi")
-    out = level.join(ends, ["graph_id", "dst"], "left_semi")
+    front, fronts = ends, [ends.withColumn("_need", F.lit(0))]
+    for need in range(1, hops):
+        front = front.join(back, ["graph_id", "dst"]).select("graph_id", F.col("_from").alias("dst")).distinct()
+        fronts.append(front.withColumn("_need", F.lit(need)))
+    far = kept(reduce(DataFrame.unionByName, fronts).groupBy("graph_id", "dst").agg(F.min("_need").alias("_need")), "target-distance")
+    in_time = lambda df, used: df.join(far, ["graph_id", "dst"]).where(F.col("_need") <= hops - used)
+    level = in_time(level, 1)
+    out = level.where("_need = 0").drop("_need")
     for used in range(2, hops + 1):
-        level = _next(level, adj).join(near[hops - used], ["graph_id", "dst"], "left_semi")
-        out = out.unionByName(level.join(ends, ["graph_id", "dst"], "left_semi"))
+        level = in_time(_next(level.drop("_need"), adj), used)
+        out = out.unionByName(level.where("_need = 0").drop("_need"))
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import lexicons as lx
 from eventloom.functions import text as tx
 from eventloom.operators import analytics, anchor, calibrate, extract, graph, intervene, mapping, metrics, paths, relate, scenario
-from eventloom.plans import graphs
+from eventloom.plans import graphs, lexical, reasoned
 from eventloom.plans.graphs import table
 from eventloom.sources.storage import kept
 
@@ -239,17 +239,10 @@ def noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chance that any supplier or region reaches a customer."""
     nodes, edges = graphs.geo_graph(spark, sf_dir)
     roots = graph.roots(nodes, edges)
-    return paths.noisy_or(paths.best_paths(graph.adjacency(edges), 2, roots), roots).select("graph_id", F.col("dst").alias("event_id"), six("p"))
+    return paths.noisy_or(paths.best_probability(graph.adjacency(edges), 2, roots), roots).select("graph_id", F.col("dst").alias("event_id"), six("p"))
 
 
 def path_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first four events as a path."""
-    nodes, adj = _user_adjacency(spark, sf_dir)
-    path = nodes.where("node_ord <= 4").groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", "event_id"))), lambda x: x["event_id"]).alias("path")).withColumn("path_id", F.lit(1))
-    return paths.path_probability(path, adj).select("graph_id", joined("path"), six("p"))
-
-
-def path_probability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every four consecutive events of each user as a path, numbered by its first event's place; fewer if the user has no four."""
     nodes, adj = _user_adjacency(spark, sf_dir)
     starts = nodes.select("graph_id", "node_ord", "event_id", F.explode(F.sequence(F.greatest(F.col("node_ord") - 3, F.lit(1)), F.col("node_ord"))).alias("path_id"))
@@ -260,10 +253,6 @@ def path_probability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- interventions and scenarios -------------------------------------------------------------------------
 
 
-def _causes(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.substring("event_id", 1, 1).isin("R", "N")).select("graph_id", F.col("event_id").alias("cause"))
-
-
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What dies with each node of every type graph."""
     nodes, edges = graphs.type_graph(spark, sf_dir)
@@ -271,33 +260,18 @@ def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervene.dead(nodes, causes, intervene.alive(nodes, edges, causes)).select("graph_id", "cause", "event_id")
 
 
-def cascade_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = graphs.geo_graph(spark, sf_dir)
-    causes = _causes(nodes)
-    lost = intervene.dead(nodes, causes, intervene.alive(nodes, edges, causes))
-    return lost.groupBy("graph_id", "cause").agg(F.count("*").alias("n_dead"), F.min("event_id").alias("first_dead"))
-
-
 def _kept_geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = graphs.geo_graph(spark, sf_dir)
     return kept(nodes.select("graph_id", "event_id", "node_ord"), "geo-nodes"), kept(edges, "geo-edges")
 
 
-def cascade_geo_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``cascade_geo`` with every region, nation, supplier and customer as a cause."""
+def cascade_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events die with each region, nation, supplier and customer of each nation's graph, and the first of them."""
     lost = intervene.fallen(*_kept_geo(spark, sf_dir))
     return lost.groupBy("graph_id", "cause").agg(F.count("*").alias("n_dead"), F.min("event_id").alias("first_dead"))
 
 
 def necessity_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PN, PS and PNS of each nation for its customers."""
-    nodes, edges = graphs.geo_graph(spark, sf_dir)
-    pairs = edges.where(F.col("cause_event_id").startswith("N")).select("graph_id", F.col("cause_event_id").alias("cause"), F.col("effect_event_id").alias("effect"))
-    found = intervene.measures(nodes, edges, pairs, 3)
-    return found.select("graph_id", "cause", "effect", six("pn"), six("ps"), six("pns"), "effect_dead", F.try_element_at("alt", F.lit(1)).alias("alt_root"))
-
-
-def necessity_sufficiency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PN, PS and PNS of every edge: of regions for nations, nations and suppliers for customers."""
     found = intervene.edge_measures(*_kept_geo(spark, sf_dir), 3)
     return found.select("graph_id", "cause", "effect", six("pn"), six("ps"), six("pns"), "effect_dead", "alt_root")
@@ -320,15 +294,15 @@ def scenario_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def likely_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenario.likeliest_end(_trees(spark, sf_dir)).select("graph_id", "source", F.round("prob", 2).alias("prob"))
+    return scenario.likeliest_end(_trees(spark, sf_dir)).select("graph_id", "source", "node", six("prob"))
 
 
 def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for each nation, anchored in its region's nations."""
-    n = table(spark, sf_dir, "nation")
-    g = F.col("n_regionkey").cast("string").alias("graph_id")
-    nodes = n.select(g, F.concat(F.lit("N"), "n_nationkey").alias("event_id"), F.col("n_nationkey").cast("long").alias("node_ord"), F.col("n_name").alias("trigger"), F.concat(F.lit("the "), F.col("n_name"), F.lit(" flood")).alias("mention"), F.lit("k").alias("event_type"))
-    asked = n.select(g, F.col("n_nationkey").alias("query_id"), F.when(F.col("n_nationkey") > 12, F.concat(F.lit("what about "), F.col("n_name"), F.lit("?"))).otherwise(F.concat(F.lit("the flo NATION "), F.col("n_nationkey").cast("string"))).alias("question"))
+    """A question about each event, anchored in the types of its user's events."""
+    nodes = graphs.type_nodes(spark, sf_dir).select("graph_id", "event_id", "node_ord", F.col("event_id").alias("trigger"), F.concat(F.lit("the "), F.col("event_id"), F.lit(" flood")).alias("mention"), F.lit("k").alias("event_type"))
+    e = table(spark, sf_dir, "events")
+    words = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("what about "), "event_type", F.lit("?"))).otherwise(F.concat(F.lit("the flo "), F.left("event_type", F.lit(3)), F.lit(" "), F.col("event_id").cast("string")))
+    asked = e.select(F.col("user_id").cast("string").alias("graph_id"), F.col("event_id").alias("query_id"), words.alias("question"))
     return anchor.mentioned(nodes, asked, 3).select("graph_id", "query_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
@@ -374,12 +348,7 @@ def level_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidence_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scored(spark, sf_dir).where("score * 10 - floor(score * 10) NOT BETWEEN 0.499 AND 0.501")  # binary ties round in their own way in SQL
-    return s.select("o_orderkey", calibrate.confidence(F.col("rtype"), F.col("score")).alias("confidence"))
-
-
-def confidence_calibration_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's confidence, rounding ties included; ``confidence_calibration`` and its SQL leave those out."""
+    """Every order's confidence; its SQL rounds binary ties by their exact decimal digits, as the operator does."""
     return _scored(spark, sf_dir).select("o_orderkey", calibrate.confidence(F.col("rtype"), F.col("score")).alias("confidence"))
 
 
@@ -396,18 +365,13 @@ def micro_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    pairs = docs.select("doc_id", "text").join(items.select(F.col("item_id").alias("doc_id"), F.col("text").alias("gold")), "doc_id")
-    return pairs.select("doc_id", F.round(metrics.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"), metrics.exact_match(F.col("text"), F.col("gold")).alias("same"))
+    """Each document's text against that of the document with the next id, or against none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("gold"))
+    return docs.join(after, "doc_id", "left").select("doc_id", F.round(metrics.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"), metrics.exact_match(F.col("text"), F.col("gold")).alias("same"))
 
 
 def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    side = lambda t: c.where(F.col("turn") == t).select(F.col("conv_id").alias("query_id"), F.col("text").alias("answer_text"))
-    return metrics.answer_report(side(1), side(0)).select("total", "exact_match", six("em"), six("avg_f1"))
-
-
-def answer_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn as gold for the assistant turn that follows it; a user turn without one counts as unmatched."""
     after = F.lead(F.struct("role", "text")).over(Window.partitionBy("conv_id").orderBy("turn"))
     turns = table(spark, sf_dir, "conversations").withColumn("after", after).where("role = 'user'").withColumn("query_id", F.struct("conv_id", "turn"))
@@ -415,27 +379,33 @@ def answer_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.answer_report(replies, turns.select("query_id", F.col("text").alias("answer_text"))).select("total", "exact_match", six("em"), six("avg_f1"))
 
 
+#: Names that these queries had while others of the first names read a part of their tables.
+SAME = {f"{f.__name__}_all": f for f in (path_probability, cascade_geo, necessity_sufficiency, confidence_calibration, answer_report)}
 QUERIES = {
     f.__name__: f
     for f in (
         sentence_split_offsets, simple_sentences, first_trigger, extract_dates, rule_extraction, map_types, map_roles, id_extract, distractor_filter, cue_evidence, ngram_overlap,
         narrative_pairs, node_merge, edge_dangling, edge_dedup, edge_conflict, clean_graph, graph_metadata, degrees_roots_leaves, graph_stats, view_nodes, pagerank_k, pagerank_converged,
-        best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, best_paths_5, topk_paths_5, geom_paths_7, root_chains, noisy_or, path_probability, path_probability_all,
-        cascade, cascade_geo, cascade_geo_all, necessity_sufficiency, necessity_sufficiency_all, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
-        level_calibration, confidence_calibration, confidence_calibration_all, micro_prf, token_f1, answer_report, answer_report_all,
+        best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, best_paths_5, topk_paths_5, geom_paths_7, root_chains, noisy_or, path_probability,
+        cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
+        level_calibration, confidence_calibration, micro_prf, token_f1, answer_report,
     )
-}
+} | SAME | lexical.QUERIES | reasoned.QUERIES
 FLAGSHIP = "cause_chains"
 
 # --- SQL ---------------------------------------------------------------------------------------------------
 
-_USER = """
+def _user(hops: int) -> str:
+    return f"""
 un AS (SELECT user_id::VARCHAR AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o, event_type AS k FROM events),
 ue AS (SELECT a.g, 'E' || a.o AS s, 'E' || b.o AS t, a.o AS so, b.o AS t_o, CASE WHEN b.o = a.o + 1 THEN 0.75 ELSE 0.55 END AS c, b.o - a.o AS ord,
   printf('R%03d', row_number() OVER (PARTITION BY a.g ORDER BY a.o, b.o)) AS rid FROM un a JOIN un b ON a.g = b.g AND b.o BETWEEN a.o + 1 AND a.o + 2),
 up AS (SELECT g, s, t, [s, t] AS path, [rid] AS rids, [ord] AS ords, c::DOUBLE AS p, 1 AS hops FROM ue
-  UNION ALL SELECT up.g, up.s, ue.t, list_append(path, ue.t), list_append(rids, rid), list_append(ords, ord), p * c, hops + 1 FROM up JOIN ue ON up.g = ue.g AND up.t = ue.s WHERE hops < 3 AND NOT list_contains(path, ue.t)),
+  UNION ALL SELECT up.g, up.s, ue.t, list_append(path, ue.t), list_append(rids, rid), list_append(ords, ord), p * c, hops + 1 FROM up JOIN ue ON up.g = ue.g AND up.t = ue.s WHERE hops < {hops} AND NOT list_contains(path, ue.t)),
 ub AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, s, t ORDER BY p DESC, ords) AS n FROM up) WHERE n = 1)"""
+
+
+_USER = _user(HOPS)
 _TYPE = """
 rr AS (SELECT user_id::VARCHAR AS g, row_number() OVER w AS o, event_type AS s, lead(event_type) OVER w AS t, abs(value) - floor(abs(value)) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 r AS (SELECT * FROM rr WHERE t IS NOT NULL),
@@ -531,25 +501,26 @@ r{i} AS (SELECT r.g, r.k, n, 0.85 * (coalesce(x, 0) + (sum(r) OVER (PARTITION BY
 SELECT g AS graph_id, t AS dst, n AS rank, path, round(sc, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY g, t ORDER BY sc DESC, hops DESC, o) AS n FROM p) WHERE n <= 6""",
     "noisy_or": f"""WITH {_GEO}, p AS (SELECT ge.g, s, t, c AS p FROM ge JOIN gr ON ge.g = gr.g AND ge.s = gr.k UNION ALL SELECT a.g, a.s, b.t, a.c * b.c FROM ge a JOIN ge b ON a.g = b.g AND a.t = b.s JOIN gr ON a.g = gr.g AND a.s = gr.k)
 SELECT g AS graph_id, t AS event_id, round(1 - product(1 - p), 6) AS p FROM (SELECT g, s, t, max(p) AS p FROM p GROUP BY ALL) GROUP BY g, t""",
-    "path_probability": f"WITH RECURSIVE {_USER} SELECT g AS graph_id, string_agg('E' || o, ',' ORDER BY o) AS path, round(pow(0.75, count(*) - 1), 6)::DOUBLE AS p FROM un WHERE o <= 4 GROUP BY g",
+    "path_probability": f"""WITH RECURSIVE {_USER}, w AS (SELECT g, o AS i, count(*) OVER v AS n, string_agg('E' || o, ',') OVER v AS path FROM un WINDOW v AS (PARTITION BY g ORDER BY o ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+SELECT g AS graph_id, i AS path_id, path, round(pow(0.75, n - 1), 6)::DOUBLE AS p FROM w WHERE n = 4 OR i = 1""",
     "cascade": f"""WITH RECURSIVE {_TYPE}, ro AS (SELECT g, k FROM tn ANTI JOIN ce ON tn.g = ce.g AND tn.k = ce.t),
 al AS (SELECT a.g, a.k AS c, b.k FROM tn a JOIN ro b ON a.g = b.g AND a.k <> b.k UNION SELECT al.g, al.c, ce.t FROM al JOIN ce ON al.g = ce.g AND al.k = ce.s WHERE ce.t <> al.c)
 SELECT a.g AS graph_id, a.k AS cause, b.k AS event_id FROM tn a JOIN tn b ON a.g = b.g ANTI JOIN al ON al.g = a.g AND al.c = a.k AND al.k = b.k""",
-    "cascade_geo": f"""WITH RECURSIVE {_GEO}, ca AS (SELECT g, k FROM gn WHERE k[1] IN ('R', 'N')), al AS (SELECT a.g, a.k AS c, b.k FROM ca a JOIN gr b ON a.g = b.g AND a.k <> b.k UNION SELECT al.g, al.c, ge.t FROM al JOIN ge ON al.g = ge.g AND al.k = ge.s WHERE ge.t <> al.c)
-SELECT a.g AS graph_id, a.k AS cause, count(*) AS n_dead, min(b.k) AS first_dead FROM ca a JOIN gn b ON a.g = b.g ANTI JOIN al ON al.g = a.g AND al.c = a.k AND al.k = b.k GROUP BY ALL""",
-    "necessity_sufficiency": f"""WITH {_GEO}, x AS (SELECT a.g, a.s, a.t, max(a.c) AS ps, max(b.c) AS d, arg_max(b.s, b.c * 1000000 - r.o / 10000.0) AS alt FROM ge a LEFT JOIN (ge b JOIN gr r ON b.g = r.g AND b.s = r.k) ON a.g = b.g AND a.t = b.t AND b.s[1] = 'S' WHERE a.s[1] = 'N' GROUP BY ALL)
-SELECT g AS graph_id, s AS cause, t AS effect, round(1 - coalesce(d, 0), 6) AS pn, round(ps, 6) AS ps, round(round(1 - coalesce(d, 0), 6) * ps, 6) AS pns, d IS NULL AS effect_dead, CASE WHEN d > 0 THEN alt ELSE alt END AS alt_root FROM x""",
+    "cascade_geo": f"""WITH RECURSIVE {_GEO}, al AS (SELECT a.g, a.k AS c, b.k FROM gn a JOIN gr b ON a.g = b.g AND a.k <> b.k UNION SELECT al.g, al.c, ge.t FROM al JOIN ge ON al.g = ge.g AND al.k = ge.s WHERE ge.t <> al.c)
+SELECT a.g AS graph_id, a.k AS cause, count(*) AS n_dead, min(b.k) AS first_dead FROM gn a JOIN gn b ON a.g = b.g ANTI JOIN al ON al.g = a.g AND al.c = a.k AND al.k = b.k GROUP BY ALL""",
+    "necessity_sufficiency": f"""WITH {_GEO}, ch AS (SELECT ge.g, ge.t, ge.s AS root, NULL AS via, ge.c AS p, r.o FROM ge JOIN gr r ON r.g = ge.g AND r.k = ge.s
+  UNION ALL SELECT b.g, b.t, a.s, a.t, a.c * b.c, r.o FROM ge a JOIN ge b ON a.g = b.g AND a.t = b.s JOIN gr r ON r.g = a.g AND r.k = a.s),
+rk AS (SELECT e.g, e.s, e.t, e.c AS ps, ch.root, ch.p AS d, row_number() OVER (PARTITION BY e.g, e.s, e.t ORDER BY ch.p DESC, ch.o) AS n FROM ge e LEFT JOIN ch ON ch.g = e.g AND ch.t = e.t AND ch.root <> e.s AND (ch.via IS NULL OR ch.via <> e.s))
+SELECT g AS graph_id, s AS cause, t AS effect, round(1 - coalesce(d, 0), 6) AS pn, round(ps, 6) AS ps, round(round(1 - coalesce(d, 0), 6) * ps, 6) AS pns, d IS NULL AS effect_dead, root AS alt_root FROM rk WHERE n = 1""",
     "forward_closure": f"WITH RECURSIVE {_TYPE}, fc AS (SELECT g, k AS source, k FROM tn UNION SELECT fc.g, source, ce.t FROM fc JOIN ce ON fc.g = ce.g AND fc.k = ce.s) SELECT g AS graph_id, source, k AS event_id FROM fc",
     "scenario_tree": f"{_TREE} SELECT g AS graph_id, src AS source, array_to_string(path, ',') AS path, depth::BIGINT AS depth, round(p, 6) AS p FROM tk",
-    "likely_terminal": f"""{_TREE} SELECT g AS graph_id, src AS source, round(max(round(p, 4)), 2) AS prob FROM tk WHERE depth = 3 OR NOT EXISTS (SELECT 1 FROM ce WHERE ce.g = tk.g AND ce.s = tk.node) GROUP BY ALL""",
-    "anchor_match": """WITH q AS (SELECT n_regionkey AS r, n_nationkey AS id, CASE WHEN n_nationkey > 12 THEN 'what about ' || n_name || '?' ELSE 'the flo NATION ' || n_nationkey END AS q FROM nation),
-x AS (SELECT q.r, q.id, n_nationkey AS k, n_name AS a, 'the ' || n_name || ' flood' AS b, q FROM q JOIN nation ON r = n_regionkey),
-y AS (SELECT *, CASE WHEN contains(q, a) OR contains(q, b) THEN 3 WHEN greatest(
-  len(list_intersect(list_distinct([a[i:i + 1] FOR i IN range(1, length(a))]), list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]))) / len(list_distinct([CASE WHEN length(a) <= length(q) THEN a ELSE q END[i:i + 1] FOR i IN range(1, least(length(a), length(q)))])),
-  len(list_intersect(list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]), list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]))) / len(list_distinct([CASE WHEN length(b) <= length(q) THEN b ELSE q END[i:i + 1] FOR i IN range(1, least(length(b), length(q)))])),
-  CASE WHEN contains(q, 'k') THEN 1 ELSE 0 END) >= 0.5 THEN 2 ELSE 0 END AS s FROM x),
-z AS (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM y WHERE s > 0)
-SELECT r::VARCHAR AS graph_id, id AS query_id, 'N' || k AS event_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM z WHERE s = m) WHERE n <= 3""",
+    "likely_terminal": f"""{_TREE}, lf AS (SELECT *, round(p, 4) AS r FROM tk WHERE depth = 3 OR NOT EXISTS (SELECT 1 FROM ce WHERE ce.g = tk.g AND ce.s = tk.node))
+SELECT g AS graph_id, src AS source, node, round(r, 6) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY g, src ORDER BY r DESC, ords DESC) AS m FROM lf) WHERE m = 1""",
+    "anchor_match": f"""WITH {_TYPE}, qs AS (SELECT user_id::VARCHAR AS g, event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'what about ' || event_type || '?' ELSE 'the flo ' || event_type[1:3] || ' ' || event_id END AS q FROM events),
+x AS (SELECT qs.g, id, o, k, k AS a, 'the ' || k || ' flood' AS b, q FROM qs JOIN tn ON qs.g = tn.g),
+y AS (SELECT *, CASE WHEN contains(q, a) OR contains(q, b) OR contains(a, q) OR contains(b, q) THEN 3 WHEN greatest(len(list_intersect(list_distinct([a[i:i + 1] FOR i IN range(1, length(a))]), list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]))) / len(CASE WHEN length(a) <= length(q) THEN list_distinct([a[i:i + 1] FOR i IN range(1, length(a))]) ELSE list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]) END), len(list_intersect(list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]), list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]))) / len(CASE WHEN length(b) <= length(q) THEN list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]) ELSE list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]) END), CASE WHEN contains(q, 'k') THEN 1 ELSE 0 END) >= 0.5 THEN 2 ELSE 0 END AS s FROM x),
+z AS (SELECT *, max(s) OVER (PARTITION BY g, id) AS m FROM y WHERE s > 0)
+SELECT g AS graph_id, id AS query_id, k AS event_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY o) AS n FROM z WHERE s = m) WHERE n <= 3""",
     "pack_answers": """WITH o AS (SELECT l_orderkey::VARCHAR AS g, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1),
 s AS (SELECT g, n, CASE WHEN n = 3 THEN 0.55 WHEN n <= 8 THEN 0.75 ELSE pow(pow(0.75, 7 - (n - 8)) * pow(0.55, n - 8), 1.0 / 7) END::DOUBLE AS sc, CASE WHEN n <= 3 THEN 1 WHEN n = 4 THEN 4 WHEN n = 5 THEN 6 WHEN n <= 14 THEN 7 ELSE 2 END AS k FROM o)
 SELECT g AS graph_id, 1::BIGINT AS q_ord, round(sc, 4)::DOUBLE AS confidence, CASE WHEN sc >= 0.6 THEN 'probable' ELSE 'possible' END AS confidence_level, k::BIGINT AS n_chains, 'D001,' || printf('D%03d', n) AS first_chain,
@@ -564,15 +535,23 @@ SELECT o_orderkey, plain, CASE WHEN t = 'single_hop' THEN CASE WHEN s >= 0.6 THE
     "confidence_calibration": f"""WITH s AS (SELECT o_orderkey, {_KIND} AS t, floor(o_totalprice / 5000) / 100 AS s FROM orders),
 b(t, b, v) AS (VALUES {', '.join(f"('{t}', {b}::DOUBLE, {v}::DOUBLE)" for t, bs in lx.CALIBRATION.items() for b, v in bs.items())}),
 a(t, v) AS (VALUES {', '.join(f"('{t}', {v}::DOUBLE)" for t, v in lx.CALIBRATION_BASE.items())}),
-k AS (SELECT * FROM s WHERE s * 10 - floor(s * 10) NOT BETWEEN 0.499 AND 0.501)
-SELECT o_orderkey, round(least(0.85, greatest(0.05, coalesce((SELECT max(v) FROM b WHERE b.t = k.t AND abs(b.b - round(s, 1)) < 0.001), (SELECT arg_max(v, b.b) FROM b WHERE b.t = k.t AND b.b <= s), (SELECT max(v) FROM a WHERE a.t = k.t)))), 3) AS confidence FROM k""",
+x AS (SELECT *, printf('%.70f', s) AS digits FROM s), y AS (SELECT *, (digits[1:1] || digits[3:3])::INT AS tenths, digits[4:] AS rest, '5' || repeat('0', 68) AS half FROM x),
+k AS (SELECT *, (tenths + CASE WHEN rest > half OR (rest = half AND tenths % 2 = 1) THEN 1 ELSE 0 END) / 10.0::DOUBLE AS bucket FROM y)
+SELECT o_orderkey, round(least(0.85, greatest(0.05, coalesce((SELECT max(v) FROM b WHERE b.t = k.t AND abs(b.b - bucket) < 0.001), (SELECT arg_max(v, b.b) FROM b WHERE b.t = k.t AND b.b <= s), (SELECT max(v) FROM a WHERE a.t = k.t)))), 3) AS confidence FROM k""",
     "micro_prf": """WITH p AS (SELECT doc_id, CASE WHEN n_chars > 300 AND NOT regexp_matches(text, '[#%]') THEN 1 ELSE 0 END AS k FROM documents SEMI JOIN labels USING (doc_id)),
 x AS (SELECT coalesce(l.quality, p.k) AS kind, l.doc_id IS NOT NULL AS g, p.doc_id IS NOT NULL AS p FROM labels l FULL JOIN p ON l.doc_id = p.doc_id AND l.quality = p.k),
 c AS (SELECT kind, count(*) FILTER (g AND p) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM x GROUP BY kind)
 SELECT kind, tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM c""",
-    "token_f1": r"""WITH p AS (SELECT doc_id, d.text AS a, b.text AS b, list_distinct([x FOR x IN regexp_split_to_array(d.text, '\s+') IF x <> '']) AS x, list_distinct([x FOR x IN regexp_split_to_array(b.text, '\s+') IF x <> '']) AS y FROM documents d JOIN benchmark b ON doc_id = item_id)
-SELECT doc_id, round(2 * len(list_intersect(x, y)) / (len(x) + len(y)), 6) AS f1, trim(a) = trim(b) AS same FROM p""",
-    "answer_report": r"""WITH g AS (SELECT conv_id, text FROM conversations WHERE turn = 0), p AS (SELECT conv_id, text FROM conversations WHERE turn = 1),
-x AS (SELECT g.text AS a, p.text AS b, list_distinct([x FOR x IN regexp_split_to_array(g.text, '\s+') IF x <> '']) AS x, list_distinct([x FOR x IN regexp_split_to_array(p.text, '\s+') IF x <> '']) AS y FROM g JOIN p USING (conv_id))
-SELECT (SELECT count(*) FROM g) AS total, count(*) FILTER (trim(a) = trim(b)) AS exact_match, round(count(*) FILTER (trim(a) = trim(b)) / (SELECT count(*) FROM g), 6) AS em, round(sum(2 * len(list_intersect(x, y)) / (len(x) + len(y))) / (SELECT count(*) FROM g), 6) AS avg_f1 FROM x""",
+    "token_f1": r"""WITH p AS (SELECT d.doc_id, d.text AS a, coalesce(b.text, '') AS b, list_distinct([x FOR x IN regexp_split_to_array(d.text, '\s+') IF x <> '']) AS x, list_distinct([x FOR x IN regexp_split_to_array(coalesce(b.text, ''), '\s+') IF x <> '']) AS y FROM documents d LEFT JOIN documents b ON b.doc_id = d.doc_id + 1)
+SELECT doc_id, round(CASE WHEN len(list_intersect(x, y)) = 0 THEN 0 ELSE 2 * len(list_intersect(x, y)) / (len(x) + len(y)) END, 6)::DOUBLE AS f1, trim(a) = trim(b) AS same FROM p""",
+    "answer_report": r"""WITH t AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT * FROM t WHERE role = 'user'),
+x AS (SELECT coalesce(text, '') AS a, coalesce(t2, '') AS b, list_distinct([x FOR x IN regexp_split_to_array(coalesce(text, ''), '\s+') IF x <> '']) AS x, list_distinct([x FOR x IN regexp_split_to_array(coalesce(t2, ''), '\s+') IF x <> '']) AS y FROM g WHERE r2 = 'assistant')
+SELECT (SELECT count(*) FROM g) AS total, count(*) FILTER (trim(a) = trim(b)) AS exact_match, round(count(*) FILTER (trim(a) = trim(b)) / (SELECT count(*) FROM g), 6) AS em, round(sum(CASE WHEN len(list_intersect(x, y)) = 0 THEN 0 ELSE 2 * len(list_intersect(x, y)) / (len(x) + len(y)) END) / (SELECT count(*) FROM g), 6) AS avg_f1 FROM x""",
+}
+
+for _name, _of in (("best_paths_5", "best_paths_k"), ("topk_paths_5", "topk_paths")):
+    ORACLE[_name] = ORACLE[_of].replace(_USER, _user(int(_name[-1])))
+ORACLE |= {name: ORACLE[f.__name__] for name, f in SAME.items()}
+ORACLE |= lexical.ORACLE | reasoned.ORACLE | {
+    "saved_graphs": f"WITH {_TYPE} SELECT g AS graph_id, printf('R%03d', n) AS relation_id, upper(s) AS cause, upper(t) AS effect, round(c, 6) AS confidence FROM ce",
 }

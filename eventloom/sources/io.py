@@ -5,6 +5,7 @@ Everything goes through Spark's readers, so paths may be in any store that Spark
 
 from __future__ import annotations
 
+import json
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,9 +70,19 @@ def _spread(df: DataFrame, graph: str, column: str, order: str) -> DataFrame:
     return df.select(F.col(graph).alias("graph_id"), F.posexplode(column).alias(order, "x")).select("graph_id", F.col(order).cast("long").alias(order), "x.*")
 
 
+def _one_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that isn't blank is a whole JSON object."""
+    first = spark.read.text(path).where(F.trim("value") != "").select("value").first()
+    try:
+        return isinstance(json.loads(first[0]), dict) if first else True
+    except ValueError:
+        return False
+
+
 def load_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of saved graph files (one object each), as they are: saved graphs aren't cleaned again."""
-    graphs = read_json(spark, path, sc.GRAPH_DDL)
+    """(nodes, edges) of saved graphs, an object a line or a file of its own each, as they are: saved graphs aren't
+    cleaned again."""
+    graphs = (read_jsonl if _one_a_line(spark, path) else read_json)(spark, path, sc.GRAPH_DDL)
     return _spread(graphs, "graph_id", "nodes", "node_ord"), _spread(graphs, "graph_id", "edges", "edge_ord")
 
 

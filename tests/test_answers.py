@@ -1,7 +1,10 @@
+import json
+
 from helpers import UNIT, graph
 from pyspark.sql import functions as F
 
 from eventloom.operators import anchor, answer, metrics
+from eventloom.plans import tiers
 
 NAMES = {"A": "暴雨红色预警", "B": "道路内涝", "C": "学校停课", "D": "出行受阻", "E": "股价下跌", "F": "公司裁员", "G": "员工维权"}
 
@@ -62,3 +65,25 @@ def test_extraction_report(spark):
     got = {r.metric: (r.tp, r.fp, r.fn) for r in metrics.extraction_report(gold, metrics.pred_records(found, docs)).collect()}
     assert got == {"TI": (1, 0, 0), "TC": (1, 0, 0), "AI": (1, 1, 0), "AC": (1, 1, 0), "TC:灾害/事故": (1, 0, 0)}
     assert F is not None
+
+
+def test_published_bundle(spark, tmp_path):
+    """The first published graph with its three questions: chains, confidences, PN and PS as published."""
+    links = [("R001", "E001", "E002", 0.9, "causal"), ("R002", "E001", "E003", 0.9, "causal"), ("R003", "E001", "E005", 0.88, "causal"), ("R004", "E002", "E004", 0.8, "causal"), ("R005", "E003", "E004", 0.82, "enables"), ("R006", "E003", "E006", 0.86, "causal"), ("R007", "E004", "E006", 0.84, "causal")]
+    confidence = dict(zip(("E001", "E002", "E003", "E004", "E005", "E006"), (0.95, 0.92, 0.9, 0.88, 0.9, 0.85), strict=True))
+    names = dict(zip(confidence, ("甲地山洪", "乙桥冲断", "丙镇停电", "丁厂停工", "戊村转移", "己市缺货"), strict=True))
+    asked = [("q1", "是什么导致了己市缺货？", "causal_tracing"), ("q2", "甲地山洪之后会怎样？", "situation_deduction"), ("q3", "假如丁厂停工没有发生，己市缺货还会发生吗？", "counterfactual")]
+    bundle = {
+        "news_id": "n1", "events": [{"event_id": e, "doc_id": "d", "event_type": "社会/舆情", "trigger": names[e], "mention": names[e], "arguments": [], "time": "", "location": "", "char_offset": None, "confidence": c} for e, c in confidence.items()],
+        "relations": [{"relation_id": r, "cause_event_id": a, "effect_event_id": b, "relation_type": t, "evidence": [], "confidence": c, "time_lag": ""} for r, a, b, c, t in links],
+        "queries": [{"query_id": i, "question": q, "question_type": t, "seed_event_ids": []} for i, q, t in asked],
+    }
+    for name in ("n1", "n2"):
+        (tmp_path / f"{name}.json").write_text(json.dumps(bundle | {"news_id": name}, ensure_ascii=False, indent=1))
+    rows = tiers.news_answers(spark, f"{tmp_path}/*.json").collect()
+    assert len(rows) == 6
+    for r in rows:
+        want = {"q1": (["R006"], 0.86), "q2": (["R003"], 0.88), "q3": (["R007"], 0.84)}[r.query_id]
+        assert (r.evidence_chain, r.confidence) == want and r.graph_id in ("n1", "n2")
+        if r.query_id == "q3":
+            assert (round(r.pn, 2), round(r.ps, 2)) == (0.23, 0.84)

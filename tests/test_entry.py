@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from eventloom.plans import lexical
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -28,7 +29,10 @@ def duck():
     return con
 
 
-CORE = ["sentence_split_offsets", "first_trigger", "rule_extraction", "narrative_pairs", "node_merge", "clean_graph", "graph_stats", "best_paths_k", "root_chains", "cascade", "necessity_sufficiency", "scenario_tree", "anchor_match", "micro_prf"]
+CORE = [
+    "sentence_split_offsets", "first_trigger", "rule_extraction", "narrative_pairs", "node_merge", "clean_graph", "graph_stats", "best_paths_k", "root_chains", "cascade", "necessity_sufficiency", "scenario_tree",
+    "likely_terminal", "anchor_match", "confidence_calibration", "micro_prf", "token_f1", "line_answers", "pack_branches", *lexical.QUERIES,
+]
 
 
 @pytest.mark.parametrize("name", CORE)

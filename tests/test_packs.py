@@ -1,3 +1,5 @@
+import json
+
 import pack_fixture
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,18 @@ def test_bare_documents(ran, spark):
     assert kinds == ["爆炸", "救援", "部署", "调查", "事故发生", "现场救援", "官方部署", "原因调查", "责任追究", "善后处置", "隐患分析", "专项整治", "综合汇编", "矛盾来源"]
 
 
+def test_files_of_results_and_packs_of_one_name(spark, tmp_path):
+    for side in ("x", "y"):
+        (tmp_path / side).mkdir()
+        pack_fixture.pack_a(f"{tmp_path}/{side}/包A")
+    packs.main([str(tmp_path), f"{tmp_path}/out"])
+    for side in ("x", "y"):
+        rows = json.loads((tmp_path / f"out/packs/{side}/包A.json").read_text())
+        assert [r["sample_id"] for r in rows] == [f"s{n}" for n in range(1, 19)] and rows[0]["evidence_chains"] == WANT[1][2] and rows[0]["task"] == "A"
+    sent = json.loads((tmp_path / "out/submit_answers.json").read_text())
+    assert len(sent) == 36 and sent[0]["sample_id"] == "s1" and {r["graph_id"]: r["node_count"] for r in json.loads((tmp_path / "out/run_summary.json").read_text())} == {"x/包A": 4, "y/包A": 4}
+
+
 def test_no_packs(spark, tmp_path):
     (tmp_path / "x.json").write_text("[]")
     with pytest.raises(FileNotFoundError):

@@ -73,6 +73,30 @@ def test_pagerank_of_the_published_graph(spark):
     assert [(r.src, r.rids) for r in chains] == [("E003", ["R006"]), ("E004", ["R007"]), ("E001", ["R002", "R006"]), ("E002", ["R004", "R007"])]
 
 
+def test_pagerank_that_does_not_converge(spark):
+    """Too few steps for the weighted ranks: the ranks without weights, or zeros."""
+    star = [("R1", "A", "B", 0.9), ("R2", "B", "A", 0.1), ("R3", "B", "C", 0.9), ("R4", "C", "B", 0.5)]
+    nodes, edges = graph(spark, star)
+    done = {r.event_id: r["rank"] for r in analytics.pagerank(nodes, edges).collect()}
+    assert abs(sum(done.values()) - 1) < 1e-9 and done["B"] > done["C"] > done["A"]
+    assert {r["rank"] for r in analytics.pagerank(nodes, edges, most=2).collect()} == {0.0}
+    even = [("R1", "A", "B", 0.9), ("R2", "B", "C", 0.5), ("R3", "C", "A", 0.5), ("R4", "A", "C", 0.0), ("R5", "C", "B", 0.0), ("R6", "B", "A", 0.0)]
+    n2, e2 = graph(spark, even)
+    assert {round(r["rank"], 9) for r in analytics.pagerank(n2, e2, most=2).collect()} == {round(1 / 3, 9)}
+
+
+def test_probabilities_without_paths(spark):
+    rng = random.Random(8)
+    for i, (names, links) in enumerate(random_graphs(rng, 6)):
+        nodes, edges = graph(spark, links, names, f"g{i}")
+        adj = gr.adjacency(edges)
+        want = {(r.src, r.dst): r.p for r in paths.best_paths(adj, 4).collect()}
+        assert {(r.src, r.dst): r.p for r in paths.best_probability(adj, 4).collect()} == want
+        ends = nodes.where("node_ord < 2").select("graph_id", "event_id")
+        some = {(r.src, tuple(r.path)) for r in paths.all_paths(adj, 3, None, ends).collect()}
+        assert some == {(r.src, tuple(r.path)) for r in paths.all_paths(adj, 3).collect() if r.dst in names[:2]}
+
+
 def test_trees_unroll_loops_and_keep_five_hundred(spark):
     nodes, edges = graph(spark, [("R1", "A", "B", 1.0), ("R2", "B", "A", 0.5)])
     start = spark.createDataFrame([("g", "A")], "graph_id string, event_id string")

@@ -37,6 +37,27 @@ def test_round_trips(spark, tmp_path):
         io.load_events(spark, str(tmp_path / "bad.jsonl")).count()
 
 
+def test_file_order_and_arrays(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, ids in (("b.jsonl", range(100, 103)), ("a.jsonl", range(2000)), ("c.jsonl", [7])):  # a large file is read last otherwise
+        (folder / name).write_text("".join(json.dumps({"doc_id": f"{name}{i}", "text": "x" * 50}) + "\n" for i in ids))
+    rows = io.load_documents(spark, str(folder / "*.jsonl")).orderBy("doc_ord").collect()
+    assert [r.doc_id for r in rows] == [f"a.jsonl{i}" for i in range(2000)] + [f"b.jsonl{i}" for i in range(100, 103)] + ["c.jsonl7"] and [r.doc_ord for r in rows] == list(range(1, 2005))
+    io.save_array(spark.createDataFrame([(2, "b"), (1, None)], "n int, t string"), f"{tmp_path}/rows.json", ["n"])
+    assert json.loads((tmp_path / "rows.json").read_text()) == [{"n": 1, "t": None}, {"n": 2, "t": "b"}]
+    io.save_array(spark.createDataFrame([], "n int"), f"{tmp_path}/rows.json", ["n"])
+    assert json.loads((tmp_path / "rows.json").read_text()) == []
+
+
+def test_saved_graphs_one_a_line(spark, tmp_path):
+    n, e = graph(spark, UNIT)
+    m, f = graph(spark, UNIT[:2], graph_id="h")
+    io.save_graphs(n.unionByName(m), e.unionByName(f), str(tmp_path / "g"))
+    nodes, edges = io.load_graphs(spark, str(tmp_path / "g"))
+    assert {r.graph_id: r["count"] for r in nodes.groupBy("graph_id").count().collect()} == {"g": 7, "h": 3} and edges.count() == 8
+
+
 def test_labelled_rows_to_samples(spark, tmp_path):
     row = {"id": "1", "text": "厂房起火死3人", "event_list": [{"event_type": "灾害/意外-起火", "trigger": "起火", "trigger_start_index": 2, "arguments": [{"role": "死亡人数", "argument": "3人", "argument_start_index": 5}]}]}
     for text in (json.dumps([row]), json.dumps(row)):

@@ -96,3 +96,16 @@ def test_numbers_over_a_whole_table(spark):
     got = numbered(df, ["x"], "n").collect()
     assert {(r.id, r.n) for r in got} == {(i, 1000 - i) for i in range(1000)}
     assert numbered(df.limit(0), ["x"], "n").count() == 0
+
+
+def test_sentences_of_long_texts(spark):
+    for n in (0, 1, 63, 64, 65, 129, 700):
+        pieces = ["" if i % 7 == 3 else "é" * (i % 5 + 1) for i in range(n)]
+        text = "。".join(pieces)
+        want, at = [], 0
+        for p in pieces:
+            if p:
+                want.append((p, at, at + len(p)))
+            at += len(p) + 1
+        got = spark.createDataFrame([(text,)], "t string").select(tx.sentences(F.col("t")).alias("s")).first().s
+        assert [tuple(s) for s in got] == want
