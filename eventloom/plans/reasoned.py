@@ -90,6 +90,7 @@ QUERIES = {f.__name__: f for f in (line_answers, pack_branches)}
 
 # --- SQL -----------------------------------------------------------------------------------------------------
 
+# Rounded by printf, which rounds the exact binary value, as the operators do.
 _SPAN = "[printf('line%03dx', i) FOR i IN range({0}, {1} + 1)]"
 
 
@@ -110,17 +111,17 @@ br AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p DESC, hops, ord) A
   near AND (CASE WHEN id = 'X' THEN CASE WHEN n = 1 OR n > 6 THEN 1 ELSE round(1 - (SELECT p FROM pr WHERE pr.g = bc.g AND pr.i = 1), 6) END ELSE 0.4 END >= 0.5) AS tag FROM bc),
 bk AS (SELECT g, 'back' AS query_id, '「' || printf('line%03dx', n) || '」的因果追溯如下：' || chr(10) || '直接原因：' || string_agg(m || '（强度' || printf('%.2f', p) || CASE WHEN tag THEN '，且为其必要原因' ELSE '' END || '）', '、' ORDER BY ord) FILTER (near) || chr(10)
     || '多条因果链（按强度排序）：' || chr(10) || string_agg('  · ' || said || '（联合置信度 ' || printf('%.2f', p) || '）', chr(10) ORDER BY r) || chr(10) || '根本原因（根事件）：' || string_agg(m, '、' ORDER BY p DESC, ord) FILTER (root) AS text,
-  min_by(rids, r) AS evidence_chain, round(least(min_by(p, r), 0.99), 4) AS confidence, 'backward' AS direction, 'L' || n AS target, count(*) AS n_chains, -1.0 AS pn, -1.0 AS ps, -1.0 AS pns, '' AS cascaded_ids, '' AS alive_ids FROM br GROUP BY g, n)"""
+  min_by(rids, r) AS evidence_chain, printf('%.4f', least(min_by(p, r), 0.99))::DOUBLE AS confidence, 'backward' AS direction, 'L' || n AS target, count(*) AS n_chains, -1.0 AS pn, -1.0 AS ps, -1.0 AS pns, '' AS cascaded_ids, '' AS alive_ids FROM br GROUP BY g, n)"""
 _AHEAD = f"""
 ac AS (SELECT g, n, i + 1 AS ord, i AS hops, q AS p, {_said('1', '(i + 1)')} AS said, printf('line%03dx', i + 1) AS m, i + 1 = n AS fin FROM pr WHERE i <= 5),
 ah AS (SELECT g, 'ahead' AS query_id, '「line001x」可能引发的后续如下：' || chr(10) || '直接后果：' || string_agg(m || '（强度' || printf('%.2f', p) || '）', '、') FILTER (hops = 1) || chr(10) || '多条影响链（按强度排序）：' || chr(10)
     || string_agg('  · ' || said || '（联合置信度 ' || printf('%.2f', p) || '）', chr(10) ORDER BY hops) || coalesce(chr(10) || '最终后果：' || string_agg(m || '（强度' || printf('%.2f', p) || '）', '、') FILTER (fin), '') AS text,
-  'R1' AS evidence_chain, round(least(max(p), 0.99), 4) AS confidence, 'forward' AS direction, 'L1' AS target, count(*) AS n_chains, -1.0 AS pn, -1.0 AS ps, -1.0 AS pns, '' AS cascaded_ids, '' AS alive_ids FROM ac GROUP BY g, n)"""
+  'R1' AS evidence_chain, printf('%.4f', least(max(p), 0.99))::DOUBLE AS confidence, 'forward' AS direction, 'L1' AS target, count(*) AS n_chains, -1.0 AS pn, -1.0 AS ps, -1.0 AS pns, '' AS cascaded_ids, '' AS alive_ids FROM ac GROUP BY g, n)"""
 _TREE = f"""
-tn AS (SELECT g, n, i, q, round(q, 4) AS r, least(n - 1, 3) AS last FROM pr WHERE i <= 3),
+tn AS (SELECT g, n, i, q, printf('%.4f', q)::DOUBLE AS r, least(n - 1, 3) AS last FROM pr WHERE i <= 3),
 tr AS (SELECT g, 'tree' AS query_id, '从「line001x」出发的可能性树（每层概率 = 上层概率 × 边置信度）：' || chr(10) || 'line001x（p=1.00）' || chr(10) || string_agg(repeat('   ', i - 1) || '└─ ' || printf('line%03dx', i + 1) || '（p=' || printf('%.2f', r) || '）', chr(10) ORDER BY i) || chr(10)
     || '最可能的最终态势：「' || printf('line%03dx', last + 1) || '」（概率 ' || printf('%.2f', max_by(r, i)) || '）' AS text,
-  array_to_string(['R' || k FOR k IN range(1, last + 1)], ',') AS evidence_chain, round(least(max_by(r, i), 0.99), 4) AS confidence, '' AS direction, 'L1' AS target, -1 AS n_chains, -1.0 AS pn, -1.0 AS ps, -1.0 AS pns, '' AS cascaded_ids, '' AS alive_ids FROM tn GROUP BY g, n, last)"""
+  array_to_string(['R' || k FOR k IN range(1, last + 1)], ',') AS evidence_chain, printf('%.4f', least(max_by(r, i), 0.99))::DOUBLE AS confidence, '' AS direction, 'L1' AS target, -1 AS n_chains, -1.0 AS pn, -1.0 AS ps, -1.0 AS pns, '' AS cascaded_ids, '' AS alive_ids FROM tn GROUP BY g, n, last)"""
 _WHATIF = f"""
 md AS (SELECT g, n, array_to_string({_SPAN.format('2', '(n - 1)')}, '、') AS lost, array_to_string(['L' || i FOR i IN range(2, n)], ',') AS ids, printf('line%03dx', n) AS m, (SELECT p FROM pr WHERE pr.g = gr.g AND pr.i = 1 AND gr.n <= 6) AS ps,
   array_to_string(['R' || k FOR k IN range(1, n)], ',') AS rids FROM gr),
@@ -129,7 +130,7 @@ al AS (SELECT g, 'alone' AS query_id, CASE WHEN n > 2 THEN '若「line001x」没
 pa AS (SELECT g, 'pair' AS query_id, '反事实「若 line001x 未发生」：' || CASE WHEN ps IS NOT NULL THEN '图中「line001x」→「' || m || '」存在因果路径（最可能路径联合置信度 ' || printf('%.2f', ps) || '）' ELSE '图中「line001x」并非「' || m || '」的直接或间接原因' END
     || '；移除「line001x」后，「' || m || '」仍可能经其它路径发生（剩余强度 0.60）。' || chr(10) || '必要性 PN≈0.40，充分性 PS≈' || printf('%.2f', coalesce(ps, 0)) || '，必要且充分 PNS≈' || printf('%.2f', 0.4 * coalesce(ps, 0)) || '。'
     || CASE WHEN n > 2 THEN chr(10) || '连带消失的事件：' || lost || '。' ELSE '' END || chr(10) || '替代路径为：outsidex -> ' || m || '。' AS text,
-  CASE WHEN ps IS NOT NULL THEN rids ELSE '' END AS evidence_chain, round(least(greatest(coalesce(ps, 0), 0.4), 0.99), 4) AS confidence, '' AS direction, 'L1' AS target, -1 AS n_chains, 0.4 AS pn, round(coalesce(ps, 0), 4) AS ps, round(0.4 * coalesce(ps, 0), 4) AS pns, ids AS cascaded_ids, 'L' || n || ',X' AS alive_ids FROM md WHERE n > 1)"""
+  CASE WHEN ps IS NOT NULL THEN rids ELSE '' END AS evidence_chain, printf('%.4f', least(greatest(coalesce(ps, 0), 0.4), 0.99))::DOUBLE AS confidence, '' AS direction, 'L1' AS target, -1 AS n_chains, 0.4 AS pn, printf('%.4f', coalesce(ps, 0))::DOUBLE AS ps, printf('%.4f', 0.4 * coalesce(ps, 0))::DOUBLE AS pns, ids AS cascaded_ids, 'L' || n || ',X' AS alive_ids FROM md WHERE n > 1)"""
 _REST = """
 no AS (SELECT g, 'none' AS query_id, '未在图中定位到与问题相关的事件。' AS text, '' AS evidence_chain, 0.0 AS confidence, '' AS direction, '' AS target, -1 AS n_chains, -1.0 AS pn, -1.0 AS ps, -1.0 AS pns, '' AS cascaded_ids, '' AS alive_ids FROM gr
   UNION ALL SELECT g, 'odd', '暂不支持的问题类型：其他', '', 0, '', '', -1, -1, -1, -1, '', '' FROM gr
