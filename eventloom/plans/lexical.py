@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import lexicons as lx
 from eventloom.functions import text as tx
-from eventloom.operators import analytics, extract, mapping, metrics, relate
+from eventloom.operators import analytics, extract, mapping, metrics, pack_extract, relate
 from eventloom.plans import graphs
 from eventloom.plans.graphs import table
 from eventloom.sources import io
@@ -194,6 +194,23 @@ def relation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.relation_types(edges).select("graph_id", "relation_type", F.col("count").alias("n"))
 
 
+_REPORTS = {
+    "view": "2024年3月5日，河南省开封市一带平静如常。", "click": "应急管理部门赶赴，救援队伍造成交通中断。", "purchase": "平平常常的一天没有别的。",
+    "error": "各方说法存在出入，有待查明的情况。", "signup": "以下内容仅作背景参考，不必细看。",
+}
+
+
+def pack_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack for each user with a report about each event: stages in their order, conflicts and background apart."""
+    said = F.create_map(*[F.lit(x) for kv in _REPORTS.items() for x in kv])
+    nodes = graphs.user_nodes(spark, sf_dir)
+    title = F.concat(F.lit("T"), F.col("source_id").cast("string"))
+    docs = kept(nodes.select("graph_id", F.format_string("D%03d", F.col("node_ord")).alias("doc_id"), F.col("node_ord").alias("doc_ord"), title.alias("title"), F.concat(title, F.lit("\n"), said[F.col("event_type")]).alias("text")), "reports")
+    found = pack_extract.events(docs, spark.createDataFrame([], "graph_id string, event_id string, label string"))
+    value = lambda role: F.coalesce(mapping.first_value(F.col("arguments"), role), F.lit("")).alias
+    return found.select("graph_id", "event_id", "event_type", "mention", "time", "location", value("主体")("organisation"), value("影响")("impact"), F.size("arguments").cast("long").alias("n_arguments"), "confidence")
+
+
 # --- files ---------------------------------------------------------------------------------------------------------
 
 
@@ -237,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         trigger_lexicon, type_lexicon, role_lexicon, routine_lexicon, cue_lexicon, argument_lexicon, contract_counts, span_argmax, decoded_events, labelled_samples, extraction_scores, label_distribution,
-        stage_template, cued_pairs, view_links, relation_histogram, documents_file, saved_graphs, events_file,
+        stage_template, cued_pairs, view_links, relation_histogram, pack_extraction, documents_file, saved_graphs, events_file,
     )
 }
 
@@ -320,6 +337,12 @@ SELECT g AS graph_id, printf('R%03d', no) AS relation_id, ai AS cause_event_id,
     "view_links": f"""WITH {_NODES} SELECT a.g AS graph_id, printf('R%03d', row_number() OVER (PARTITION BY a.g ORDER BY a.o, b.o)) AS relation_id, 'E' || a.o AS source, 'E' || b.o AS target, b.o = a.o + 1 AS highlighted,
   CASE WHEN b.o = a.o + 1 THEN 75 ELSE 55 END::BIGINT AS percent, b.o = a.o + 1 AS gold FROM un a JOIN un b ON a.g = b.g AND b.o BETWEEN a.o + 1 AND a.o + 2""",
     "relation_histogram": f"""WITH c AS (SELECT user_id::VARCHAR AS g, count(*) AS n FROM events GROUP BY ALL) SELECT g AS graph_id, '{lx.DIRECT}' AS relation_type, n - 1 AS n FROM c WHERE n > 1 UNION ALL SELECT g, '{lx.INDIRECT}', n - 2 FROM c WHERE n > 2""",
+    "pack_extraction": f"""WITH e AS (SELECT user_id::VARCHAR AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o, event_type AS k, event_id FROM events),
+p AS (SELECT *, count(*) FILTER (k NOT IN ('error', 'signup')) OVER (PARTITION BY g ORDER BY o) AS place FROM e)
+SELECT g AS graph_id, printf('D%03d', o) AS event_id, CASE WHEN k = 'error' THEN '矛盾来源' WHEN k = 'signup' THEN '背景信息' WHEN place <= 10 THEN {_list(lx.STAGES)}[place] WHEN k = 'click' THEN '后续事件' || (place - 10) ELSE 'T' || p.event_id END AS event_type,
+  CASE k {' '.join(f"WHEN '{k}' THEN '{t[:-1]}'" for k, t in _REPORTS.items())} END AS mention, CASE WHEN k = 'view' THEN '2024年3月5日' ELSE '' END AS time, CASE WHEN k = 'view' THEN '河南省开封市' ELSE '' END AS location,
+  CASE WHEN k = 'click' THEN '应急管理部门' ELSE '' END AS organisation, CASE WHEN k = 'click' THEN '{_REPORTS['click'][:-1]}' ELSE '' END AS impact, CASE WHEN k IN ('view', 'click') THEN 2 ELSE 0 END::BIGINT AS n_arguments,
+  CASE WHEN k IN ('error', 'signup') THEN 0.35 ELSE 0.55 END::DOUBLE AS confidence FROM p""",
     "documents_file": "SELECT doc_id, md5(text) AS text_md5, source, lang FROM documents",
     "saved_graphs": "",  # filled by the catalog, which has the type graph's SQL
     "events_file": """SELECT 'G001' AS graph_id, 'E' || a.event_id AS cause_event_id, 'E' || b.event_id AS effect_event_id, a.event_type AS cause, b.event_type AS effect, (a.event_id % 10) / 10.0::DOUBLE AS confidence FROM events a JOIN events b ON b.event_id = a.event_id + 1""",
