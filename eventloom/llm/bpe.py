@@ -3,8 +3,9 @@
 ``tiktoken`` encodes every whole text; texts beyond ``PIECE`` characters are cut first, and only
 where the splitting pattern always ends a match: before a space that follows an ASCII letter or
 digit, and between a character of the scripts that are written without spaces (Han, kana, Hangul,
-Thai) and the full stop, comma or other mark of ``_MARKS`` that follows it. No match holds a non-space character followed by a space, or a letter followed by a mark, and the look-ahead
-of the white-space branch looks forward only, so the pieces' ids joined are the ids of the whole text.
+Thai) and the full stop, comma or other mark of ``_MARKS`` that follows it. No match holds a
+non-space character followed by a space, or a letter followed by a mark, and the look-ahead of the
+white-space branch looks forward only, so the pieces' ids joined are the ids of the whole text.
 Decoding joins the raw bytes of the ids. One map over the rows, no shuffle; a worker loads the
 rank file once, from a path that every executor must see.
 
