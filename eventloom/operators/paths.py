@@ -109,8 +109,8 @@ def geometric(p: Column, hops: Column) -> Column:
     return F.when(hops > 0, F.pow(p, F.lit(1.0) / hops)).otherwise(0.0)
 
 
-def top_paths(paths: DataFrame, k: int = 6, cap: int = 300) -> DataFrame:
-    """The k best by geometric mean, then fewer hops, among the first ``cap`` depth-first."""
+def top_paths(paths: DataFrame, k: int = 6, cap: int | None = 300) -> DataFrame:
+    """The k best by geometric mean, then fewer hops, among the first ``cap`` depth-first, if given."""
     return top_k(paths.withColumn("score", geometric(F.col("p"), F.col("hops"))), k, [F.col("score").desc(), "hops"], cap)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import lexicons as lx
 from eventloom.functions import text as tx
-from eventloom.operators import analytics, anchor, calibrate, extract, graph, intervene, mapping, metrics, paths, relate, scenario
+from eventloom.operators import analytics, anchor, calibrate, extract, graph, intervene, kbest, mapping, metrics, paths, relate, scenario
 from eventloom.plans import graphs, lexical, reasoned
 from eventloom.plans.graphs import table
 from eventloom.sources.storage import kept
@@ -216,15 +216,15 @@ def best_paths_5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_paths_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``topk_paths`` of up to five edges."""
+    """``topk_paths`` of up to five edges, without listing them."""
     _, adj = _user_adjacency(spark, sf_dir)
-    return paths.top_k(paths.all_paths(adj, 5), 2).select("graph_id", "src", "dst", F.col("rank").cast("long").alias("rank"), joined("rids"), six("p"))
+    return paths.top_k(kbest.candidates(adj, 5, 2), 2).select("graph_id", "src", "dst", F.col("rank").cast("long").alias("rank"), joined("rids"), six("p"))
 
 
 def geom_paths_7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``geom_paths`` of up to seven edges, the operator's own bound."""
+    """``geom_paths`` of up to seven edges, the operator's own bound, without listing them."""
     _, adj = _user_adjacency(spark, sf_dir)
-    return paths.top_paths(paths.all_paths(adj, 7)).select("graph_id", "src", "dst", F.col("rank").cast("long").alias("rank"), joined("rids"), six("score"))
+    return paths.top_paths(kbest.candidates(adj, 7, 6, cap=300, by_hops=True), cap=None).select("graph_id", "src", "dst", F.col("rank").cast("long").alias("rank"), joined("rids"), six("score"))
 
 
 def root_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
