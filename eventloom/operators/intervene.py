@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.numbers import exact_round
+from eventloom.operators import dominators as dm
 from eventloom.operators import graph as gr
 from eventloom.operators import paths as pt
 from eventloom.sources.storage import kept, written
@@ -78,7 +79,7 @@ def measures(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int =
     PN is 1 if the effect dies with the cause, else 1 less the best chain from another root that avoids
     the cause, within ``depth`` edges; 0 for one event with itself or a missing one. PS is the best chain
     from cause to effect. A node is no path to itself. Graphs without pairs are dropped first; what dies
-    comes from ``fallen``, or from ``alive_`` where the caller has it.
+    comes from the graphs' dominator trees, or from ``alive_`` where the caller has it.
     """
     pairs = kept(pairs.select("graph_id", "cause", "effect").distinct(), "pairs")
     ours = pairs.select("graph_id").distinct()
@@ -92,7 +93,7 @@ def measures(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int =
         .groupBy(*PAIR, "effect").agg(pick).select(*PAIR, "effect", (-F.col("b.m")).alias("detour"), F.col("b.path").alias("alt"))
     )
     if alive_ is None:
-        gone = fallen(nodes, edges).withColumnRenamed("event_id", "effect").withColumn("_dead", F.lit(True))
+        gone = kept(dm.falls(dm.dominators(nodes, edges), pairs), "falls").where("falls").select(*PAIR, "effect", F.lit(True).alias("_dead"))
         lives = F.col("_dead").isNull()
     else:
         gone = alive_.select(*PAIR, F.col("event_id").alias("effect"), F.lit(True).alias("_alive"))
@@ -112,31 +113,6 @@ def measures(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int =
     return joined.select(*PAIR, "effect", pn.alias("pn"), F.coalesce("_ps", F.lit(0.0)).alias("ps"), F.when(odd | ~lives | ~F.coalesce(through, F.lit(False)), none).otherwise(F.col("alt")).alias("alt"), (~odd & ~lives).alias("effect_dead")).withColumn("pns", F.col("pn") * F.col("ps"))
 
 
-def fallen(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, cause, event_id) of ``dead`` for every node as a cause, without listing causes x nodes.
-
-    A node falls with those that all its chains from roots pass: itself and what all its causes fall
-    with. Causes that nothing has reached yet don't count until they are; a node that no root reaches
-    falls with every cause. Rows move by the node, so memory and shuffles grow with edges and results.
-    """
-    own = kept(nodes.select("graph_id", "event_id").distinct(), "fallen-nodes")
-    steps = kept(edges.select("graph_id", F.col("cause_event_id").alias("_from"), F.col("effect_event_id").alias("event_id")).where("_from <> event_id").distinct(), "fallen-steps")
-    start = gr.roots(nodes, edges).select("graph_id", F.col("event_id").alias("cause"), "event_id").distinct()
-    known = kept(start, "fallen")
-    while True:
-        sent = steps.join(known.withColumnRenamed("event_id", "_from"), ["graph_id", "_from"]).select("graph_id", "event_id", "cause", (F.col("cause") == F.col("_from")).cast("int").alias("_own"))
-        counts = sent.groupBy("graph_id", "event_id", "cause").agg(F.count("*").alias("n"), F.sum("_own").alias("_own"))
-        total = counts.groupBy("graph_id", "event_id").agg(F.sum("_own").alias("total"))  # every reached cause falls with itself
-        shared = counts.join(total, ["graph_id", "event_id"]).where("n = total AND cause <> event_id").select("graph_id", "cause", "event_id")
-        after = kept(start.unionByName(shared).unionByName(total.select("graph_id", F.col("event_id").alias("cause"), "event_id")), "fallen")
-        if after.count() == known.count() and after.join(known, ["graph_id", "cause", "event_id"], "left_anti").isEmpty():
-            break
-        known = after
-    lost = own.join(known, ["graph_id", "event_id"], "left_anti")
-    by_all = lost.join(own.select("graph_id", F.col("event_id").alias("cause")), "graph_id").select("graph_id", "cause", "event_id")
-    return known.join(own, ["graph_id", "event_id"], "left_semi").select("graph_id", "cause", "event_id").unionByName(by_all)
-
-
 def edge_measures(nodes: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
     """``measures`` (graph_id, cause, effect, pn, ps, pns, alt_root, effect_dead) of every edge between two nodes."""
     pairs = edges.where("cause_event_id <> effect_event_id").select("graph_id", F.col("cause_event_id").alias("cause"), F.col("effect_event_id").alias("effect")).distinct()

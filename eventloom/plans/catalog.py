@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import lexicons as lx
 from eventloom.functions import text as tx
-from eventloom.operators import analytics, anchor, calibrate, extract, graph, intervene, kbest, mapping, metrics, paths, relate, scenario
+from eventloom.operators import analytics, anchor, calibrate, dominators, extract, graph, intervene, kbest, mapping, metrics, paths, relate, scenario
 from eventloom.plans import graphs, lexical, reasoned
 from eventloom.plans.graphs import table
 from eventloom.sources.storage import kept
@@ -267,8 +267,8 @@ def _kept_geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def cascade_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events die with each region, nation, supplier and customer of each nation's graph, and the first of them."""
-    lost = intervene.fallen(*_kept_geo(spark, sf_dir))
-    return lost.groupBy("graph_id", "cause").agg(F.count("*").alias("n_dead"), F.min("event_id").alias("first_dead"))
+    nodes, edges = _kept_geo(spark, sf_dir)
+    return dominators.sizes(nodes, dominators.dominators(nodes, edges))
 
 
 def necessity_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,11 +521,11 @@ x AS (SELECT qs.g, id, o, k, k AS a, 'the ' || k || ' flood' AS b, q FROM qs JOI
 y AS (SELECT *, CASE WHEN contains(q, a) OR contains(q, b) OR contains(a, q) OR contains(b, q) THEN 3 WHEN greatest(len(list_intersect(list_distinct([a[i:i + 1] FOR i IN range(1, length(a))]), list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]))) / len(CASE WHEN length(a) <= length(q) THEN list_distinct([a[i:i + 1] FOR i IN range(1, length(a))]) ELSE list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]) END), len(list_intersect(list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]), list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]))) / len(CASE WHEN length(b) <= length(q) THEN list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]) ELSE list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]) END), CASE WHEN contains(q, 'k') THEN 1 ELSE 0 END) >= 0.5 THEN 2 ELSE 0 END AS s FROM x),
 z AS (SELECT *, max(s) OVER (PARTITION BY g, id) AS m FROM y WHERE s > 0)
 SELECT g AS graph_id, id AS query_id, k AS event_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY o) AS n FROM z WHERE s = m) WHERE n <= 3""",
-    "pack_answers": """WITH o AS (SELECT l_orderkey::VARCHAR AS g, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1),
-s AS (SELECT g, n, CASE WHEN n = 3 THEN 0.55 WHEN n <= 8 THEN 0.75 ELSE pow(pow(0.75, 7 - (n - 8)) * pow(0.55, n - 8), 1.0 / 7) END::DOUBLE AS sc, CASE WHEN n <= 3 THEN 1 WHEN n = 4 THEN 4 WHEN n = 5 THEN 6 WHEN n <= 14 THEN 7 ELSE 2 END AS k FROM o)
-SELECT g AS graph_id, 1::BIGINT AS q_ord, round(sc, 4)::DOUBLE AS confidence, CASE WHEN sc >= 0.6 THEN 'probable' ELSE 'possible' END AS confidence_level, k::BIGINT AS n_chains, 'D001,' || printf('D%03d', n) AS first_chain,
-  CASE WHEN n <= 8 AND n <> 3 THEN 0.40 WHEN round(sc, 4) >= 0.65 THEN 0.17 ELSE 0.26 END::DOUBLE AS submitted FROM s
-UNION ALL SELECT g, 2, 0.7::DOUBLE, 'probable', 1, 'D001,D002', 0.21::DOUBLE FROM s""",
+    "pack_answers": """WITH o AS (SELECT l_orderkey::VARCHAR AS g, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+s AS (SELECT g, n, CASE WHEN n = 1 THEN 0.36 WHEN n = 3 THEN 0.55 WHEN n <= 8 THEN 0.75 ELSE pow(pow(0.75, 7 - (n - 8)) * pow(0.55, n - 8), 1.0 / 7) END::DOUBLE AS sc, CASE WHEN n <= 3 THEN 1 WHEN n = 4 THEN 4 WHEN n = 5 THEN 6 WHEN n <= 14 THEN 7 ELSE 2 END AS k FROM o)
+SELECT g AS graph_id, 1::BIGINT AS q_ord, round(sc, 4)::DOUBLE AS confidence, CASE WHEN sc >= 0.6 THEN 'probable' ELSE 'possible' END AS confidence_level, k::BIGINT AS n_chains, CASE WHEN n = 1 THEN 'D001' ELSE 'D001,' || printf('D%03d', n) END AS first_chain,
+  CASE WHEN n = 1 THEN 0.26 WHEN n <= 8 AND n <> 3 THEN 0.40 WHEN round(sc, 4) >= 0.65 THEN 0.17 ELSE 0.26 END::DOUBLE AS submitted FROM s
+UNION ALL SELECT g, 2, CASE WHEN n = 1 THEN 0.3 ELSE 0.7 END::DOUBLE, CASE WHEN n = 1 THEN 'possible' ELSE 'probable' END, 1, CASE WHEN n = 1 THEN 'D001' ELSE 'D001,D002' END, CASE WHEN n = 1 THEN 0.2 ELSE 0.21 END::DOUBLE FROM s""",
     "level_calibration": f"""WITH s AS (SELECT o_orderkey, {_KIND} AS t, floor(o_totalprice / 5000) / 100 AS s FROM orders),
 p AS (SELECT *, CASE WHEN s >= 0.85 THEN 'certain' WHEN s >= 0.6 THEN 'probable' WHEN s >= 0.35 THEN 'possible' WHEN s > 0.05 THEN 'low' END AS plain FROM s)
 SELECT o_orderkey, plain, CASE WHEN t = 'single_hop' THEN CASE WHEN s >= 0.6 THEN 'certain' WHEN s >= 0.4 THEN 'probable' WHEN s >= 0.25 THEN 'possible' END

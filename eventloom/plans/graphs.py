@@ -80,11 +80,11 @@ def geo_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def order_packs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """A pack for each order of two lines or more: its lines as events D001, D002, …, and two questions."""
+    """A pack for each order that has lines: they are events D001, D002, …, and two questions."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).cast("long")
     many = F.count("*").over(Window.partitionBy("l_orderkey"))
-    events = lines.withColumn("node_ord", place).withColumn("n", many).where("n > 1")
+    events = lines.withColumn("node_ord", place).withColumn("n", many)
     nodes = events.select(
         F.col("l_orderkey").cast("string").alias("graph_id"), "node_ord", F.format_string("D%03d", F.col("node_ord")).alias("event_id"), F.lit("").alias("doc_id"), F.lit("供货").alias("event_type"), F.lit("供货").alias("trigger"),
         F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("mention"), F.array().cast(NONE).alias("arguments"), F.lit("").alias("time"), F.lit("").alias("location"), F.lit(0.9).alias("confidence"), "n",

@@ -71,7 +71,7 @@ ASKED = [
 
 
 def pack_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three questions about every order of two lines or more (others have no relation), the kinds in their turn."""
+    """Three questions about every order that has lines, the kinds in their turn; an order of one line has no relation to answer from."""
     g = graphs.order_packs(spark, sf_dir)
     sizes = g["nodes"].groupBy("graph_id").agg(F.max("node_ord").alias("n"))
     last = F.format_string("D%03d", F.col("n"))
@@ -181,17 +181,37 @@ _NUMBERS = {
 }
 
 
+#: What is said of a pack of one event, which has no relations: a careful statement where the answer would be none.
+_CAREFUL = f"'依据现有材料可作如下审慎判断：' || {_KNOWN} || '。受材料信息完整度限制，该结论置信度有限，如后续有官方调查结论或更完整记录，应以其为准。'"
+_LONE = dict.fromkeys(("two", "next", "ahead", "cause", "order", "soon", "long", "alone", "turned"), _CAREFUL) | {
+    "general": "'假设关键条件未发生，仅依赖该条件传导的下游事件发生概率将显著降低。以主线起点D001（供货）为例，其直接下游包括：（无下游事件）。但材料不足以断言全部后果绝对不会发生，存在其它起因的事件仍可能发生。'",
+    "amount": "'材料未提供支持精确量化的数据口径或测算依据，无法给出具体数值或精确的未来预测，只能作定性判断。现有材料可确认的相关事实为：' || m1 || '。精确数值需以官方统计或专项评估为准。'",
+}
+_LONE_NUMBERS = dict.fromkeys(("two", "next", "ahead", "cause", "turned"), ("possible", 0.36, "1", 0.07)) | {
+    "order": ("possible", 0.36, "1", 0.26), "soon": ("possible", 0.36, "1", 0.3), "long": ("possible", 0.36, "1", 0.3), "alone": ("possible", 0.3, "1", 0.2), "general": ("possible", 0.35, "0", 0.2), "amount": ("possible", 0.38, "0", -1),
+}
+
+
 def _case(values: dict[str, str], other: str | None = None) -> str:
     return "CASE k " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + (f" ELSE {other}" if other else "") + " END"
 
 
+def _by_size(lone: str, many: str) -> str:
+    return f"CASE WHEN n = 1 THEN {lone} ELSE {many} END"
+
+
+def _number(i: int, form: str) -> str:
+    of = lambda values: _case({k: form.format(v[i]) for k, v in values.items()})
+    return _by_size(of(_NUMBERS | _LONE_NUMBERS), of(_NUMBERS))
+
+
 ORACLE = {
     "line_answers": "WITH" + ",".join([_LINES, _BACK, _AHEAD, _TREE, _WHATIF, _REST]) + """, every AS (SELECT * FROM bk UNION ALL SELECT * FROM ah UNION ALL SELECT * FROM tr UNION ALL SELECT * FROM al UNION ALL SELECT * FROM pa UNION ALL SELECT * FROM no)
 SELECT g AS graph_id, query_id, md5(text) AS text_md5, evidence_chain, confidence::DOUBLE AS confidence, direction, target, n_chains::BIGINT AS n_chains, pn::DOUBLE AS pn, ps::DOUBLE AS ps, pns::DOUBLE AS pns, cascaded_ids, alive_ids FROM every""",
     "pack_branches": f"""WITH l AS (SELECT l_orderkey::VARCHAR AS g, l_orderkey AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS o, 'part ' || l_partkey AS m FROM lineitem),
-p AS (SELECT g, ok, count(*) AS n, max(m) FILTER (o = 1) AS m1, max(m) FILTER (o = 2) AS m2 FROM l GROUP BY g, ok HAVING count(*) > 1),
+p AS (SELECT g, ok, count(*) AS n, max(m) FILTER (o = 1) AS m1, max(m) FILTER (o = 2) AS m2 FROM l GROUP BY g, ok),
 a(q, k, qt) AS (VALUES {', '.join(f"({i}, '{k}', '{kind}')" for i, (k, kind, _, _) in enumerate(ASKED))}),
 x AS (SELECT p.*, a.* FROM p JOIN a ON a.q IN (ok % 21, (ok + 7) % 21, (ok + 14) % 21)),
-y AS (SELECT *, {_case(_TEXT)} AS text, {_case(_CHAINS, "[['D001']]")} AS ch, {_case({k: f"'{v[0]}'" for k, v in _NUMBERS.items()})} AS level, {_case({k: f'{v[1]}::DOUBLE' for k, v in _NUMBERS.items()})} AS score, {_case({k: v[2] for k, v in _NUMBERS.items()})} AS hops, {_case({k: f'{v[3]}::DOUBLE' for k, v in _NUMBERS.items()})} AS sent FROM x)
+y AS (SELECT *, {_by_size(_case(_LONE | {k: v for k, v in _TEXT.items() if k not in _LONE}), _case(_TEXT))} AS text, {_by_size("[['D001']]", _case(_CHAINS, "[['D001']]"))} AS ch, {_number(0, "'{}'")} AS level, {_number(1, '{}::DOUBLE')} AS score, {_number(2, '{}')} AS hops, {_number(3, '{}::DOUBLE')} AS sent FROM x)
 SELECT g AS graph_id, q::BIGINT AS q_ord, md5(text) AS text_md5, array_to_string([array_to_string(c, ',') FOR c IN ch], ';') AS chains, level, score AS confidence, hops::BIGINT AS hops, md5(CASE WHEN qt = 'unanswerable' THEN '无法确定' ELSE text END) AS sent_md5, CASE WHEN qt = 'unanswerable' THEN '' ELSE array_to_string(ch[1], ',') END AS sent_chain, sent AS sent_confidence FROM y""",
 }

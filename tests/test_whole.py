@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from eventloom.functions import lexicons as lx
-from eventloom.operators import intervene
+from eventloom.operators import dominators, intervene
 from eventloom.plans import catalog
 from eventloom.sources.storage import kept
 from helpers import alive, best, graph, random_graphs
@@ -56,7 +56,7 @@ def test_every_edge_and_cause_against_listed_pairs(spark):
     nodes, edges = kept(nodes, "nodes"), kept(edges, "edges")
     causes = nodes.select("graph_id", nodes.event_id.alias("cause"))
     dead = {(r.graph_id, r.cause, r.event_id) for r in intervene.dead(nodes, causes, intervene.alive(nodes, edges, causes)).collect()}
-    fallen = [(r.graph_id, r.cause, r.event_id) for r in intervene.fallen(nodes, edges).collect()]
+    fallen = [(r.graph_id, r.cause, r.event_id) for r in dominators.fallen(nodes, edges).collect()]
     assert len(fallen) == len(set(fallen)) and set(fallen) == dead
     got = {(r.graph_id, r.cause, r.effect): (round(r.pn, 6), round(r.ps, 6), r.effect_dead) for r in intervene.edge_measures(nodes, edges, 3).collect()}
     want = {}
