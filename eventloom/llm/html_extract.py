@@ -2,17 +2,21 @@
 
 Every text node has a root-to-leaf path of labels, an element's label being its tag with its class
 and id words. Per page and path the text length and the punctuation are summed and divided by the
-number of nodes on the path. Both ratios are smoothed along the page, averaged by path and fused
-into the path's score, which is cut by two features of the path: the share of its text that lies
-outside links, and whether a label names something that is no article (an advert, a notice, a
-sidebar, comments and the like; whole words only). Paths whose score reaches a share of the scores'
-standard deviation select the content nodes.
-
-The main text is what lies in the lowest element that holds all content nodes: its headings, short
-paragraphs, lists and tables too, as nothing of an article may be lost. That element grows to an
-article element around it, or to a container whose other parts read like the article as well: they
-hold more text outside links than inside; to the body only where it isn't divided. Inside it, what the path
-features mark as no article and what holds no content node but links in a list of its own is left out.
+number of nodes on the path. Both ratios are smoothed along the page and averaged by path, and fused
+into the path's score: punctuation (and a little, as texts may have none) times the square root of length, so
+that a path of long texts doesn't put one of short texts in the shade, times the share of the path's text that
+lies outside links; a path on which a label names something that is no article (an advert, a notice, a
+sidebar, comments and the like; whole words only) scores nothing. Paths whose score reaches a share of the
+scores' standard deviation select the content nodes.
+
+Where the page marks its article (an article element, else main), the main text is the one with a level-1
+heading and the most content, its lists, tables and short paragraphs too, as nothing of an article may be
+lost; articles beside it, and teasers in it, go. Elsewhere it is the lowest element that holds all content
+nodes and the title, and in that each part (a container or list) goes that holds neither content nor the title
+and doesn't stand right beside the title: there the scores decide what stays. Inside either, lists of links
+without content and what is marked as no article are left out. Readers' comments are also known by their
+form, whatever they are called: two or more like entries behind other text, without headings, which each
+begin with a short line that is no sentence but has a date, a time or a link.
 A name does not count for an element that holds a level-1 heading or every article element: such an
 element wraps the article, however it is called.
 
@@ -56,21 +60,32 @@ CLOSES_P = frozenset("address article aside blockquote center details div dl fie
 #: What an element ends among its open kind, and what of its open surroundings it doesn't look behind.
 SIBLING = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 #: Words that name no article, and words that may stand beside them in one class or id, as in "cookie-banner".
-NOISE = frozenset("ad ads advert adverts advertisement advertisements adslot adsense banner sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices alert modal popup newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead footer comment comments commentlist replies respond disqus contentinfo complementary".split())
-BESIDE = frozenset("list box bar area block wrapper wrap container item items form button buttons links link section slot unit text body site page global top bottom left right main thread count title header footer side article post posts story stories primary secondary inner outer content".split())
+NOISE = frozenset("ad ads advert adverts advertisement advertisements adslot adsense banner sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices alert modal popup newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead footer comment comments commentlist replies respond disqus contentinfo complementary discussion discussions opinions reply feedback talkback guestbook disclaimer disclaimers teaser teasers outbrain taboola".split())
+BESIDE = frozenset("list box bar area block wrapper wrap container item items form button buttons links link section slot unit text body site page global top bottom left right main thread count title header footer side article post posts story stories primary secondary inner outer content reader readers user users visitor visitors your our more latest popular most also legal".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¡¿]")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may each hold one comment, and what the first line of one may show.
+ENTRY = frozenset("div li article section dd tr".split())
+STAMP = re.compile(r"\d{1,4}[-./:]\d{1,2}|\b(?:19|20)\d\d\b|\b\d+\s?(?:s|m|h|d|min|hours?|days?|weeks?|months?|years?)\b|#\d+")
+BYLINE = 80
+#: Parts of a page that are dropped where they hold neither content nor the title.
+PART = CONTAINER | {"ul", "ol", "dl", "form", "fieldset"}
+#: Counts as punctuation of every path.
+UNMARKED = 0.05
 SMOOTH = np.array([0.05, 0.25, 0.4, 0.25, 0.05])  # a bell over five nodes
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "skipped", "path", "linked", "opaque", "noise", "named", "kept", "plain", "links", "heads", "articles", "content")
+    __slots__ = ("tag", "parent", "skipped", "path", "linked", "opaque", "noise", "named", "kept", "plain", "links", "heads", "articles", "content", "titles", "times", "first", "final", "own_title", "score")
 
     def __init__(self, tag: str, parent: "_Element | None", skipped: bool, path: int, named: bool = False):
         self.tag, self.parent, self.skipped, self.path, self.named = tag, parent, skipped, path, named
         self.linked = tag == "a" or bool(parent and parent.linked)
         self.opaque = tag in OPAQUE or bool(parent and parent.opaque)
         self.noise = self.kept = False
-        self.plain = self.links = self.heads = self.articles = self.content = 0  # of all below
+        self.plain = self.links = self.heads = self.articles = self.content = self.titles = self.times = 0  # of all below
+        self.score = 0.0
+        self.first, self.final, self.own_title = 1 << 60, -1, False  # blocks of the first and the last text; whether a level-1 heading is a child
 
 
 def no_article(words: str) -> bool:
@@ -257,7 +272,7 @@ def path_scores(of: np.ndarray, length: np.ndarray, marks: np.ndarray, linked: n
         return np.bincount(of, sum(w * padded[i : i + len(ratio)] for i, w in enumerate(SMOOTH))) / count
 
     outside = np.bincount(of, length * ~linked) / np.maximum(np.bincount(of, length), 1)
-    return smoothed(length) * (1 + smoothed(marks)) * outside * (np.bincount(of, noise) == 0)
+    return np.sqrt(smoothed(length)) * (UNMARKED + smoothed(marks)) * outside * (np.bincount(of, noise) == 0)
 
 
 def content_paths(scores: np.ndarray, share: float = 0.5) -> np.ndarray:
@@ -267,20 +282,25 @@ def content_paths(scores: np.ndarray, share: float = 0.5) -> np.ndarray:
 
 def _measured(nodes: list[tuple[int, _Element, str]], every: list[_Element]) -> None:
     """Fills what is below each element, and which elements name no article."""
-    for _, e, raw in nodes:
+    for block, e, raw in nodes:
         if e.linked:
             e.links += len(raw)
         else:
             e.plain += len(raw)
+        e.first, e.final = min(e.first, block), max(e.final, block)
     articles = 0
     for e in reversed(every[1:]):  # children come after their parents
         if not e.skipped:
             e.heads += e.tag == "h1"
+            e.parent.own_title |= e.tag == "h1"
+            e.titles += e.tag in HEADINGS
+            e.times += e.tag == "time"
             own = e.tag in ("article", "main") and not e.named
             e.articles += own
             articles += own
         up = e.parent
         up.plain, up.links, up.heads, up.articles = up.plain + e.plain, up.links + e.links, up.heads + e.heads, up.articles + e.articles
+        up.titles, up.times, up.first, up.final = up.titles + e.titles, up.times + e.times, min(up.first, e.first), max(up.final, e.final)
     for e in every[1:]:
         wraps = e.heads > 0 or (articles and e.articles == articles)
         e.noise = e.parent.noise or (e.named and not wraps)
@@ -304,20 +324,46 @@ def _region(content: list[_Element]) -> _Element:
     return chain[at]
 
 
-def _grown(region: _Element, children: dict[int, list[_Element]]) -> _Element:
-    """``region``, or what around it reads like the article too."""
-    e = region
-    while e.parent:
-        if e.tag in ("article", "main") and not e.noise:
-            return e
-        e = e.parent
-    while up := region.parent:
-        others = [c for c in children.get(id(up), ()) if c is not region and not c.noise and not c.skipped and c.plain + c.links]
-        flat = up.tag in ("", "html", "body")  # holds more than the article, unless it has no parts
-        if any(c.links > c.plain or (flat and c.tag in CONTAINER) for c in others):
-            break
-        region = up
-    return region
+def _replies(nodes: list[tuple[int, _Element, str]], every: list[_Element], children: dict[int, list[_Element]]) -> None:
+    """Marks what looks like readers' comments, whatever it is called: two or more like entries in a row behind other
+    text, without headings, that each begin with a short line that is dated, timed or linked and no sentence."""
+    lines: dict[int, list] = {}  # of each block: text, whether it holds a link
+    for block, e, raw in nodes:
+        line = lines.setdefault(block, ["", False])
+        if len(line[0]) <= BYLINE:
+            line[0] += raw
+        line[1] |= e.linked
+    begins = min(lines, default=0)
+
+    def entry(e: _Element) -> bool:
+        if e.titles or e.final <= e.first:
+            return False
+        text, linked = lines[e.first]
+        text = text.strip()
+        return 0 < len(text) <= BYLINE and text[-1] not in ".!?。！？" and bool(linked or e.times or STAMP.search(text))
+
+    for up in every:
+        own = [c for c in children.get(id(up), ()) if c.tag in ENTRY and not c.skipped and not c.noise and c.plain + c.links]
+        if len(own) < 2 or up.own_title:
+            continue
+        kinds: dict[int, list[_Element]] = {}
+        for c in own:
+            kinds.setdefault(c.path, []).append(c)
+        for same in kinds.values():
+            if len(same) >= 2 and same[0].first > begins and sum(map(entry, same)) * 10 >= 7 * len(same):
+                for c in same:
+                    c.noise = True
+    for e in every[1:]:
+        e.noise = e.noise or e.parent.noise
+
+
+def _article(every: list[_Element]) -> _Element | None:
+    """The page's article, or else main element: that with a level-1 heading and the most of the content, None if there is none."""
+    for tag in ("article", "main"):
+        found = [e for e in every if e.tag == tag and not e.noise and not e.skipped and (e.content or e.heads)]
+        if found:
+            return max(found, key=lambda e: (e.heads > 0, e.score, -e.first))
+    return None
 
 
 def main_text(html: str | None) -> str:
@@ -326,25 +372,37 @@ def main_text(html: str | None) -> str:
     if not nodes:
         return ""
     _measured(nodes, every)
+    children: dict[int, list[_Element]] = {}
+    for e in every[1:]:
+        children.setdefault(id(e.parent), []).append(e)
+    _replies(nodes, every, children)
     of = np.unique([e.path for _, e, _ in nodes], return_inverse=True)[1]
     flags = [np.array(x, bool) for x in ([e.linked for _, e, _ in nodes], [e.noise for _, e, _ in nodes])]
     scores = path_scores(of, np.array([len(raw) for *_, raw in nodes], float), np.array([len(PUNCTUATION.findall(raw)) for *_, raw in nodes], float), *flags)
-    good = content_paths(scores)[of]
-    content = [e for (_, e, _), g in zip(nodes, good, strict=True) if g]
-    if not content:
+    good = content_paths(scores)[of] & ~flags[1]
+    content = []
+    for (_, e, raw), g, score in zip(nodes, good, scores[of], strict=True):
+        if g:
+            content.append(e)
+            e.content += 1
+            e.score += float(score) * np.log1p(len(raw))
+    titles = [e for e in every if e.tag == "h1" and not e.noise and not e.skipped and e.plain + e.links]
+    if not content and not titles:
         return ""
-    for e in content:
-        e.content += 1
-    children: dict[int, list[_Element]] = {}
     for e in reversed(every[1:]):
         e.parent.content += e.content
-    for e in every[1:]:
-        children.setdefault(id(e.parent), []).append(e)
-    region = _grown(_region(content), children)
+        e.parent.score += e.score
+    region = _article(every)
+    loose = region is None  # no element says where the article is: parts without content or title don't belong to it
+    if loose:
+        region = _region(content + titles[:1])
     parts: dict[int, list[str]] = {}
     for e in every:
+        up = e.parent
         listed = e.tag in ("ul", "ol", "div", "section", "table") and e.links > 2 * e.plain
-        e.kept = e is region or bool(e.parent and e.parent.kept and (e.content or not (e.noise or listed)))
+        apart = loose and e.tag in PART and not e.heads and not (up and up.own_title)
+        other = e.tag == "article" and e is not region and not e.heads and bool(up and up.kept) and (region.tag == "article" or e.titles > 0 and e.links > 0)
+        e.kept = e is region or bool(up and up.kept and not other and (e.content or not (e.noise or listed or apart)))
     for block, e, raw in nodes:
         if e.kept:
             parts.setdefault(block, []).append(raw)
