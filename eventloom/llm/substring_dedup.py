@@ -15,8 +15,10 @@ that shards stay small and each text streams through the one shard that can matc
    texts stream through it, and the occurrences of each match of ``size`` words or more tell which
    windows are repeated. A task makes one automaton of several anchors, up to ``SHARD`` words.
 4. An anchor with more than ``TEXTS`` distinct texts (the edge of a passage that very many documents
-   share) would make a shard large: its windows are dealt out again by their first and last grams
-   beside the anchor, equal ones are counted as one, and each such group is a shard like any other.
+   share, or a form with one varying word) would make a shard large: its windows are dealt out again by all their
+   grams beside the anchor, from the first word to the last, and equal ones are counted as one. Windows that differ in
+   any word part there, so such a shard holds one distinct window, however many documents share the rest of it. Shards of
+   step 3 hold at most ``TEXTS`` texts of at most 3 * size words. So no automaton exceeds ``SHARD`` words and one shard.
 5. The repeated spans are gathered by document and the texts rewritten.
 
 Whether words go is decided by automata on words alone. Hashes bring together what may be equal: two
@@ -211,9 +213,9 @@ def _run_texts(wanted: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(run, f"_k {kind}, _h long, start int, n int, anchor long, d1 long, d2 long, words binary")
 
 
-def _windows(texts: DataFrame, size: int, gram: int) -> DataFrame:
+def _windows(texts: DataFrame, size: int) -> DataFrame:
     """(shard, d1, d2, words, times, anchor, t1, t2, at) of every window of rows (anchor, d1, d2, words, times), whose
-    digest is (t1, t2) now; a shard is what agrees in anchor, first gram and last gram."""
+    digest is (t1, t2) now; a shard is what agrees in the anchor and in every gram, so in every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,10 +224,9 @@ def _windows(texts: DataFrame, size: int, gram: int) -> DataFrame:
                 for anchor, t1, t2, text, times in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns), strict=True):
                     words = text.split(b" ")
                     for at in range(len(words) - size + 1):
-                        window = words[at : at + size]
-                        ends = b" ".join(window[:gram] + window[-gram:])
-                        joined = b" ".join(window)
-                        out.append((text_digest(b"%d %b" % (anchor, ends))[0], *text_digest(joined), joined, times, anchor, t1, t2, at))
+                        joined = b" ".join(words[at : at + size])
+                        d1, d2 = text_digest(joined)
+                        out.append((anchor ^ d2, d1, d2, joined, times, anchor, t1, t2, at))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
                 columns = zip(*out, strict=True) if out else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "d1", "d2", "words", "times", "anchor", "t1", "t2", "at"])
@@ -233,16 +234,27 @@ def _windows(texts: DataFrame, size: int, gram: int) -> DataFrame:
     return texts.select("anchor", "d1", "d2", "words", "times").mapInArrow(run, "shard long, d1 long, d2 long, words binary, times long, anchor long, t1 long, t2 long, at int")
 
 
+def together(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows (shard, …, words) that come by shard, as lists for one automaton each: whole shards, one more until ``SHARD`` words are reached."""
+    held: list[tuple] = []
+    total = 0
+    for row in rows:
+        if total >= SHARD and row[0] != held[-1][0]:
+            yield held
+            held, total = [], 0
+        held.append(row)
+        total += len(row[-1])
+    if held:
+        yield held
+
+
 def _judged(texts: DataFrame, size: int) -> DataFrame:
     """(shard, d1, d2, mask binary): which windows of the distinct texts (shard, d1, d2, words, times) are repeated, by
     automata of shards; texts without one have no row."""
     dealt = texts.select("shard", "d1", "d2", "times", "words").repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        total = 0
-
-        def judged() -> pa.RecordBatch:
+        def judged(held: list[tuple]) -> pa.RecordBatch:
             automaton = SuffixAutomaton()
             for *_, times, words in held:
                 automaton.add(words, times)
@@ -251,16 +263,9 @@ def _judged(texts: DataFrame, size: int) -> DataFrame:
             columns = zip(*found, strict=True) if found else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "d1", "d2", "mask"])
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                for shard, d1, d2, times, words in zip(*(c.to_pylist() for c in batch.slice(start, 2000).columns), strict=True):
-                    if total >= SHARD and shard != held[-1][0]:
-                        yield judged()
-                        held, total = [], 0
-                    held.append((shard, d1, d2, times, words.split(b" ")))
-                    total += len(held[-1][-1])
-        if held:
-            yield judged()
+        pieces = (batch.slice(start, 2000) for batch in batches for start in range(0, batch.num_rows, 2000))
+        rows = ((shard, d1, d2, times, words.split(b" ")) for piece in pieces for shard, d1, d2, times, words in zip(*(c.to_pylist() for c in piece.columns), strict=True))
+        yield from map(judged, together(rows))
 
     return dealt.mapInArrow(run, "shard long, d1 long, d2 long, mask binary")
 
@@ -299,7 +304,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key: str
     wide = kept(distinct.groupBy("shard").agg(F.count("*").alias("of")).where(F.col("of") > TEXTS).select("shard"), "substring-wide")
     apart, few = _told_apart(distinct, "substring-clashes"), small_or_shuffled(wide, wide.count(), MOST_BROADCAST)
     plain = _judged(apart.join(few, "shard", "left_anti"), size).withColumnRenamed("shard", "anchor")
-    windows = _windows(apart.join(few, "shard", "left_semi").withColumnRenamed("shard", "anchor"), size, gram)
+    windows = _windows(apart.join(few, "shard", "left_semi").withColumnRenamed("shard", "anchor"), size)
     pieces = kept(windows.groupBy("shard", "d1", "d2", "words").agg(F.sum("times").alias("times")), "substring-pieces")
     again = kept(_judged(_told_apart(pieces, "substring-piece-clashes"), size).select("shard", "d1", "d2"), "substring-again")
     ats = windows.select("shard", "d1", "d2", "anchor", "t1", "t2", "at").join(again, ["shard", "d1", "d2"]).groupBy("anchor", F.col("t1").alias("d1"), F.col("t2").alias("d2")).agg(F.collect_set("at").alias("ats"))

@@ -298,3 +298,38 @@ def test_deviations_are_exact_at_any_size():
     want = [sum((3 * int(v) - s) ** 2 for v, s in zip(row, sums, strict=True)) for row in x]
     assert list(map(int, whitening._squares(np.array([[0.5, -0.25], [2.0**50, -(2.0**49)]]), 3, sums))) == want
     assert list(map(int, whitening._squares(np.array([[0.5, -0.25]]), 3, sums))) == want[:1]
+
+
+# --- substring dedup of forms -----------------------------------------------------------------
+
+
+def test_windows_of_a_form_with_one_varying_word_are_dealt_out_apart(spark):
+    """50,000 forms of 30 fixed words, a name and 30 fixed words: no shard holds more than one distinct window."""
+    from eventloom.llm import substring_dedup as sd
+
+    head, tail = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    forms = spark.range(50_000).select(F.lit(5).cast("long").alias("anchor"), F.col("id").alias("d1"), F.col("id").alias("d2"), F.concat(F.lit(f"{head} n"), F.col("id"), F.lit(f" {tail}")).cast("binary").alias("words"), F.lit(1).cast("long").alias("times"))
+    shards = sd._windows(forms, 35).groupBy("shard").agg(F.count_distinct("words").alias("n")).groupBy("n").count().collect()
+    assert [(r["n"], r["count"]) for r in shards] == [(1, 50_000 * 27)]
+
+
+def test_an_automaton_holds_a_bound_of_words_and_one_shard():
+    from eventloom.llm import substring_dedup as sd
+
+    rng = random.Random(1)
+    rows = [(shard, ["w"] * 62) for shard in range(3000) for _ in range(rng.randrange(1, sd.TEXTS + 1))]
+    held = list(sd.together(iter(rows)))
+    assert [r for h in held for r in h] == rows and max(sum(len(r[-1]) for r in h) for h in held) <= sd.SHARD + sd.TEXTS * 62
+    assert all(a[-1][0] != b[0][0] for a, b in zip(held, held[1:], strict=False)) and not list(sd.together(iter([])))
+
+
+def test_substring_dedup_of_forms(spark):
+    from eventloom.llm import substring_dedup as sd
+
+    rng = random.Random(2)
+    head, tail = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    names = [f"n{rng.randrange(300)}" for _ in range(400)]
+    texts = [" ".join([*head, name, *tail, f"own{i}"]) for i, name in enumerate(names)]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in sd.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    shared = {n for n, c in collections.Counter(names).items() if c > 1}
+    assert got == {i: ((61, f"own{i}") if n in shared else (0, t)) for i, (n, t) in enumerate(zip(names, texts, strict=True))}
