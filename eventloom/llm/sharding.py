@@ -50,8 +50,8 @@ FANOUT = 1 << FANOUT_BITS
 #: Candidates for one hypergeometric number.
 TRIES = 64
 #: Rows of a shard that are sorted together, on average.
-BUCKET = 1000
-MOST_PARTS, MOST_BUCKETS = 200_000, 1_000_000
+BUCKET = 250
+MOST_PARTS, MOST_BUCKETS = 200_000, 200_000
 #: The hat's width is WIDE times the deviation plus MORE: twice the roots of 2/e, and three less twice that of 3/e.
 WIDE, MORE = 2 * math.sqrt(2 / math.e), 3 - 2 * math.sqrt(3 / math.e)
 
