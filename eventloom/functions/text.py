@@ -81,9 +81,9 @@ def gram_overlap(a: Column, b: Column, n: int = 2) -> Column:
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     first = F.length(a) <= F.length(b)
     short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
-    own = grams(short, n)
-    shared = F.size(F.array_intersect(own, grams(long, n))) / F.size(own)
-    return F.when(F.length(short) == 0, 0.0).when(F.length(short) < n, F.contains(long, short).cast("double")).otherwise(shared.cast("double"))
+    both = F.struct(grams(short, n).alias("own"), grams(long, n).alias("other"))  # each made once
+    shared = F.get(F.transform(F.array(both), lambda g: (F.size(F.array_intersect(g["own"], g["other"])) / F.size(g["own"])).cast("double")), F.lit(0))
+    return F.when(F.length(short) == 0, 0.0).when(F.length(short) < n, F.contains(long, short).cast("double")).otherwise(shared)
 
 
 def ids_in(text: Column, prefix: str = "D", digits: str = "{3,4}") -> Column:

@@ -306,6 +306,15 @@ def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor.mentioned(nodes, asked, 3).select("graph_id", "query_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
+def event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question about each event, anchored among all events of its user; every third names one that isn't there."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("graph_id"), "event_id", "event_type")
+    nodes = e.select("graph_id", F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("node_ord"), F.lit("").alias("trigger"), F.concat_ws(" ", "event_type", "event_id").alias("mention"), F.lit("").alias("event_type"))
+    words = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), "event_id", F.lit("y "), F.left("event_type", F.lit(4)), F.lit("?"))).otherwise(F.concat(F.lit("why "), "event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit("?")))
+    found = anchor.mentioned(nodes, e.select("graph_id", F.col("event_id").alias("query_id"), words.alias("question")), 4)
+    return found.select("graph_id", "query_id", "event_id", F.col("place").cast("long").alias("place"))
+
+
 def causal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracing, deduction and counterfactual questions about each nation, answered in text."""
     from eventloom.operators import answer
@@ -387,7 +396,7 @@ QUERIES = {
         sentence_split_offsets, simple_sentences, first_trigger, extract_dates, rule_extraction, map_types, map_roles, id_extract, distractor_filter, cue_evidence, ngram_overlap,
         narrative_pairs, node_merge, edge_dangling, edge_dedup, edge_conflict, clean_graph, graph_metadata, degrees_roots_leaves, graph_stats, view_nodes, pagerank_k, pagerank_converged,
         best_paths_k, cause_chains, effect_chains, topk_paths, geom_paths, best_paths_5, topk_paths_5, geom_paths_7, root_chains, noisy_or, path_probability,
-        cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, causal_answers, pack_answers,
+        cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, event_mentions, causal_answers, pack_answers,
         level_calibration, confidence_calibration, micro_prf, token_f1, answer_report,
     )
 } | SAME | lexical.QUERIES | reasoned.QUERIES
@@ -521,6 +530,11 @@ x AS (SELECT qs.g, id, o, k, k AS a, 'the ' || k || ' flood' AS b, q FROM qs JOI
 y AS (SELECT *, CASE WHEN contains(q, a) OR contains(q, b) OR contains(a, q) OR contains(b, q) THEN 3 WHEN greatest(len(list_intersect(list_distinct([a[i:i + 1] FOR i IN range(1, length(a))]), list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]))) / len(CASE WHEN length(a) <= length(q) THEN list_distinct([a[i:i + 1] FOR i IN range(1, length(a))]) ELSE list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]) END), len(list_intersect(list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]), list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]))) / len(CASE WHEN length(b) <= length(q) THEN list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]) ELSE list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]) END), CASE WHEN contains(q, 'k') THEN 1 ELSE 0 END) >= 0.5 THEN 2 ELSE 0 END AS s FROM x),
 z AS (SELECT *, max(s) OVER (PARTITION BY g, id) AS m FROM y WHERE s > 0)
 SELECT g AS graph_id, id AS query_id, k AS event_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY o) AS n FROM z WHERE s = m) WHERE n <= 3""",
+    "event_mentions": """WITH e AS (SELECT user_id::VARCHAR AS g, event_id AS id, event_type || ' ' || event_id AS b, CASE WHEN event_id % 3 = 0 THEN 'x' || event_id || 'y ' || event_type[1:4] || '?' ELSE 'why ' || event_type || ' ' || event_id || '?' END AS q FROM events),
+w AS (SELECT *, list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]) AS bg, list_distinct([q[i:i + 1] FOR i IN range(1, length(q))]) AS qg FROM e),
+y AS (SELECT q.g, q.id, n.id AS node, CASE WHEN contains(q.q, n.b) OR contains(n.b, q.q) THEN 3 WHEN len(list_intersect(n.bg, q.qg)) / len(CASE WHEN length(n.b) <= length(q.q) THEN n.bg ELSE q.qg END) >= 0.5 THEN 2 ELSE 0 END AS s FROM w q JOIN w n ON q.g = n.g),
+z AS (SELECT *, max(s) OVER (PARTITION BY g, id) AS m FROM y WHERE s > 0)
+SELECT g AS graph_id, id AS query_id, node::VARCHAR AS event_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY node) AS n FROM z WHERE s = m) WHERE n <= 4""",
     "pack_answers": """WITH o AS (SELECT l_orderkey::VARCHAR AS g, count(*) AS n FROM lineitem GROUP BY l_orderkey),
 s AS (SELECT g, n, CASE WHEN n = 1 THEN 0.36 WHEN n = 3 THEN 0.55 WHEN n <= 8 THEN 0.75 ELSE pow(pow(0.75, 7 - (n - 8)) * pow(0.55, n - 8), 1.0 / 7) END::DOUBLE AS sc, CASE WHEN n <= 3 THEN 1 WHEN n = 4 THEN 4 WHEN n = 5 THEN 6 WHEN n <= 14 THEN 7 ELSE 2 END AS k FROM o)
 SELECT g AS graph_id, 1::BIGINT AS q_ord, round(sc, 4)::DOUBLE AS confidence, CASE WHEN sc >= 0.6 THEN 'probable' ELSE 'possible' END AS confidence_level, k::BIGINT AS n_chains, CASE WHEN n = 1 THEN 'D001' ELSE 'D001,' || printf('D%03d', n) END AS first_chain,
