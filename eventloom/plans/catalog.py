@@ -500,6 +500,15 @@ r{i} AS (SELECT r.g, r.k, n, 0.85 * (coalesce(x, 0) + (sum(r) OVER (PARTITION BY
         for i in (1, 2, 3)
     )
     + " SELECT g AS graph_id, k AS event_id, round(r, 6)::DOUBLE AS rank FROM r3",
+    "pagerank_converged": f"""WITH RECURSIVE {_TYPE}, n AS (SELECT g, list(k ORDER BY o) AS ks, count(*) AS n FROM tn GROUP BY g),
+w AS (SELECT g, s, t, c / sum(c) OVER (PARTITION BY g, s) AS w FROM ce WHERE c > 0),
+l AS (SELECT w.g, list({{'s': list_position(ks, s), 't': list_position(ks, t), 'w': w}} ORDER BY s, t) AS es FROM w JOIN n ON w.g = n.g GROUP BY w.g),
+p AS (SELECT n.g, ks, n, coalesce(es, []) AS es, [i FOR i IN range(1, n + 1) IF NOT list_contains([e.s FOR e IN coalesce(es, [])], i)] AS ends FROM n LEFT JOIN l ON n.g = l.g),
+pr AS (SELECT g, 0 AS step, [1.0::DOUBLE / n FOR i IN range(1, n + 1)] AS x, 1e9::DOUBLE AS moved FROM p
+  UNION ALL SELECT g, step + 1, y, list_sum([abs(y[i] - x[i]) FOR i IN range(1, n + 1)])
+  FROM (SELECT pr.g, step, x, p.n, [0.85 * (coalesce(list_sum([x[e.s] * e.w FOR e IN es IF e.t = i]), 0) + coalesce(list_sum([x[j] FOR j IN ends]), 0) / p.n) + 0.15 / p.n FOR i IN range(1, p.n + 1)] AS y FROM pr JOIN p ON pr.g = p.g WHERE step < 100 AND moved >= p.n * 1e-6)),
+f AS (SELECT g, arg_max(x, step) AS x FROM pr GROUP BY g), q AS (SELECT f.g, unnest(ks) AS k, unnest(x) AS v, unnest(range(1, n + 1)) AS o FROM f JOIN p ON f.g = p.g)
+SELECT g AS graph_id, k AS event_id, row_number() OVER (PARTITION BY g ORDER BY v DESC, o) AS place, round(v, 4) AS rank FROM q QUALIFY place <= 3""",
     "best_paths_k": f"WITH RECURSIVE {_USER} SELECT g AS graph_id, s AS src, t AS dst, array_to_string(rids, ',') AS rids, round(p, 6) AS p, hops::BIGINT AS hops FROM ub",
     "cause_chains": _ranked_chains("t", "s", "substr(s, 2)::BIGINT", "cause"),
     "effect_chains": _ranked_chains("s", "t", "substr(t, 2)::BIGINT", "effect"),
