@@ -41,6 +41,17 @@ def _best(level: DataFrame) -> DataFrame:
     return level.groupBy(*KEYS).agg(pick).select(*KEYS, F.col("b.path").alias("path"), F.col("b.rids").alias("rids"), F.col("b.ords").alias("ords"), (-F.col("b.m")).alias("p"), F.col("b.hops").alias("hops"))
 
 
+def _distance(adj: DataFrame, hops: int, targets: DataFrame) -> DataFrame:
+    """(graph_id, dst, _need): how many edges, fewer than ``hops``, a node has to go to the nearest target; written."""
+    ends = targets.select("graph_id", F.col("event_id").alias("dst")).distinct()
+    back = adj.select("graph_id", F.col("src").alias("_from"), "dst").distinct()
+    front, fronts = ends, [ends.withColumn("_need", F.lit(0))]
+    for need in range(1, hops):
+        front = front.join(back, ["graph_id", "dst"]).select("graph_id", F.col("_from").alias("dst")).distinct()
+        fronts.append(front.withColumn("_need", F.lit(need)))
+    return kept(reduce(DataFrame.unionByName, fronts).groupBy("graph_id", "dst").agg(F.min("_need").alias("_need")), "target-distance")
+
+
 def all_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(graph_id, src, dst, path, rids, ords, p, hops): every simple path of up to ``hops`` edges; with
     ``targets`` (graph_id, event_id) those that end there, and none goes on that can't reach one in time."""
@@ -51,13 +62,7 @@ def all_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None, targe
             level = _next(level, adj)
             out = out.unionByName(level)
         return out
-    ends = targets.select("graph_id", F.col("event_id").alias("dst")).distinct()
-    back = adj.select("graph_id", F.col("src").alias("_from"), "dst").distinct()
-    front, fronts = ends, [ends.withColumn("_need", F.lit(0))]
-    for need in range(1, hops):
-        front = front.join(back, ["graph_id", "dst"]).select("graph_id", F.col("_from").alias("dst")).distinct()
-        fronts.append(front.withColumn("_need", F.lit(need)))
-    far = kept(reduce(DataFrame.unionByName, fronts).groupBy("graph_id", "dst").agg(F.min("_need").alias("_need")), "target-distance")
+    far = _distance(adj, hops, targets)
     in_time = lambda df, used: df.join(far, ["graph_id", "dst"]).where(F.col("_need") <= hops - used)
     level = in_time(level, 1)
     out = level.where("_need = 0").drop("_need")
@@ -67,13 +72,18 @@ def all_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None, targe
     return out
 
 
-def best_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None) -> DataFrame:
-    """The same columns: the likeliest path of each (source, target), of equals the first depth-first."""
-    level = _best(_start(adj, sources))
+def best_paths(adj: DataFrame, hops: int, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """The same columns: the likeliest path of each (source, target), of equals the first depth-first; with
+    ``targets`` those that end there, by paths that can reach one in time."""
+    far = None if targets is None else _distance(adj, hops, targets)
+    in_time = lambda df, used: df if far is None else df.join(far.where(F.col("_need") <= hops - used), ["graph_id", "dst"], "left_semi")
+    level = _best(in_time(_start(adj, sources), 1))
     out = level
-    for _ in range(hops - 1):
-        level = _best(_next(level, adj))
+    for used in range(2, hops + 1):
+        level = _best(in_time(_next(level, adj), used))
         out = out.unionByName(level)
+    if targets is not None:
+        out = out.join(targets.select("graph_id", F.col("event_id").alias("dst")).distinct(), ["graph_id", "dst"], "left_semi")
     return _best(out)
 
 
