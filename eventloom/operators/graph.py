@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.numbers import edge_confidence
+from eventloom.operators import numbering
 
 FILLED = ["trigger", "event_type", "time", "location"]
 ENDS = ["cause_event_id", "effect_event_id"]
@@ -72,8 +73,8 @@ def no_weaker_reverse(edges: DataFrame) -> DataFrame:
 def clean_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Dangling ends, loops, repeats and weaker reverses go; empty relation ids are filled by position."""
     kept = no_weaker_reverse(strongest(existing(relations, nodes)))
-    number = F.row_number().over(Window.partitionBy("graph_id").orderBy("edge_ord"))
-    return kept.withColumn("relation_id", F.when(F.coalesce("relation_id", F.lit("")) == "", F.format_string("R%03d", number)).otherwise(F.col("relation_id")))
+    placed = numbering.placed(kept, "graph_id", ["edge_ord"], "_place", numbering.large(relations, "graph_id"))
+    return placed.withColumn("relation_id", F.when(F.coalesce("relation_id", F.lit("")) == "", F.format_string("R%03d", F.col("_place"))).otherwise(F.col("relation_id"))).drop("_place")
 
 
 def build(events: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

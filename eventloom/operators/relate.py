@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import lexicons as lx
 from eventloom.functions import text as tx
 from eventloom.functions.numbers import exact_round
+from eventloom.operators import numbering
 
 EDGE = ["graph_id", "edge_ord", "relation_id", "cause_event_id", "effect_event_id", "relation_type", "evidence", "confidence", "time_lag"]
 
@@ -37,10 +38,10 @@ def cue_sentence(effect_text: Column, cause_type: Column, cause_trigger: Column,
     return F.try_element_at(F.filter(sentences, lambda s: tx.any_of(s, cues or lx.CAUSAL_CUES) & named(s)), F.lit(1))
 
 
-def narrative(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``pos``, their place by the digits that end the id, then by node_ord."""
-    order = Window.partitionBy("graph_id").orderBy(tx.trailing_number(F.col("event_id")), "node_ord")
-    return nodes.withColumn("pos", F.row_number().over(order))
+def narrative(nodes: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """``nodes`` with ``pos``, their place by the digits that end the id, then by node_ord; ``large`` graphs are numbered by ranges."""
+    dated = nodes.withColumn("_digits", tx.trailing_number(F.col("event_id")))
+    return numbering.placed(dated, "graph_id", ["_digits", "node_ord"], "pos", large).drop("_digits")
 
 
 def _arrow(*, types: bool = True) -> Column:
@@ -48,28 +49,27 @@ def _arrow(*, types: bool = True) -> Column:
     return F.concat(named("a"), F.lit(" → "), named("b")) if types else F.concat(F.col("a.event_id").cast("string"), F.lit(" → "), F.col("b.event_id").cast("string"))
 
 
-def pairs(nodes: DataFrame, reach: int = 3) -> DataFrame:
+def pairs(nodes: DataFrame, reach: int = 3, large: DataFrame | None = None) -> DataFrame:
     """(graph_id, a, b, distance): main events and those up to ``reach`` places on. Places count distractors.
 
-    One window by graph serves the numbering and the look ahead, so there is one shuffle.
+    One shuffle by graph serves the numbering and the look ahead; ``large`` graphs are numbered by ranges and looked
+    ahead in by blocks with a few rows of the next.
     """
     own = F.struct("event_id", "event_type", "trigger", "mention", "skipped")
     skipped = is_distractor(F.col("event_type"), F.col("mention")) | is_noncausal(F.col("event_type"), F.col("mention"))
-    order = Window.partitionBy("graph_id").orderBy("pos")
-    ahead = [F.struct(F.lit(d).alias("distance"), F.lead(own, d).over(order).alias("b")) for d in range(1, reach + 1)]
-    looked = narrative(nodes).withColumn("skipped", skipped).select("graph_id", "pos", own.alias("a"), F.array(*ahead).alias("ahead"))
+    looked = numbering.ahead(narrative(nodes, large).withColumn("skipped", skipped), "graph_id", "pos", own, reach).select("graph_id", "pos", own.alias("a"), "ahead")
     return looked.where(~F.col("a.skipped")).select("graph_id", "pos", "a", F.explode("ahead").alias("x")).select("graph_id", "pos", "a", "x.b", "x.distance").where(F.col("b").isNotNull() & ~F.col("b.skipped"))
 
 
 def by_order(nodes: DataFrame) -> DataFrame:
     """Relations of neighbours: direct at distance 1, indirect at 2, and at 3 where a sentence has a direct cue."""
-    cued = pairs(nodes).withColumn("cue", cue_sentence(F.col("b.mention"), F.col("a.event_type"), F.col("a.trigger")))
+    large = numbering.large(nodes, "graph_id")
+    cued = pairs(nodes, large=large).withColumn("cue", cue_sentence(F.col("b.mention"), F.col("a.event_type"), F.col("a.trigger")))
     kept = cued.where((F.col("distance") <= 2) | tx.any_of(F.col("cue"), lx.DIRECT_CUES))
     near = F.col("distance") == 1
     base = F.when(near, lx.DIRECT_CONFIDENCE).otherwise(lx.INDIRECT_CONFIDENCE)
     raised = F.when(F.col("cue").isNotNull(), F.least(base + lx.CUE_BOOST, F.lit(lx.MOST_CONFIDENCE))).otherwise(base)
-    number = F.row_number().over(Window.partitionBy("graph_id").orderBy("pos", "distance")).cast("long")
-    return kept.withColumn("edge_ord", number).select(
+    return numbering.placed(kept, "graph_id", ["pos", "distance"], "edge_ord", large).select(
         "graph_id", "edge_ord", F.format_string("R%03d", F.col("edge_ord")).alias("relation_id"),
         F.col("a.event_id").alias("cause_event_id"), F.col("b.event_id").alias("effect_event_id"),
         F.when(near, lx.DIRECT).otherwise(lx.INDIRECT).alias("relation_type"), F.array(F.coalesce("cue", _arrow())).alias("evidence"),
@@ -80,10 +80,10 @@ def by_order(nodes: DataFrame) -> DataFrame:
 def staged(nodes: DataFrame) -> DataFrame:
     """Main events of graphs whose first ten carry the ten stage labels in order, with their ``place``."""
     main = nodes.where(~(is_distractor(F.col("event_type"), F.col("mention")) | is_noncausal(F.col("event_type"), F.col("mention"))))
-    order = Window.partitionBy("graph_id").orderBy(tx.trailing_number(F.col("event_id")), "node_ord")
-    placed = main.withColumn("place", F.row_number().over(order))
-    right = F.when((F.col("place") <= 10) & (F.col("event_type") == F.element_at(F.array(*map(F.lit, lx.STAGES)), F.least(F.col("place"), F.lit(10)))), 1)
-    return placed.withColumn("_right", F.count(right).over(Window.partitionBy("graph_id"))).where(F.col("_right") == 10).drop("_right")
+    placed = narrative(main, numbering.large(main, "graph_id")).withColumnRenamed("pos", "place")
+    right = (F.col("place") <= 10) & (F.col("event_type") == F.element_at(F.array(*map(F.lit, lx.STAGES)), F.least(F.col("place"), F.lit(10)).cast("int")))
+    fits = placed.where(right).groupBy("graph_id").agg(F.count("*").alias("_right")).where("_right = 10")
+    return placed.join(fits.select("graph_id"), "graph_id", "left_semi")
 
 
 def by_template(stages: DataFrame) -> DataFrame:
