@@ -39,7 +39,7 @@ def placed(df: DataFrame, group: str, order: list, column: str, large_: DataFram
     small = df.join(large_, group, "left_anti").withColumn(column, by_window)
     wide = kept(numbered(df.join(large_, group, "left_semi"), [group, *order], "_at"), "placed")
     start = wide.groupBy(group).agg(F.min("_at").alias("_from"))
-    return small.unionByName(wide.join(F.broadcast(start), group).withColumn(column, F.col("_at") - F.col("_from") + 1).select(*small.columns))
+    return small.unionByName(wide.join(start, group).withColumn(column, F.col("_at") - F.col("_from") + 1).select(*small.columns))
 
 
 def ahead(df: DataFrame, group: str, place: str, own: Column, reach: int) -> DataFrame:
