@@ -532,7 +532,7 @@ rk AS (SELECT e.g, e.s, e.t, e.c AS ps, ch.root, ch.p AS d, row_number() OVER (P
 SELECT g AS graph_id, s AS cause, t AS effect, round(1 - coalesce(d, 0), 6) AS pn, round(ps, 6) AS ps, round(round(1 - coalesce(d, 0), 6) * ps, 6) AS pns, d IS NULL AS effect_dead, root AS alt_root FROM rk WHERE n = 1""",
     "forward_closure": f"WITH RECURSIVE {_TYPE}, fc AS (SELECT g, k AS source, k FROM tn UNION SELECT fc.g, source, ce.t FROM fc JOIN ce ON fc.g = ce.g AND fc.k = ce.s) SELECT g AS graph_id, source, k AS event_id FROM fc",
     "scenario_tree": f"{_TREE} SELECT g AS graph_id, src AS source, array_to_string(path, ',') AS path, depth::BIGINT AS depth, round(p, 6) AS p FROM tk",
-    "likely_terminal": f"""{_TREE}, lf AS (SELECT *, round(p, 4) AS r FROM tk WHERE depth = 3 OR NOT EXISTS (SELECT 1 FROM ce WHERE ce.g = tk.g AND ce.s = tk.node))
+    "likely_terminal": f"""{_TREE}, lf AS (SELECT *, printf('%.4f', p)::DOUBLE AS r FROM tk WHERE depth = 3 OR NOT EXISTS (SELECT 1 FROM ce WHERE ce.g = tk.g AND ce.s = tk.node))
 SELECT g AS graph_id, src AS source, node, round(r, 6) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY g, src ORDER BY r DESC, ords DESC) AS m FROM lf) WHERE m = 1""",
     "anchor_match": f"""WITH {_TYPE}, qs AS (SELECT user_id::VARCHAR AS g, event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'what about ' || event_type || '?' ELSE 'the flo ' || event_type[1:3] || ' ' || event_id END AS q FROM events),
 x AS (SELECT qs.g, id, o, k, k AS a, 'the ' || k || ' flood' AS b, q FROM qs JOIN tn ON qs.g = tn.g),
