@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import lexicons as lx
 from eventloom.functions import text as tx
 from eventloom.operators import analytics, anchor, calibrate, dominators, extract, graph, intervene, kbest, mapping, metrics, paths, relate, scenario
-from eventloom.plans import graphs, lexical, reasoned, staged
+from eventloom.plans import graphs, lexical, reasoned, staged, streamed
 from eventloom.plans.graphs import table
 from eventloom.sources.storage import kept
 
@@ -399,7 +399,7 @@ QUERIES = {
         cascade, cascade_geo, necessity_sufficiency, forward_closure, scenario_tree, likely_terminal, anchor_match, event_mentions, causal_answers, pack_answers,
         level_calibration, confidence_calibration, micro_prf, token_f1, answer_report,
     )
-} | SAME | lexical.QUERIES | reasoned.QUERIES | staged.QUERIES
+} | SAME | lexical.QUERIES | reasoned.QUERIES | staged.QUERIES | streamed.QUERIES
 FLAGSHIP = "cause_chains"
 
 # --- SQL ---------------------------------------------------------------------------------------------------
@@ -578,3 +578,4 @@ ORACLE |= {name: ORACLE[f.__name__] for name, f in SAME.items()}
 ORACLE |= lexical.ORACLE | reasoned.ORACLE | staged.ORACLE | {
     "saved_graphs": f"WITH {_TYPE} SELECT g AS graph_id, printf('R%03d', n) AS relation_id, upper(s) AS cause, upper(t) AS effect, round(c, 6) AS confidence FROM ce",
 }
+ORACLE |= {name: ORACLE[same] for name, same in streamed.SAME_ROWS.items()}

@@ -1 +1 @@
-"""PySpark-native causal event analytics."""
+"""Graphs kept up to date from streams of records."""
