@@ -579,3 +579,26 @@ ORACLE |= lexical.ORACLE | reasoned.ORACLE | staged.ORACLE | {
     "saved_graphs": f"WITH {_TYPE} SELECT g AS graph_id, printf('R%03d', n) AS relation_id, upper(s) AS cause, upper(t) AS effect, round(c, 6) AS confidence FROM ce",
 }
 ORACLE |= {name: ORACLE[same] for name, same in streamed.SAME_ROWS.items()}
+
+_BRANCHING = f"""{_TREE},
+bp AS (SELECT g, s, t, [s, t] AS path, [printf('R%03d', n)] AS rids, [ord] AS ords, c::DOUBLE AS p, 1 AS hops FROM ce
+  UNION ALL SELECT bp.g, bp.s, ce.t, list_append(path, ce.t), list_append(rids, printf('R%03d', ce.n)), list_append(ords, ce.ord), p * c, hops + 1 FROM bp JOIN ce ON bp.g = ce.g AND bp.t = ce.s WHERE hops < 5 AND NOT list_contains(path, ce.t)),
+bb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, s, t ORDER BY p DESC, ords) AS m FROM bp) WHERE m = 1),
+w AS (SELECT g, 'back' AS way, t AS a, s AS b, path, rids, p, hops FROM bb UNION ALL SELECT g, 'ahead', s, t, path, rids, p, hops FROM bb),
+wr AS (SELECT w.*, tn.o, row_number() OVER (PARTITION BY w.g, way, a ORDER BY p DESC, hops, tn.o) AS r, CASE way WHEN 'back' THEN NOT EXISTS (SELECT 1 FROM ce WHERE ce.g = w.g AND ce.t = b) ELSE NOT EXISTS (SELECT 1 FROM ce WHERE ce.g = w.g AND ce.s = b) END AS fin FROM w JOIN tn ON tn.g = w.g AND tn.k = b),
+wl AS (SELECT g, way, a, string_agg('  · ' || array_to_string(path, ' -> ') || '（联合置信度 ' || printf('%.2f', p) || '）', chr(10) ORDER BY r) AS lines, count(*) AS n, min_by(rids, r) AS rids, max(p) AS p,
+  string_agg(b || CASE way WHEN 'back' THEN '' ELSE '（强度' || printf('%.2f', p) || '）' END, '、' ORDER BY p DESC, o) FILTER (fin AND p > 0) AS fins FROM wr GROUP BY ALL),
+de AS (SELECT g, 'back' AS way, t AS a, s AS b, c, o FROM ce UNION ALL SELECT g, 'ahead', s, t, c, o FROM ce),
+dl AS (SELECT de.g, de.way, de.a, string_agg(de.b || '（强度' || printf('%.2f', CASE WHEN w.p > 0 THEN w.p ELSE c END) || '）', '、' ORDER BY de.o) AS direct FROM de LEFT JOIN w ON w.g = de.g AND w.way = de.way AND w.a = de.a AND w.b = de.b GROUP BY ALL),
+od AS (SELECT g, list(s) AS ss, list(mx) AS ms FROM (SELECT g, s, max(ord) AS mx FROM ce GROUP BY ALL) GROUP BY g),
+tf AS (SELECT tk.*, [ords[i + 1] = ms[list_position(ss, path[i])] FOR i IN range(1, depth + 1)] AS fl FROM tk JOIN od ON od.g = tk.g),
+tt AS (SELECT g, src, string_agg(array_to_string([CASE WHEN fl[i] THEN '   ' ELSE '│  ' END FOR i IN range(1, depth)], '') || CASE WHEN depth = 0 THEN '' WHEN fl[depth] THEN '└─ ' ELSE '├─ ' END || node || '（p=' || printf('%.2f', printf('%.4f', p)::DOUBLE) || '）', chr(10) ORDER BY n) AS said FROM tf GROUP BY ALL),
+lf AS (SELECT g, src, node, printf('%.4f', p)::DOUBLE AS r, ords FROM tk WHERE depth = 3 OR NOT EXISTS (SELECT 1 FROM ce WHERE ce.g = tk.g AND ce.s = tk.node)),
+le AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, src ORDER BY r DESC, ords DESC) AS m FROM lf) WHERE m = 1),
+ts AS (SELECT tt.g, tt.src, '从「' || tt.src || '」出发的可能性树（每层概率 = 上层概率 × 边置信度）：' || chr(10) || said || chr(10) || '最可能的最终态势：「' || le.node || '」（概率 ' || printf('%.2f', r) || '）' AS text, coalesce(x.rids, y.rids) AS rids, r
+  FROM tt JOIN le ON le.g = tt.g AND le.src = tt.src JOIN ce f ON f.g = tt.g AND f.s = tt.src AND f.ord = 1 LEFT JOIN bb x ON x.g = tt.g AND x.s = tt.src AND x.t = le.node LEFT JOIN bb y ON y.g = tt.g AND y.s = tt.src AND y.t = f.t),
+av AS (SELECT tn.g, v.way || '-' || k AS query_id, CASE WHEN n IS NULL THEN '「' || k || '」在图中没有' || v.none ELSE '「' || k || '」' || v.head || chr(10) || v.near || direct || chr(10) || v.every || chr(10) || lines || coalesce(chr(10) || v.last || fins, '') END AS text, rids, p, n
+  FROM tn JOIN (VALUES ('back', '的因果追溯如下：', '直接原因：', '多条因果链（按强度排序）：', '根本原因（根事件）：', '上游原因（可能是根事件）。'), ('ahead', '可能引发的后续如下：', '直接后果：', '多条影响链（按强度排序）：', '最终后果：', '下游影响（可能是末端事件）。')) v(way, head, near, every, last, none) ON true
+  LEFT JOIN wl ON wl.g = tn.g AND wl.a = k AND wl.way = v.way LEFT JOIN dl ON dl.g = tn.g AND dl.a = k AND dl.way = v.way
+  UNION ALL SELECT tn.g, 'tree-' || k, coalesce(text, '「' || k || '」在图中没有下游事件，暂无法推演后续态势。'), rids, r, 0 FROM tn LEFT JOIN ts ON ts.g = tn.g AND ts.src = k)"""
+ORACLE["branching_answers"] = f"""{_BRANCHING} SELECT g AS graph_id, query_id, md5(text) AS text_md5, coalesce(array_to_string(rids, ','), '') AS evidence_chain, printf('%.4f', least(coalesce(p, 0), 0.99::DOUBLE))::DOUBLE AS confidence, coalesce(n, 0)::BIGINT AS n_chains FROM av"""

@@ -58,6 +58,22 @@ def line_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def branching_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What led to, follows from and may come of each event type of each user: graphs with branches, loops, ties and dangling types.
+    Tags of necessary causes are left out of the texts; ``necessity_sufficiency`` has their numbers."""
+    nodes, edges = graphs.type_graph(spark, sf_dir)
+    nodes = kept(nodes.select("graph_id", "event_id", "node_ord", F.col("event_id").alias("mention"), F.col("event_id").alias("trigger"), F.lit("").alias("event_type")), "branching-nodes")
+    edges = kept(edges.withColumn("evidence", F.array().cast("array<string>")), "branching-edges")
+    asked = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(kind).alias("question_type"), F.concat(F.lit(a), F.col("event_id"), F.lit(b)).alias("question"))
+        for k, kind, a, b in (("back", answer.KINDS[0], "为什么出现", ""), ("ahead", answer.KINDS[0], "", "会引发什么"), ("tree", answer.KINDS[1], "", "之后"))
+    ])).alias("q")
+    queries = nodes.select("graph_id", "event_id", asked).select("graph_id", F.concat_ws("-", "q.k", "event_id").alias("query_id"), "q.question_type", "q.question")
+    found = answer.answers(nodes, edges, kept(queries, "branching-questions"))
+    text = F.regexp_replace("answer_text", "，且为其必要原因", "")
+    return found.select("graph_id", "query_id", F.md5(text).alias("text_md5"), F.coalesce(F.array_join("evidence_chain", ","), F.lit("")).alias("evidence_chain"), F.round("confidence", 4).alias("confidence"), F.coalesce("chain_count", F.lit(0)).cast("long").alias("n_chains"))
+
+
 #: (name, kind of question, kind of reasoning, question); {n} is the last event's id.
 ASKED = [
     ("two", "retrospective", "multi_hop_causal", "D001到D002的因果链如何？"), ("next", "retrospective", "multi_hop_causal", "D001的直接下游是什么"), ("ahead", "retrospective", "multi_hop_causal", "D001引发了哪些连锁反应"),
@@ -86,7 +102,7 @@ def pack_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(sent, ["graph_id", "q_ord"])
 
 
-QUERIES = {f.__name__: f for f in (line_answers, pack_branches)}
+QUERIES = {f.__name__: f for f in (line_answers, branching_answers, pack_branches)}
 
 # --- SQL -----------------------------------------------------------------------------------------------------
 

@@ -31,7 +31,7 @@ def duck():
 
 CORE = [
     "sentence_split_offsets", "first_trigger", "rule_extraction", "narrative_pairs", "node_merge", "clean_graph", "graph_stats", "best_paths_k", "root_chains", "cascade", "necessity_sufficiency", "scenario_tree",
-    "likely_terminal", "anchor_match", "confidence_calibration", "micro_prf", "token_f1", "line_answers", "pack_branches", "pack_stages", "pack_summaries", "digest_extraction", "streamed_graph", "streamed_nodes", *lexical.QUERIES,
+    "likely_terminal", "anchor_match", "confidence_calibration", "micro_prf", "token_f1", "line_answers", "branching_answers", "pack_branches", "pack_stages", "pack_summaries", "digest_extraction", "streamed_graph", "streamed_nodes", *lexical.QUERIES,
 ]
 
 
