@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import graph, pack_answer, pack_extract, relate
 from eventloom.sources import io, packs
-from eventloom.sources.storage import kept
+from eventloom.sources.storage import joined_by_measure, kept
 
 
 def pack_graphs(spark: SparkSession, folder: str, task: str | None = None) -> dict[str, DataFrame]:
@@ -16,6 +16,7 @@ def pack_graphs(spark: SparkSession, folder: str, task: str | None = None) -> di
     Packs with events and relations (A) are taken as given, with events only (B) their relations
     are inferred, else (C) events too. ``task`` changes the label of the records only.
     """
+    joined_by_measure(spark)
     files = kept(packs.pack_files(spark, folder), "pack-files")
     if files.isEmpty():
         raise FileNotFoundError(f"no question packs in {folder}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import answer, extract, graph, relate
 from eventloom.sources import io
 from eventloom.sources.config import Config, resolve_path
+from eventloom.sources.storage import joined_by_measure
 
 
 def news_answers(spark: SparkSession, path: str, config: Config | None = None) -> DataFrame:
@@ -19,6 +20,7 @@ def news_answers(spark: SparkSession, path: str, config: Config | None = None) -
 
 def answers(nodes: DataFrame, edges: DataFrame, queries: DataFrame, config: Config | None = None) -> DataFrame:
     c = config or Config()
+    joined_by_measure(nodes.sparkSession)
     return answer.answers(nodes, edges, queries, c.whole("reasoning.causal_tracing.max_depth", 5), c.whole("reasoning.situation_deduction.max_hops", 3), c.whole("reasoning.counterfactual.max_depth", 5))
 
 
