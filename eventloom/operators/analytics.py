@@ -10,6 +10,8 @@ from eventloom.operators import graph as gr
 from eventloom.sources.storage import kept
 
 DAMPING = 0.85
+#: Beyond so many graphs no step of a ranking sends a table through the driver.
+FEW_GRAPHS = 1000
 
 
 def _weights(edges: DataFrame, even: bool = False) -> DataFrame:
@@ -27,16 +29,22 @@ def _even(nodes: DataFrame, weights: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "event_id").join(sizes, "graph_id").join(gives, ["graph_id", "event_id"], "left").select("graph_id", "event_id", "n", (F.lit(1.0) / F.col("n")).alias("r"), F.coalesce("ends", F.lit(True)).alias("ends"))
 
 
-def _step(rank: DataFrame, weights: DataFrame, damping: float, tolerance: float = 0.0) -> DataFrame:
+def _many(nodes: DataFrame) -> bool:
+    return nodes.select("graph_id").distinct().limit(FEW_GRAPHS + 1).count() > FEW_GRAPHS
+
+
+def _step(rank: DataFrame, weights: DataFrame, damping: float, tolerance: float = 0.0, many: bool = False) -> DataFrame:
     """One power step of rows (graph_id, event_id, n, ends, r, before, done). The mass of nodes that pass nothing on
     spreads evenly over their graph; a graph whose ranks moved by less than nodes * tolerance before is done and stays.
 
-    A graph's sums are aggregates of a row each, joined back: no graph is gathered in a task.
+    A graph's sums are aggregates of a row each, joined back: no graph is gathered in a task. Of ``many`` graphs all joins are
+    shuffles: a broadcast of each step's sums, however small, would add up in the driver.
     """
-    flows = rank.where("NOT done").select("graph_id", F.col("event_id").alias("src"), "r").join(weights, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("event_id"), (F.col("r") * F.col("w")).alias("in"))
+    side = lambda df: df.hint("merge") if many else df
+    flows = rank.where("NOT done").select("graph_id", F.col("event_id").alias("src"), "r").join(side(weights), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("event_id"), (F.col("r") * F.col("w")).alias("in"))
     got = flows.groupBy("graph_id", "event_id").agg(F.sum("in").alias("got"))
     sums = rank.groupBy("graph_id").agg(F.sum(F.when(F.col("ends"), F.col("r")).otherwise(0.0)).alias("held"), _near(tolerance).alias("near"))
-    joined = rank.join(got, ["graph_id", "event_id"], "left").join(sums, "graph_id")
+    joined = rank.join(side(got), ["graph_id", "event_id"], "left").join(side(sums), "graph_id")
     new = damping * (F.coalesce("got", F.lit(0.0)) + F.col("held") / F.col("n")) + (1 - damping) / F.col("n")
     done = F.col("done") | F.col("near")
     return joined.select("graph_id", "event_id", "n", "ends", F.when(done, F.col("r")).otherwise(new).alias("r"), F.col("r").alias("before"), done.alias("done"))
@@ -55,16 +63,18 @@ def pagerank_steps(nodes: DataFrame, edges: DataFrame, steps: int, damping: floa
     """(graph_id, event_id, rank) after a fixed number of power steps."""
     weights = kept(_weights(edges), "rank-weights")
     rank = _first(nodes, weights)
+    many = _many(rank)
     for _ in range(steps):
-        rank = kept(_step(rank, weights, damping), "rank")
+        rank = kept(_step(rank, weights, damping, many=many), "rank")
     return rank.select("graph_id", "event_id", F.col("r").alias("rank"))
 
 
 def _converged(nodes: DataFrame, weights: DataFrame, damping: float, tolerance: float, most: int) -> DataFrame:
     """(graph_id, event_id, r, done): each graph stops once its ranks moved by less than nodes * tolerance in sum."""
     rank = _first(nodes, weights)
+    many = _many(rank)
     for _ in range(most):
-        rank = kept(_step(rank, weights, damping, tolerance), "rank")
+        rank = kept(_step(rank, weights, damping, tolerance, many), "rank")
         if rank.where("NOT done").isEmpty():
             break
     last = rank.groupBy("graph_id").agg(_near(tolerance).alias("near"))

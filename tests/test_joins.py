@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from eventloom.operators import analytics
 from eventloom.plans import graphs
 from eventloom.sources.storage import kept
 
@@ -21,3 +22,14 @@ def test_well_compressed_rows_are_not_broadcast(spark, tmp_path):
     assert _joins(e.join(big.withColumnRenamed("t", "u"), "id").where("length(concat(t, u)) > 9"))[0] == "SortMergeJoin"
     few = e.where("id < 10").select("id", F.upper("t").alias("v"))
     assert "BroadcastHashJoin" in _joins(e.join(few, "id").where("length(concat(t, v)) > 9"))
+
+
+def test_ranks_of_many_graphs_stay_out_of_the_driver(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"g{g}", f"n{n}") for g in range(30) for n in range(3)], "graph_id string, event_id string")
+    edges = spark.createDataFrame([(f"g{g}", f"n{n}", f"n{(n + 1 + g % 2) % 3}", 0.5) for g in range(30) for n in range(3)], "graph_id string, cause_event_id string, effect_event_id string, confidence double")
+    few = sorted(analytics.pagerank_steps(nodes, edges, 3).collect())
+    monkeypatch.setattr(analytics, "FEW_GRAPHS", 20)
+    assert sorted(analytics.pagerank_steps(nodes, edges, 3).collect()) == few
+    weights = kept(analytics._weights(edges), "rank-weights")
+    rank = analytics._first(nodes, weights)
+    assert set(_joins(analytics._step(rank, weights, 0.85, many=analytics._many(rank)).where("r > before OR before IS NULL"))) == {"SortMergeJoin"}
