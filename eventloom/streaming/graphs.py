@@ -36,7 +36,8 @@ STATE = ", ".join(f"{c} {kind}" for c, kind in HELD.items())
 def _folded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One event's records folded into its state; the main one has the most arguments, then the longest mention, then comes first."""
     held = list(state.get) if state.exists else None
-    for row in pd.concat(list(batches)).sort_values("node_ord")[list(HELD)].itertuples(index=False):
+    # plain rows: a frame made, sorted and walked for each event costs more than the fold
+    for row in sorted((row for b in batches for row in zip(*(b[c].tolist() for c in HELD), strict=True)), key=lambda r: r[0]):
         new = [int(row[0]), int(row[1]), int(row[2]), int(row[3]), float(row[4]), *row[5:]]
         if held is None:
             held = new
@@ -46,7 +47,7 @@ def _folded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         filled = [a or b or a for a, b in zip(main[5:-1], other[5:-1], strict=True)]
         held = [min(held[0], new[0]), main[1], main[2], main[3], max(held[4], new[4]), *filled, main[-1]]
     state.update(tuple(held))
-    yield pd.DataFrame([[*key, *held]], columns=[*NODE_KEYS, *HELD])
+    yield pd.DataFrame(dict(zip((*NODE_KEYS, *HELD), ([v] for v in (*key, *held)), strict=True)))
 
 
 def merged_nodes(records: DataFrame) -> DataFrame:
