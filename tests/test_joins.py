@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import analytics
 from eventloom.plans import graphs
+from eventloom.sources import storage
 from eventloom.sources.storage import kept
 
 
@@ -33,3 +34,22 @@ def test_ranks_of_many_graphs_stay_out_of_the_driver(spark, monkeypatch):
     weights = kept(analytics._weights(edges), "rank-weights")
     rank = analytics._first(nodes, weights)
     assert set(_joins(analytics._step(rank, weights, 0.85, many=analytics._many(rank)).where("r > before OR before IS NULL"))) == {"SortMergeJoin"}
+
+
+def test_tasks_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    before = {c: spark.conf.get(c, None) for c in names}
+    monkeypatch.setattr(storage, "PARTITION_ROWS", 5_000)
+    monkeypatch.setattr(storage, "TASK_BYTES", 64 << 10)
+    try:
+        spark.conf.set(names[2], "false")
+        tasks = []
+        for rows in (20_000, 200_000):
+            folder = tmp_path / str(rows)
+            spark.range(rows).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")).write.parquet(f"{folder}/events.parquet")
+            seen = graphs.table(spark, str(folder), "events").groupBy("t").agg(F.max("id").alias("id")).groupBy(F.spark_partition_id()).count().collect()
+            tasks.append((len(seen), max(r["count"] for r in seen)))
+        assert tasks[1][0] > 4 and tasks[1][1] < 3 * tasks[0][1]
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
