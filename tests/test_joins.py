@@ -36,6 +36,31 @@ def test_ranks_of_many_graphs_stay_out_of_the_driver(spark, monkeypatch):
     assert set(_joins(analytics._step(rank, weights, 0.85, many=analytics._many(rank)).where("r > before OR before IS NULL"))) == {"SortMergeJoin"}
 
 
+def test_broadcasts_of_one_plan_stay_small_together(spark, tmp_path):
+    spark.range(60_000).select("id", F.concat(F.lit("x" * 20), F.col("id") % 7).alias("t")).write.parquet(f"{tmp_path}/events.parquet")
+    for name, value in (("spark.sql.autoBroadcastJoinThreshold", "10485760b"), ("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")):
+        spark.conf.set(name, value)
+    e = graphs.table(spark, str(tmp_path), "events")
+    sides = [kept(e.select("id", F.upper("t").alias(f"t{i}")), "side") for i in range(3)]  # 3 MB of rows each
+    out = e
+    for side in sides:
+        out = out.join(side, "id")
+    assert set(_joins(out.where("length(concat(t, t0, t1, t2)) > 9"))) == {"SortMergeJoin"}
+
+
+def test_a_smaller_bound_of_the_session_stays(spark):
+    before = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for given, after in (("256k", 256 << 10), ("10485760b", storage.BROADCAST), ("1g", storage.BROADCAST), ("-1", -1), ("4096", 4096)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "7m")
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", given)
+            storage.joined_by_measure(spark)
+            assert int(spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold").rstrip("b")) == after
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
 def test_tasks_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
     names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")
     before = {c: spark.conf.get(c, None) for c in names}
