@@ -87,3 +87,19 @@ def test_published_bundle(spark, tmp_path):
         assert (r.evidence_chain, r.confidence) == want and r.graph_id in ("n1", "n2")
         if r.query_id == "q3":
             assert (round(r.pn, 2), round(r.ps, 2)) == (0.23, 0.84)
+
+
+def test_paths_are_made_for_what_is_asked_only(spark, monkeypatch):
+    """Tracing makes no table of all pairs of a graph: with 30 causes of one event and 30 events that it doesn't lead to, 30 paths; and necessity looks at what leads there."""
+    from eventloom.operators import answer, intervene, paths
+
+    sides = [(f"r{i}", f"cause{i}", "flood", 0.5) for i in range(30)] + [(f"s{i}", f"cause{i}", f"other{i}", 0.5) for i in range(30)]
+    nodes, edges = graph(spark, sides)
+    made, seen = [], []
+    best, measures = paths.best_paths, intervene.measures
+    monkeypatch.setattr(paths, "best_paths", lambda *a: made.append(best(*a)) or made[-1])
+    monkeypatch.setattr(intervene, "measures", lambda n, e, *a: seen.append(e) or measures(n, e, *a))
+    asked = spark.createDataFrame([("g", "q", "为什么会发生flood", "causal_tracing")], "graph_id string, query_id string, question string, question_type string")
+    got = answer.tracing(nodes, edges, asked, 3).collect()
+    assert [r["chain_count"] for r in got] == [30] and got[0]["confidence"] == 0.5
+    assert sum(m.count() for m in made) == 30 and [e.count() for e in seen] == [30]
