@@ -86,3 +86,14 @@ def test_no_events(spark, graphs):
     nodes, edges = (df.limit(0) for df in many(spark, {"g1": graphs["g1"]}))
     tree = dm.dominators(nodes, edges)
     assert not tree.nodes.count() and not dm.sizes(nodes, tree).count() and not dm.fallen(nodes, edges).count() and graph.roots(nodes, edges).isEmpty()
+
+
+def test_events_of_two_roots_leave_no_steps(spark, monkeypatch):
+    """Most edges of shallow graphs lead to events with several roots: no round reads them."""
+    edges = [(f"R{r}{t}", r, f"T{t}", 0.5) for r in "AB" for t in range(9)] + [("X1", "T0", "U", 0.5), ("X2", "A", "U", 0.5), ("X3", "T1", "V", 0.5), ("X4", "V", "W", 0.5), ("X5", "W", "V", 0.5)]
+    names = sorted({x for _, a, b, _ in edges for x in (a, b)})
+    nodes, links = many(spark, {"g": (names, edges)})
+    seen, whole = [], dm.spanning
+    monkeypatch.setattr(dm, "spanning", lambda roots, steps: seen.append(steps.count()) or whole(roots, steps))
+    got = {(r.cause, r.event_id) for r in dm.fallen(nodes, links).collect()}
+    assert seen == [5] and got == {(c, n) for c in names for n in set(names) - alive(names, edges, c)}
