@@ -1,66 +1,34 @@
 """Nodes and edges merged as their records arrive, to the same graph that ``operators.graph`` builds at once.
 
-State is keyed by event (nodes) and by ordered pair of events (edges), never by graph, so that a graph of any size is
-spread over all tasks; it holds one row for each of them, however often they are repeated. Each batch writes the rows
-that it changed to a folder of its own number, again if it is run again, so a batch that is lost or repeated counts
-once; ``current`` takes each key's last row of those folders, which hold a row for each change. What needs a whole graph (dangling ends, weaker reverses, numbers) is
-applied to the merged rows when they are read. There is no watermark: a repeated record may come at any time, and none
-is dropped. With many events set RocksDB as the session's state store, so state is not held in executors' heaps.
-
-Edges come out the same for any order of arrival. So do a node's main record, place and confidence; its empty fields
-are filled in the order of arrival, so records should come in that of ``node_ord`` where these matter. Records without
-graph or ids are ignored; a null confidence counts as 0, as in the batch form; repeated rows change nothing; a stream
-without records gives empty tables.
+No graph is ever state. Edges are aggregated as they arrive, one row of state for each ordered pair of events, however often it is repeated. Nodes
+hold no state: what fills a node's empty fields depends on all its records in their order, so each batch appends its distinct records, and
+``current`` merges them as ``graph.merge_nodes`` does, by built-in functions. Each batch writes its rows to a folder of its own number, again if it
+is run again, so a batch that is lost or repeated counts once; for edges ``current`` takes each key's last row of those folders, which hold a row for
+each change. What needs a whole graph (dangling ends, weaker reverses, numbers) is applied to the merged rows when they are read. There is no
+watermark: a repeated record may come at any time, and none is dropped. With many edges set RocksDB as the session's state store, so state is not held in executors' heaps.
+
+Nodes and edges come out the same for any order of arrival. Records without graph or ids are ignored; a null confidence counts as 0, a null place as 0;
+repeated rows change nothing; a stream without records gives empty tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventloom.operators import graph
 from eventloom.sources import schemas as sc
 
 NODE_KEYS, EDGE_KEYS = ["graph_id", "event_id"], ["graph_id", *graph.ENDS]
-#: a node as its state: ranks of its main record, the fields that others fill, all else as JSON
-HELD = {"node_ord": "long", "main_ord": "long", "n_arguments": "int", "length": "int", "confidence": "double", **dict.fromkeys(graph.FILLED, "string"), "rest": "string"}
-STATE = ", ".join(f"{c} {kind}" for c, kind in HELD.items())
-
-
-def _folded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One event's records folded into its state; the main one has the most arguments, then the longest mention, then comes first."""
-    held = list(state.get) if state.exists else None
-    # plain rows: a frame made, sorted and walked for each event costs more than the fold
-    for row in sorted((row for b in batches for row in zip(*(b[c].tolist() for c in HELD), strict=True)), key=lambda r: r[0]):
-        new = [int(row[0]), int(row[1]), int(row[2]), int(row[3]), float(row[4]), *row[5:]]
-        if held is None:
-            held = new
-            continue
-        better = (new[2], new[3], -new[1]) > (held[2], held[3], -held[1])
-        main, other = (new, held) if better else (held, new)
-        filled = [a or b or a for a, b in zip(main[5:-1], other[5:-1], strict=True)]
-        held = [min(held[0], new[0]), main[1], main[2], main[3], max(held[4], new[4]), *filled, main[-1]]
-    state.update(tuple(held))
-    yield pd.DataFrame(dict(zip((*NODE_KEYS, *HELD), ([v] for v in (*key, *held)), strict=True)))
 
 
 def merged_nodes(records: DataFrame) -> DataFrame:
-    """A stream of event records (``NODE_DDL``) to the stream of the nodes that they change."""
-    schema = sc._ddl(sc.NODE_DDL)
-    rest = [f.name for f in schema if f.name not in (*NODE_KEYS, "node_ord", "confidence", *graph.FILLED)]
-    known = records.where("graph_id IS NOT NULL AND event_id IS NOT NULL").select(
-        *NODE_KEYS, F.coalesce("node_ord", F.lit(0).cast("long")).alias("node_ord"), F.coalesce("node_ord", F.lit(0).cast("long")).alias("main_ord"), F.greatest(F.coalesce(F.size("arguments"), F.lit(0)), F.lit(0)).alias("n_arguments"),
-        F.coalesce(F.length("mention"), F.lit(0)).alias("length"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *graph.FILLED, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("rest"),
-    )
-    out = known.groupBy(*NODE_KEYS).applyInPandasWithState(_folded, f"graph_id string, event_id string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
-    parsed = out.withColumn("_r", F.from_json("rest", T.StructType([f for f in schema if f.name in rest])))
-    return parsed.select(*[F.col(f"_r.{f.name}") if f.name in rest else F.col(f.name) for f in schema])
+    """A stream of event records (``NODE_DDL``) to the stream of what ``current`` merges to nodes."""
+    known = records.where("graph_id IS NOT NULL AND event_id IS NOT NULL")
+    zero = {"node_ord": F.coalesce("node_ord", F.lit(0).cast("long")), "confidence": F.coalesce("confidence", F.lit(0.0))}
+    return known.select(*[zero[f.name].alias(f.name) if f.name in zero else F.col(f.name) for f in sc._ddl(sc.NODE_DDL)])
 
 
 def merged_edges(records: DataFrame) -> DataFrame:
@@ -75,12 +43,12 @@ def merged_edges(records: DataFrame) -> DataFrame:
 
 
 def started(changes: DataFrame, path: str, available_now: bool = False) -> StreamingQuery:
-    """The running query that writes ``changes`` below ``path``, with its checkpoint beside the rows; it goes on where it
+    """The running query that writes the distinct rows of each batch of ``changes`` below ``path``, with its checkpoint beside them; it goes on where it
     stopped if it is started again. ``path`` must be shared by all executors."""
     schema = changes.schema
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.distinct().write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     changes.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1")
     made = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
@@ -88,10 +56,12 @@ def started(changes: DataFrame, path: str, available_now: bool = False) -> Strea
 
 
 def current(spark: SparkSession, path: str, keys: list[str], ddl: str) -> DataFrame:
-    """Each key's last row of those that ``started`` wrote below ``path``."""
+    """Each key's row by those that ``started`` wrote below ``path``: nodes merged of their records, edges as they were last."""
     schema = sc._ddl(ddl)
     names = [f.name for f in schema]
     rows = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    if keys == NODE_KEYS:
+        return graph.merge_nodes(rows.drop("batch")).select(*names)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in names if c not in keys]), "batch").alias("_r")).select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in names])
 
 

@@ -59,3 +59,14 @@ def test_nothing_and_nulls(spark, tmp_path, ddl, merge, keys):
     st.started(merge(spark.readStream.schema(ddl).json(f"{tmp_path}/in")), f"{tmp_path}/out", available_now=True).awaitTermination()
     got = st.current(spark, f"{tmp_path}/out", keys, ddl)
     assert got.count() == 0 and got.columns == [f.name for f in schema] and got.where(F.lit(True)).schema.simpleString() == schema.simpleString()
+
+
+def test_nodes_in_any_order_of_arrival(spark, tmp_path):
+    """Fields that others fill come out as in the batch form, whichever batch their record was in; no rows pass through Python."""
+    nodes, _ = records(random.Random(6), 40)
+    mixed = random.Random(2).sample([n if n[11] is not None else (*n[:11], 0.0) for n in nodes], len(nodes))
+    replay(spark, [*mixed, *mixed[:9]], sc.NODE_DDL, tmp_path, st.merged_nodes, "nodes", 17)
+    got = st.current(spark, f"{tmp_path}/nodes", st.NODE_KEYS, sc.NODE_DDL)
+    assert plain(got) == plain(gr.merge_nodes(spark.createDataFrame(nodes, sc.NODE_DDL)))
+    plan = st.merged_nodes(spark.readStream.schema(sc.NODE_DDL).json(f"{tmp_path}/nodes-in"))._jdf.queryExecution().logical().toString()
+    assert "Pandas" not in plan
