@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import lexicons as lx
 from eventloom.operators import graph, numbering, relate
 from eventloom.plans import tiers
-from eventloom.sources import io
+from eventloom.sources import io, storage
 from eventloom.sources import schemas as sc
 from eventloom.sources.config import Config
 
@@ -64,3 +64,20 @@ def test_events_given_by_command_line(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(numbering, "MOST", 4)
     again = tiers.run(spark, Config({"mode": "reasoning", "input": {"events": "events.jsonl", "queries": "queries.json"}, "output_dir": "again"}), str(tmp_path))
     assert {r["query_id"]: (r["answer_text"], list(r["evidence_chain"])) for r in again.collect()} == {a["query_id"]: (a["answer_text"], a["evidence_chain"]) for a in said}
+
+
+def test_small_and_large_graphs_meet_in_other_numbers_of_partitions(spark, monkeypatch):
+    """After a large table was read, shuffles start with more partitions, and each side of a union has as many as its rows need."""
+    nodes = spark.createDataFrame(events(random.Random(2), {"a": 23, "b": 4, "ties": 17, "staged": 25, "one": 1}), sc.NODE_DDL)
+    plain = everything(relate.relations(nodes))
+    monkeypatch.setattr(numbering, "MOST", 5)
+    settings = {"adaptive.coalescePartitions.initialPartitionNum": "30", "adaptive.advisoryPartitionSizeInBytes": str(4 << 20)}
+    before = {f"spark.sql.{name}": spark.conf.get(f"spark.sql.{name}", None) for name in (*settings, "autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold", "unionOutputPartitioning")}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(f"spark.sql.{name}", value)
+        storage.joined_by_measure(spark)
+        assert everything(relate.relations(nodes)) == plain
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
